@@ -1,0 +1,7 @@
+"""Streaming.
+
+The evaluated workload is batch only: it has no stream sources, watermarks,
+windows over event time or state.  Nothing is built here on purpose; the
+batch jobs in ``demandlens.plans`` can be called from ``foreachBatch`` by a
+caller that receives new test weeks as a stream.
+"""
