@@ -218,10 +218,11 @@ def with_(ctes: str, select: str) -> str:
     return f"WITH {PANEL},{ctes}\n{select}"
 
 
-def rounded(sql: str, cols, digits: int = 6) -> str:
+def rounded(sql: str, cols) -> str:
+    """Round (column, digits) pairs of a statement's result."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) as {c}" for c in cols)
+    rep = ", ".join(f"round({c}, {d}) as {c}" for c, d in cols)
     return f"select * replace ({rep}) from ({sql}) q"
 
 
