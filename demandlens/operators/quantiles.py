@@ -1,71 +1,115 @@
 """Exact medians without gathering a column into one task.
 
 Spark's exact ``percentile`` buffers every distinct value of the column in
-the single final reducer of a global aggregate.  ``exact_median`` instead:
+the single final reducer of a global aggregate.  ``exact_medians`` instead
+makes two passes for any number of columns:
 
-1. one aggregate: n and an approximate bracket [lo, hi] around rank n/2 from
-   ``percentile_approx`` (rank error <= n/accuracy, so the bracket is widened
-   by 4/accuracy on each side and provably contains the middle ranks);
-2. one aggregate: how many values lie below ``lo``;
-3. the values inside the bracket collapsed to (value, count) - ties become a
-   single row, so a hot value costs one row - then a running count over that
-   small table finds the value(s) at the middle ranks.
+1. one aggregate: per column, the count n and an approximate bracket
+   [lo, hi] around rank n/2 from ``percentile_approx`` (rank error at most
+   n/accuracy; the bracket is widened by 4/accuracy on each side, so it
+   contains the middle ranks);
+2. one scan that keeps, per column, the values inside the bracket and maps
+   every value below it to a single sentinel, then collapses to
+   (column, value, count).  Ties - a hot value - become one row, and the
+   sentinel row carries the below-bracket count.  A running count over that
+   small table, partitioned by column, locates the middle ranks.
 
-Only a ~8/accuracy slice of the data reaches step 3's ordered window.  For
-an even count the two middle values are averaged, as (a + b) / 2.
+Only a ~8/accuracy slice of the data (after tie collapsing) reaches the
+ordered window.  For an even count the two middle values are averaged as
+(a + b) / 2.  If the bracket ever misses, Spark's exact ``percentile`` is
+used for that column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
 
 
+def _valid(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c)
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], *, accuracy: int = ACCURACY) -> dict[str, float | None]:
+    delta = 4.0 / accuracy
+    qs = [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)]
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.when(_valid(F.col(c)), F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, qs, accuracy).alias(f"b{i}")]
+    stats = df.agg(*aggs).first()
+    plan = {}
+    for i, c in enumerate(cols):
+        n = int(stats[f"n{i}"])
+        if n:
+            plan[c] = (n, float(stats[f"b{i}"][0]), float(stats[f"b{i}"][1]))
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not plan:
+        return out
+    # pass 2: (column id, value or -inf sentinel) for values at or below the bracket top
+    tagged = []
+    for i, c in enumerate(cols):
+        if c not in plan:
+            continue
+        _, lo, hi = plan[c]
+        x = F.col(c).cast("double")
+        v = F.when(_valid(x) & (x < F.lit(lo)), F.lit(float("-inf"))).when(
+            _valid(x) & (x <= F.lit(hi)), x)
+        tagged.append(F.struct(F.lit(i).alias("i"), v.alias("x")))
+    rows = (df.select(F.explode(F.array(*tagged)).alias("t")).select("t.i", "t.x")
+            .filter(F.col("x").isNotNull())
+            .groupBy("i", "x").agg(F.count(F.lit(1)).alias("c")))
+    # ``rows`` is the tie-collapsed bracket per column: the window over it is small
+    w = Window.partitionBy("i").orderBy("x")
+    r0 = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.select("i", "x", r0.alias("r0"), "c")
+    cond = None
+    for i, c in enumerate(cols):
+        if c not in plan:
+            continue
+        n = plan[c][0]
+        k1, k2 = (n - 1) // 2, n // 2
+        hit = (F.col("i") == i) & (((F.col("r0") <= k1) & (F.col("r0") + F.col("c") > k1))
+                                   | ((F.col("r0") <= k2) & (F.col("r0") + F.col("c") > k2)))
+        cond = hit if cond is None else cond | hit
+    found = ranked.filter(cond).collect()
+    for i, c in enumerate(cols):
+        if c not in plan:
+            continue
+        n = plan[c][0]
+        k1, k2 = (n - 1) // 2, n // 2
+        pick = {}
+        for r in found:
+            if r["i"] == i and r["x"] != float("-inf"):
+                for k in (k1, k2):
+                    if r["r0"] <= k < r["r0"] + r["c"]:
+                        pick[k] = float(r["x"])
+        if k1 in pick and k2 in pick:
+            a, b = pick[k1], pick[k2]
+            out[c] = a if a == b else (a + b) / 2
+        else:
+            out[c] = df.agg(F.percentile(F.when(_valid(F.col(c)), F.col(c)), 0.5)).first()[0]
+    return out
+
+
 def exact_median(df: DataFrame, col: str, *, accuracy: int = ACCURACY) -> float | None:
-    x = F.col(col)
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    delta = min(0.5, 4.0 / accuracy)
-    stats = vals.agg(F.count(F.lit(1)).alias("n"),
-                     F.percentile_approx("x", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], accuracy)
-                     .alias("b")).first()
-    n = int(stats["n"])
-    if n == 0:
-        return None
-    lo, hi = float(stats["b"][0]), float(stats["b"][1])
-    k1, k2 = (n - 1) // 2, n // 2
-    below = int(vals.filter(F.col("x") < F.lit(lo)).count())
-    inside = (vals.filter((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-              .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
-    # ``inside`` is the tie-collapsed bracket: the unpartitioned window is bounded by it
-    order = Window.orderBy("x")
-    first_rank = F.lit(below) + F.coalesce(
-        F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = inside.select("x", first_rank.alias("r0"), "c")
-    hit = ranked.filter(((F.col("r0") <= k1) & (F.col("r0") + F.col("c") > k1))
-                        | ((F.col("r0") <= k2) & (F.col("r0") + F.col("c") > k2))).collect()
-    pick = {}
-    for row in hit:
-        for k in (k1, k2):
-            if row["r0"] <= k < row["r0"] + row["c"]:
-                pick[k] = float(row["x"])
-    if k1 not in pick or k2 not in pick:
-        # the approximate bracket missed (should not happen): fall back to Spark's exact percentile
-        return vals.agg(F.percentile("x", 0.5)).first()[0]
-    a, b = pick[k1], pick[k2]
-    return a if a == b else (a + b) / 2
+    return exact_medians(df, [col], accuracy=accuracy)[col]
 
 
 def median_columns(df: DataFrame, mapping: dict[str, str], *, method: str = "exact") -> dict[str, Column]:
-    """name -> Column usable inside ``df.agg``: a literal computed by
-    ``exact_median`` ('exact'), ``percentile_approx`` ('approx') or Spark's
+    """name -> Column usable inside ``df.agg``: literals computed by
+    ``exact_medians`` ('exact'), ``percentile_approx`` ('approx') or Spark's
     single-reducer ``percentile`` ('percentile', small outputs only)."""
+    if method == "exact":
+        vals = exact_medians(df, list(mapping))
+        return {name: F.lit(vals[src]).cast("double") for src, name in mapping.items()}
     out = {}
     for src, name in mapping.items():
-        if method == "exact":
-            out[name] = F.lit(exact_median(df, src)).cast("double")
-        elif method == "approx":
+        if method == "approx":
             out[name] = F.percentile_approx(src, 0.5, 10_000).cast("double")
         elif method == "percentile":
             out[name] = F.percentile(src, 0.5)

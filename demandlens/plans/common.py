@@ -41,4 +41,5 @@ def skip_rows(df: DataFrame, reason: str, *, with_date: bool) -> DataFrame:
 
 
 def keys_of(df: DataFrame) -> DataFrame:
-    return df.select("KEY").filter(F.col("KEY").isNotNull())
+    """Distinct non-null keys (deduplicated map-side before any shuffle)."""
+    return df.select("KEY").filter(F.col("KEY").isNotNull()).distinct()
