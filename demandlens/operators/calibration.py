@@ -47,10 +47,10 @@ def fold_calibration(cal: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_calibration(scored: DataFrame, calibration: DataFrame | None, *,
-                      raw_col: str = "Raw_Prediction", discount_col: str = "DISCOUNT",
-                      eoss_col: str = "is_eoss") -> DataFrame:
-    """Add ``_cal_bin``, ``calibration_factor`` and ``calibration_level``.
-    ``calibration=None`` (or empty) is the identity."""
+                      discount_col: str = "DISCOUNT", eoss_col: str = "is_eoss") -> DataFrame:
+    """Add ``_cal_bin``, ``calibration_factor`` and ``calibration_level``
+    (the prediction is multiplied later).  ``calibration=None`` (or empty)
+    is the identity."""
     d = F.col(discount_col)
     df = scored.withColumn("_cal_bin", calibration_bin(d))
     if calibration is None:

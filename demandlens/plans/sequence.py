@@ -58,8 +58,11 @@ def evaluate_sequence(train: DataFrame, test: DataFrame, feature_spec: DataFrame
                                    min_history=min_history)
     slim = gated.select("KEY", "DATE", "Actual_Sales", F.col("DISCOUNT_IN").alias("DISCOUNT"),
                         F.col("EOSS_IN").alias("is_eoss"), "sequence")
-    scored = score_sequences(slim, predictor, batch_size=batch_size)
-    details = finalize_results(apply_calibration(scored, calibration))
+    # the factor depends on KEY, discount and flag only: look it up while the
+    # rows are still partitioned by KEY, before the Python stage drops that
+    calibrated = apply_calibration(slim, calibration)
+    scored = score_sequences(calibrated, predictor, batch_size=batch_size)
+    details = finalize_results(scored)
     skips = (skip_rows(tests.filter(F.col("_n_train") < min_history).select("KEY").distinct(),
                        "insufficient_history", with_date=False)
              .unionByName(skip_rows(tests.filter((F.col("_n_train") >= min_history)
