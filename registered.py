@@ -558,6 +558,47 @@ SQL_COMPARE_HISTOGRAM = O.with_(_CMP, "select * from " + hist_sql("cmp", "Linear
                                 + " union all select * from " + hist_sql("cmp", "Neural_Error", 30, "Neural"))
 SQL_COMMON_PAIRS = O.with_(_ab_ctes(), "select KEY, DATE from details intersect select KEY, DATE from details_b")
 
+
+# ------------------------------------------------------------------ dirty discounts (C5, C8, C9, C16)
+
+
+def dirty_details(spark, sf):
+    p = panel(spark, sf)
+    return linear_eval(spark, sf, "a", src=dirty(p)).details
+
+
+def q_dirty_details(spark, sf):
+    return dirty_details(spark, sf)
+
+
+def q_dirty_bin_performance(spark, sf):
+    return R.bin_performance(dirty_details(spark, sf))
+
+
+def q_dirty_metrics(spark, sf):
+    return R.metrics_summary(dirty_details(spark, sf))
+
+
+SQL_DIRTY_DETAILS = O.with_(O.details_ctes("a", src="panel_dirty"), f"select {DETAIL_COLS} from details")
+SQL_DIRTY_BIN_PERFORMANCE = SQL_BIN_PERFORMANCE.replace(O.details_ctes("a"), O.details_ctes("a", src="panel_dirty"))
+SQL_DIRTY_METRICS = SQL_METRICS_INNER.replace(O.details_ctes("a"), O.details_ctes("a", src="panel_dirty"))
+
+
+def q_sequence_scores_scaled(spark, sf):
+    """Split-scaled features (discount min-max, others standard) on the dirty
+    panel; the predictor averages the scaled lag_1 over the 52 prior rows."""
+    p = dirty(panel(spark, sf))
+    train, test = fx.train_test(p)
+    ev = evaluate_sequence(train, test, fx.feature_spec(spark, "nn"), MeanOfFeature(LAG1),
+                           scaler=fx.scaler_table(spark, "nn", split=True),
+                           calibration=fx.calibration_table(p))
+    return ev.details
+
+
+SQL_SEQUENCE_SCORES_SCALED = (SQL_SEQUENCE_SCORES
+                              .replace('from panel where KEY is not null', 'from panel_dirty where KEY is not null')
+                              .replace("avg(lag_1) over", "avg((lag_1 - 8.0) / 4.0) over"))
+
 CMPBIN_FLOATS = ["Actual_Sales", "Linear_Predicted", "Neural_Predicted", "Linear_Error", "Neural_Error",
                  "Linear_Pct_Error", "Neural_Pct_Error", "Linear_Win_Rate", "Neural_Win_Rate"]
 HIST_FLOATS = ["bin_start", "bin_end"]
@@ -604,6 +645,10 @@ SPEC = {
     "compare_bin_error_long": (q_compare_bin_error_long, SQL_COMPARE_BIN_ERROR_LONG, ["Error"]),
     "compare_histogram": (q_compare_histogram, SQL_COMPARE_HISTOGRAM, HIST_FLOATS),
     "common_pairs": (q_common_pairs, SQL_COMMON_PAIRS, []),
+    "dirty_details": (q_dirty_details, SQL_DIRTY_DETAILS, DETAIL_FLOATS),
+    "dirty_bin_performance": (q_dirty_bin_performance, SQL_DIRTY_BIN_PERFORMANCE, BINPERF_FLOATS),
+    "dirty_metrics": (q_dirty_metrics, SQL_DIRTY_METRICS, METRIC_FLOATS),
+    "sequence_scores_scaled": (q_sequence_scores_scaled, SQL_SEQUENCE_SCORES_SCALED, DETAIL_FLOATS),
 }
 
 
