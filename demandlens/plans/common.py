@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass
 class Evaluation:
-    """Lazy outputs of an evaluation job.
+    """Outputs of an evaluation job (lazy DataFrames).
 
     details: one row per scored test row (result schema + Discount_Bin and
              calibration_level).
-    skips:   (KEY, DATE, reason) for every product or row left out.
+    skips:   (KEY, DATE, reason) for every product or row left out; its plan
+             is only built when asked for.
     """
-    details: DataFrame
-    skips: DataFrame
+
+    def __init__(self, details: DataFrame, skips: Callable[[], DataFrame]):
+        self.details = details
+        self._skips = skips
+        self._built: DataFrame | None = None
+
+    @property
+    def skips(self) -> DataFrame:
+        if self._built is None:
+            self._built = self._skips()
+        return self._built
 
 
 def union_history(train: DataFrame, test: DataFrame) -> DataFrame:

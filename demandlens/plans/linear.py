@@ -65,12 +65,14 @@ def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, featur
     good = scored.filter("_ok").drop("_ok")
     details = finalize_results(apply_calibration(good, calibration))
 
-    skips = (test_keys.join(model_keys, "KEY", "left_anti").distinct().transform(
-                 lambda d: skip_rows(d, "no_model", with_date=False))
-             .unionByName(skip_rows(feats.filter((F.col("split") == "test") & (F.col("_n_train") < min_history))
-                                    .select("KEY").distinct(), "insufficient_history", with_date=False))
-             .unionByName(skip_rows(feats.filter((F.col("split") == "test") & F.col("DATE").isNull()
-                                                 & (F.col("_n_train") >= min_history)),
-                                    "missing_date", with_date=True))
-             .unionByName(skip_rows(scored.filter(~F.col("_ok")), "incomplete_features", with_date=True)))
+    def skips() -> DataFrame:
+        tests = feats.filter(F.col("split") == "test")
+        short = F.col("_n_train") < min_history
+        return (skip_rows(test_keys.join(model_keys, "KEY", "left_anti"), "no_model", with_date=False)
+                .unionByName(skip_rows(tests.filter(short).select("KEY").distinct(), "insufficient_history",
+                                       with_date=False))
+                .unionByName(skip_rows(tests.filter(F.col("DATE").isNull() & ~short), "missing_date",
+                                       with_date=True))
+                .unionByName(skip_rows(scored.filter(~F.col("_ok")), "incomplete_features", with_date=True)))
+
     return Evaluation(details=details, skips=skips)

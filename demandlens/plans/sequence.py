@@ -63,9 +63,10 @@ def evaluate_sequence(train: DataFrame, test: DataFrame, feature_spec: DataFrame
     calibrated = apply_calibration(slim, calibration)
     scored = score_sequences(calibrated, predictor, batch_size=batch_size)
     details = finalize_results(scored)
-    skips = (skip_rows(tests.filter(F.col("_n_train") < min_history).select("KEY").distinct(),
-                       "insufficient_history", with_date=False)
-             .unionByName(skip_rows(tests.filter((F.col("_n_train") >= min_history)
-                                                 & (F.size("sequence") < seq_len)),
-                                    "incomplete_features", with_date=True)))
+    def skips() -> DataFrame:
+        short = F.col("_n_train") < min_history
+        return (skip_rows(tests.filter(short).select("KEY").distinct(), "insufficient_history", with_date=False)
+                .unionByName(skip_rows(tests.filter(~short & (F.size("sequence") < seq_len)),
+                                       "incomplete_features", with_date=True)))
+
     return Evaluation(details=details, skips=skips)
