@@ -44,6 +44,8 @@ def first_pass(q: Column, dc: Column | None, split: Column | None, leak_free: bo
     cols = [
         F.row_number().over(in_time()).alias("_rn"),
         F.count(F.lit(1)).over(by_key()).alias("_n"),
+        # a repeated (KEY, DATE) breaks the one-row-per-date contract; flag it in the same pass
+        F.coalesce(F.lag("DATE", 1).over(in_time()) == F.col("DATE"), F.lit(False)).alias("_dup"),
     ]
     if split is not None:
         cols.append(F.count(F.when(split == "train", 1)).over(by_key()).alias("_n_train"))
@@ -99,12 +101,13 @@ def time_series_features(df: DataFrame, *, discount_col: str | None = None,
 
     ``discount_col`` names the cleaned discount the discount lags, changes and
     DISCOUNT_PREV_SALES use (nn profile); ``None`` leaves them out (base).
-    Helper columns ``_rn``, ``_n`` and ``_n_train`` (if ``split`` exists) stay.
+    Helper columns ``_rn``, ``_n``, ``_dup`` (date repeats the previous row's)
+    and ``_n_train`` (if ``split`` exists) stay.
     """
     q = F.col("QUANTITY_SOLD")
     dc = F.col(discount_col) if discount_col else None
     split = F.col("split") if "split" in df.columns else None
     keep = list(df.columns)
     staged = df.select(*keep, *first_pass(q, dc, split, leak_free))
-    helpers = ["_rn", "_n"] + (["_n_train"] if split is not None else [])
+    helpers = ["_rn", "_n", "_dup"] + (["_n_train"] if split is not None else [])
     return staged.select(*keep, *helpers, *second_pass(F.col("month"), dc is not None, dc))

@@ -73,6 +73,7 @@ def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, featur
                                        with_date=False))
                 .unionByName(skip_rows(tests.filter(F.col("DATE").isNull() & ~short), "missing_date",
                                        with_date=True))
-                .unionByName(skip_rows(scored.filter(~F.col("_ok")), "incomplete_features", with_date=True)))
+                .unionByName(skip_rows(scored.filter(~F.col("_ok")), "incomplete_features", with_date=True))
+                .unionByName(skip_rows(feats.filter("_dup"), "duplicate_key_date", with_date=True)))
 
     return Evaluation(details=details, skips=skips)

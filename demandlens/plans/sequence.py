@@ -20,7 +20,7 @@ from demandlens.operators.sequences import prior_sequence
 from demandlens.plans.common import Evaluation, keys_of, result_inputs, skip_rows, union_history
 from demandlens.schema import SEQUENCE_LENGTH
 
-_KEEP = ["KEY", "DATE", "split", "_n_train", "Actual_Sales", "DISCOUNT_IN", "EOSS_IN"]
+_KEEP = ["KEY", "DATE", "split", "_n_train", "_dup", "Actual_Sales", "DISCOUNT_IN", "EOSS_IN"]
 
 
 def sequence_inputs(train: DataFrame, test: DataFrame, feature_spec: DataFrame, *,
@@ -67,6 +67,7 @@ def evaluate_sequence(train: DataFrame, test: DataFrame, feature_spec: DataFrame
         short = F.col("_n_train") < min_history
         return (skip_rows(tests.filter(short).select("KEY").distinct(), "insufficient_history", with_date=False)
                 .unionByName(skip_rows(tests.filter(~short & (F.size("sequence") < seq_len)),
-                                       "incomplete_features", with_date=True)))
+                                       "incomplete_features", with_date=True))
+                .unionByName(skip_rows(tests.filter("_dup"), "duplicate_key_date", with_date=True)))
 
     return Evaluation(details=details, skips=skips)

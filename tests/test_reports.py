@@ -109,3 +109,19 @@ def test_eoss_guard_needs_two_values(spark):
     import datetime as dt
     d = details(spark, [("a", dt.date(2021, 1, 4), 1.0, 2.0, .1, 0.0)])
     assert R.eoss_mae(d).count() == 0
+
+
+def test_duplicate_date_reported_in_skips(spark):
+    import datetime as dt
+    from demandlens.plans.linear import evaluate_linear
+    from demandlens.sources import fixtures as fx
+    days = [dt.date(2021, 1, 4) + dt.timedelta(days=7 * i) for i in range(8)]
+    train = spark.createDataFrame([("k", d, 1.0, 0.1, 0.0, 0.0) for d in days[:6]] + [("k", days[2], 2.0, 0.1, 0.0, 0.0)],
+                                  "KEY string, DATE date, QUANTITY_SOLD double, DISCOUNT double, is_eoss double, "
+                                  "holiday_label double")
+    test = spark.createDataFrame([("k", d, 1.0, 0.1, 0.0, 0.0) for d in days[6:]], train.schema)
+    models = spark.createDataFrame([("k", 0.0, [0.0] * len(fx.profile_features("base")))],
+                                   "KEY string, intercept double, coef array<double>")
+    ev = evaluate_linear(train, test, models, fx.feature_spec(spark, "base"))
+    reasons = [r["reason"] for r in ev.skips.collect()]
+    assert reasons == ["duplicate_key_date"] and ev.details.count() == 2
