@@ -57,3 +57,30 @@ def test_window_features_match_pandas(spark):
         g = got[c].astype(float).to_numpy()
         w = want[c].astype(float).to_numpy()
         assert np.allclose(np.nan_to_num(g, nan=-7.0), np.nan_to_num(w, nan=-7.0), atol=1e-9), c
+
+
+def test_sequences_match_history_slices(spark):
+    """Each test row's sequence equals the last ``steps`` rows strictly before
+    its date (pandas slicing), for every product that passes the gates."""
+    import registered
+    from demandlens.plans.sequence import sequence_inputs
+    from demandlens.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    steps = 4
+    p = registered.panel(spark, SF_SMALL)
+    train, test = fx.train_test(p)
+    spec = fx.feature_spec(spark, "nn")
+    gated, _ = sequence_inputs(train, test, spec, seq_len=steps)
+    got = {(r["KEY"], r["DATE"]): [list(v) for v in r["sequence"]] for r in gated.collect()}
+    cols = fx.profile_features("nn")
+    from demandlens.operators.features import assemble
+    feats = assemble(build_features(p, "nn"), cols, keep=["KEY", "DATE", "split", "_n_train"]).toPandas()
+    want = {}
+    for key, g in feats.sort_values("DATE").groupby("KEY"):
+        for _, row in g[g["split"] == "test"].iterrows():
+            hist = g[g["DATE"] < row["DATE"]]
+            if row["_n_train"] >= steps and len(hist) >= steps:
+                want[(key, row["DATE"])] = hist.iloc[-steps:][cols].to_numpy().tolist()
+    assert set(got) == set(want) and len(got) > 0
+    for k in want:
+        assert np.allclose(np.array(got[k]), np.array(want[k]), atol=1e-12)
