@@ -8,7 +8,7 @@ without a bin are left out of bin reports but not of the overall metrics.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.bins import report_bin_table
@@ -95,13 +95,13 @@ def eoss_mae(details: DataFrame) -> DataFrame:
     value; labelled EOSS / Non-EOSS (other values get no label)."""
     grouped = (details.filter(F.col("is_eoss").isNotNull()).groupBy("is_eoss")
                .agg(F.avg("Absolute_Error").alias("Absolute_Error")))
-    # grouped has one row per distinct flag value: the unpartitioned window is tiny
-    counted = grouped.select("*", F.count(F.lit(1)).over(Window.partitionBy()).alias("_groups"))
     label = None
     for v, name in EOSS_LABELS.items():
         cond = F.col("is_eoss") == F.lit(v)
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    return counted.filter(F.col("_groups") > 1).select("is_eoss", "Absolute_Error", label.alias("EOSS_Status"))
+    out = grouped.select("is_eoss", "Absolute_Error", label.alias("EOSS_Status"))
+    # one row per distinct flag value: counting it is a tiny action
+    return out if grouped.count() > 1 else out.limit(0)
 
 
 def product_summary(details: DataFrame) -> DataFrame:

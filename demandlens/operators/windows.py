@@ -20,8 +20,10 @@ from demandlens.schema import (
 )
 
 def by_key():
-    """The product partition (no order)."""
-    return Window.partitionBy("KEY")
+    """The whole product partition.  Spelled as the time-ordered spec with a
+    full frame so whole-partition aggregates share the Window operator (and
+    the single sort) of the ordered features."""
+    return in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def in_time():

@@ -33,9 +33,10 @@ def panel(spark: SparkSession, sf_dir: str, *, dirty: bool = False) -> DataFrame
                    ((F.sum(F.round(F.col("l_discount") * 100).cast("int")) % 11).cast("double") / 20)
                    .alias("DISCOUNT")))
     month = F.month("DATE")
-    by_key = Window.partitionBy("KEY")
     in_time = Window.partitionBy("KEY").orderBy("DATE")
-    from_end = F.count(F.lit(1)).over(by_key) - F.row_number().over(in_time) + 1
+    whole = in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # same partition and order for both: one Window operator, one sort
+    from_end = F.count(F.lit(1)).over(whole) - F.row_number().over(in_time) + 1
     disc = F.col("DISCOUNT")
     if dirty:
         day = F.dayofmonth("DATE")
