@@ -125,3 +125,14 @@ def test_duplicate_date_reported_in_skips(spark):
     ev = evaluate_linear(train, test, models, fx.feature_spec(spark, "base"))
     reasons = [r["reason"] for r in ev.skips.collect()]
     assert reasons == ["duplicate_key_date"] and ev.details.count() == 2
+
+
+def test_empty_details_give_full_schema_outputs(spark):
+    from demandlens.operators.histogram import histogram
+    d = details(spark, [])
+    m = R.metrics_summary(d).first()
+    assert m["total_predictions"] == 0 and m["median_absolute_error"] is None and m["overall_error"] is None
+    bins = R.bin_performance(d).collect()
+    assert len(bins) == 7 and all(r["Actual_Sales_count"] == 0 for r in bins)
+    assert [r["count"] for r in histogram(d, "Absolute_Error", 3).collect()] == [0, 0, 0]
+    assert compare_models(d, d).details.count() == 0
