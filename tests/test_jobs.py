@@ -45,3 +45,17 @@ def test_linear_sequence_and_comparison_jobs(spark):
     assert cmp.count() > 0
     bins = spark.read.parquet(os.path.join(base, "cmp", "discount_bin_comparison"))
     assert bins.count() == 7
+
+
+def test_cli_compare(spark):
+    import datetime as dt
+    from demandlens.__main__ import main
+    from tests.test_reports import details
+    base = tempfile.mkdtemp(prefix="dl-cli-")
+    rows = [("a", dt.date(2021, 1, 4), 1.0, 2.0, .1, 0.0), ("b", dt.date(2021, 1, 4), 3.0, 2.0, .3, 1.0)]
+    write_table(details(spark, rows), os.path.join(base, "l"))
+    write_table(details(spark, rows), os.path.join(base, "n"))
+    main(["compare", "--linear", os.path.join(base, "l"), "--neural", os.path.join(base, "n"),
+          "--out", os.path.join(base, "out")])
+    out = spark.read.parquet(os.path.join(base, "out", "model_comparison_details"))
+    assert out.count() == 2 and {r[0] for r in out.select("Better_Model").collect()} == {"Equal"}

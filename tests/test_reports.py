@@ -136,3 +136,14 @@ def test_empty_details_give_full_schema_outputs(spark):
     assert len(bins) == 7 and all(r["Actual_Sales_count"] == 0 for r in bins)
     assert [r["count"] for r in histogram(d, "Absolute_Error", 3).collect()] == [0, 0, 0]
     assert compare_models(d, d).details.count() == 0
+
+
+def test_median_methods_agree_on_small_data(spark):
+    import datetime as dt
+    rows = [("a", dt.date(2021, 1, 4) + dt.timedelta(days=7 * i), float(i % 5), float(i % 3), .1, 0.0)
+            for i in range(41)]
+    d = details(spark, rows)
+    exact = R.metrics_summary(d, median="exact").first()
+    pct = R.metrics_summary(d, median="percentile").first()
+    approx = R.metrics_summary(d, median="approx").first()
+    assert exact["median_absolute_error"] == pct["median_absolute_error"] == approx["median_absolute_error"]
