@@ -1,8 +1,8 @@
 """Runnable jobs: read inputs, evaluate, write every output.
 
 The details of an evaluation feed eight reports; they are materialized once
-with a reliable checkpoint in the session's shared checkpoint folder (lineage
-cut, survives executor loss) instead of being recomputed per report.
+as Parquet in the session's shared checkpoint folder (lineage cut, survives
+executor loss, keeps statistics) instead of being recomputed per report.
 
 Outputs (directory layout under ``output_dir``):
   forecast_evaluation_details/   details (Parquet by default, or CSV)
@@ -38,7 +38,7 @@ from demandlens.sources.sinks import write_metrics_text, write_table
 
 def write_reports(details: DataFrame, output_dir: str, fmt: str = "parquet", *, median: str = "exact") -> DataFrame:
     """All reports of one evaluation; returns the materialized details."""
-    details = materialize(details)
+    details = materialize(details, "details")
     out = output_dir.rstrip("/")
     write_table(details, f"{out}/forecast_evaluation_details", fmt)
     write_table(R.product_summary(details), f"{out}/product_forecast_summary", fmt)
@@ -90,7 +90,7 @@ def run_comparison(spark: SparkSession, *, linear_path: str, neural_path: str, o
                    input_format: str = "parquet", output_format: str = "parquet"):
     cmp = compare_models(read_results(spark, linear_path, input_format),
                          read_results(spark, neural_path, input_format))
-    details = materialize(cmp.details)
+    details = materialize(cmp.details, "comparison")
     out = output_dir.rstrip("/")
     write_table(details, f"{out}/model_comparison_details", output_format)
     write_table(C.comparison_by_bin(details).orderBy("bin_ordinal"), f"{out}/discount_bin_comparison",

@@ -37,13 +37,13 @@ _PANELS: dict[tuple[str, str], DataFrame] = {}
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The sales panel of ``sf``, computed once per session and checkpointed
-    (reliable checkpoint in the session's checkpoint folder)."""
+    """The sales panel of ``sf``, computed once per session and written as
+    Parquet into the session's shared checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PANELS:
         prepare_session(spark)
         ensure_checkpoint_dir(spark)
-        _PANELS[key] = materialize(fx.panel(spark, sf))
+        _PANELS[key] = materialize(fx.panel(spark, sf), "panel")
     return _PANELS[key]
 
 
