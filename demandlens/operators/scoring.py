@@ -46,7 +46,7 @@ PredictorFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
 class MeanOfFeature:
-    """Reference predictor: the mean of one feature over the sequence steps.
+    """Baseline predictor: the mean of one feature over the sequence steps.
     Picklable factory (call it to get the predict function)."""
 
     def __init__(self, index: int):
