@@ -23,11 +23,22 @@ from demandlens.schema import RESULT_COLUMNS
 
 
 def linear_predict(features: Column, intercept: Column, coef: Column) -> Column:
-    """intercept + sum(coef_i * x_i); NULL when the lengths disagree."""
+    """intercept + sum(coef_i * x_i) over an assembled feature array; NULL when
+    the lengths disagree."""
     dot = F.aggregate(F.zip_with(coef, features, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     return F.when(F.size(coef) == F.size(features), intercept + dot)
 
 
+def linear_predict_columns(feature_cols: list[str], intercept: Column, coef: Column) -> Column:
+    """The same prediction as a flat expression over the feature columns
+    (coef[i] * x_i folded left from 0.0, then + intercept): no array is built
+    and no higher-order function leaves whole-stage codegen."""
+    dot = F.lit(0.0)
+    for i, c in enumerate(feature_cols):
+        dot = dot + coef.getItem(i) * F.col(c)
+    return F.when(F.size(coef) == len(feature_cols), intercept + dot)
+
+
 def finalize_results(scored: DataFrame) -> DataFrame:
     """From (KEY, DATE, Actual_Sales, Raw_Prediction, DISCOUNT, is_eoss,
     calibration_factor) to the result schema plus ``Discount_Bin``."""

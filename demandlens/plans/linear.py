@@ -6,7 +6,7 @@ Plan shape (one shuffle of the panel, on KEY):
     -> row features -> windows (one sort: KEY, DATE)
     -> test rows, history gate -> clean/scale (projection)
     -> join model on KEY (co-partitioned, or broadcast if Spark measures it small)
-    -> intercept + coef . x  (higher-order SQL, no Python)
+    -> intercept + sum coef[i] * x_i  (flat codegen'd expression, no Python)
     -> calibration join on KEY -> clamp, errors, report bin
 """
 
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.operators.calibration import apply_calibration
-from demandlens.operators.features import assemble, build_features, feature_list, feature_vector
+from demandlens.operators.features import assemble, build_features, feature_list
 from demandlens.operators.scaling import standard_scale
-from demandlens.operators.scoring import finalize_results, linear_predict
+from demandlens.operators.scoring import finalize_results, linear_predict_columns
 from demandlens.plans.common import Evaluation, keys_of, result_inputs, skip_rows, union_history
 from demandlens.schema import MIN_TRAIN_ROWS_LINEAR
 from demandlens.session import prepare_session
@@ -55,12 +55,11 @@ def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, featur
     feats = build_features(scoped, "base", leak_free=leak_free)
 
     ready = scored_test_rows(feats, feature_cols, scaler, min_history)
-    vec = feature_vector(feature_cols)
-    with_model = ready.select(*RESULT_KEEP, vec.alias("_x")).join(models, "KEY", "inner")
-    ok = F.size("coef") == F.size("_x")
+    with_model = ready.join(models, "KEY", "inner")
+    ok = F.size("coef") == len(feature_cols)
     scored = with_model.select(
         "KEY", "DATE", "Actual_Sales", F.col("DISCOUNT_IN").alias("DISCOUNT"), F.col("EOSS_IN").alias("is_eoss"),
-        linear_predict(F.col("_x"), F.col("intercept"), F.col("coef")).alias("Raw_Prediction"),
+        linear_predict_columns(feature_cols, F.col("intercept"), F.col("coef")).alias("Raw_Prediction"),
         ok.alias("_ok"))
     good = scored.filter("_ok").drop("_ok")
     details = finalize_results(apply_calibration(good, calibration))

@@ -121,3 +121,18 @@ def test_one_row_product_defaults(spark):
         .withColumn("DATE", F.to_date("DATE"))
     r = build_features(df, "base").first()
     assert (r["trend"], r["trend_diff"], r["seasonal_indicator"]) == (0.5, 0.0, 0.0)
+
+
+def test_linear_predict_forms_agree(spark):
+    import random
+    from demandlens.operators.scoring import linear_predict, linear_predict_columns
+    rnd = random.Random(5)
+    cols = [f"f{i}" for i in range(7)]
+    rows = [tuple([rnd.uniform(-3, 3) for _ in cols] + [[rnd.uniform(-1, 1) for _ in cols], rnd.uniform(-1, 1)])
+            for _ in range(50)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", coef array<double>, b double")
+    out = df.select(linear_predict(F.array(*cols), F.col("b"), F.col("coef")).alias("x"),
+                    linear_predict_columns(cols, F.col("b"), F.col("coef")).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in out)
+    short = df.select(linear_predict_columns(cols + ["f0"], F.col("b"), F.col("coef")).alias("z")).collect()
+    assert all(r["z"] is None for r in short)
