@@ -21,10 +21,12 @@ from demandlens.operators.windows import in_time
 def prior_sequence(df: DataFrame, vector: Column, steps: int, *, is_target: Column,
                    out_col: str = "sequence") -> DataFrame:
     """Add ``out_col`` (array of the previous ``steps`` vectors, oldest first)
-    for rows where ``is_target``; other rows get NULL."""
+    for rows where ``is_target``; other rows get NULL.  The vector itself is
+    only built for rows some later target row needs."""
     needed = F.max(is_target.cast("int")).over(in_time().rowsBetween(1, steps))
-    staged = df.select("*", vector.alias("_vec"), needed.alias("_needed"))
-    seq = F.collect_list(F.when(F.col("_needed") == 1, F.col("_vec"))).over(in_time().rowsBetween(-steps, -1))
+    staged = df.select("*", needed.alias("_needed"))
+    staged = staged.select("*", F.when(F.col("_needed") == 1, vector).alias("_vec"))
+    seq = F.collect_list(F.col("_vec")).over(in_time().rowsBetween(-steps, -1))
     out = staged.select("*", F.when(is_target, seq).alias(out_col))
     return out.drop("_vec", "_needed")
 
