@@ -1,0 +1,18 @@
+"""Every registered query: no cartesian / nested-loop joins, Python only where
+a sequence predictor runs."""
+
+import pytest
+
+import __spark_entry__ as E
+from tests.conftest import SF_SMALL
+
+PYTHON_OK = {"sequence_scores", "sequence_scores_scaled"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plan_guards(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    txt = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt
+    has_python = "MapInPandas" in txt or "ArrowEvalPython" in txt or "BatchEvalPython" in txt
+    assert has_python == (name in PYTHON_OK)
