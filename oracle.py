@@ -105,21 +105,21 @@ TREND = ("case when n > 1 then (rn - 1) / n else 0.5 end as trend, "
          "as seasonal_indicator")
 
 
-def base_feature_ctes(src: str, keys_filter: str = "true", leak_free=False) -> str:
-    """CTE chain ending in ``bf`` (base profile, unclean)."""
+def base_feature_ctes(src: str, keys_filter: str = "true", leak_free=False, sfx: str = "") -> str:
+    """CTE chain ending in ``bf{sfx}`` (base profile, unclean)."""
     return f"""
-b1 AS (
+b1{sfx} AS (
   select KEY, DATE, QUANTITY_SOLD, DISCOUNT, DISCOUNT as DISCOUNT_RAW, is_eoss, holiday_label, split,
          month(DATE) as month, year(DATE) as year, quarter(DATE) as quarter,
          isodow(DATE) - 1 as day_of_week, dayofyear(DATE) as day_of_year, weekofyear(DATE) as week_of_year
   from {src} where KEY is not null and ({keys_filter})),
-b2 AS (
+b2{sfx} AS (
   select *, {cyc('month', 'month', 12)}, {cyc('day_of_week', 'day_of_week', 7)}, {cyc('week', 'week_of_year', 52)},
          DISCOUNT * DISCOUNT as DISCOUNT_SQUARED, {DBIN('DISCOUNT')} as DISCOUNT_BIN,
          DISCOUNT * is_eoss as DISCOUNT_EOSS
-  from b1),
-b3 AS (select *, {', '.join(window_cols(leak_free=leak_free))} from b2),
-bf AS (select *, {TREND} from b3)"""
+  from b1{sfx}),
+b3{sfx} AS (select *, {', '.join(window_cols(leak_free=leak_free))} from b2{sfx}),
+bf{sfx} AS (select *, {TREND} from b3{sfx})"""
 
 
 def clean(c: str) -> str:
@@ -192,26 +192,26 @@ def calibration_case(prefix=""):
 
 
 def details_ctes(model: str, *, calibrated=True, min_history=5, src="panel", drop_type=None,
-                 leak_free=False) -> str:
-    """CTE chain ending in ``details`` for the linear evaluation."""
+                 leak_free=False, sfx: str = "") -> str:
+    """CTE chain ending in ``details{sfx}`` for the linear evaluation."""
     f, lv = calibration_case()
     factor = f if calibrated else "1.0"
     level = lv if calibrated else "'none'"
     keep = f" and {PTYPE} <> '{drop_type}'" if drop_type else ""
-    return base_feature_ctes(src, NOT_STANDARD, leak_free) + f""",
-scored AS (
+    return base_feature_ctes(src, NOT_STANDARD, leak_free, sfx) + f""",
+scored{sfx} AS (
   select KEY, DATE, QUANTITY_SOLD as Actual_Sales, DISCOUNT_RAW as DISCOUNT, is_eoss,
          {MODELS[model].replace('lag_1', clean('lag_1')).replace('rolling_mean_4', clean('rolling_mean_4')).replace('rolling_mean_12', clean('rolling_mean_12'))} as Raw_Prediction,
          {CBIN('DISCOUNT_RAW')} as cal_bin
-  from bf where split = 'test' and n_train >= {min_history} and DATE is not null{keep}),
-cal AS (select *, {factor} as calibration_factor, {level} as calibration_level from scored),
-pred AS (select *, case when Raw_Prediction * calibration_factor > 0 then Raw_Prediction * calibration_factor else 0.0 end as Predicted_Sales from cal),
-err AS (select *, abs(Predicted_Sales - Actual_Sales) as Absolute_Error from pred),
-details AS (
+  from bf{sfx} where split = 'test' and n_train >= {min_history} and DATE is not null{keep}),
+cal{sfx} AS (select *, {factor} as calibration_factor, {level} as calibration_level from scored{sfx}),
+pred{sfx} AS (select *, case when Raw_Prediction * calibration_factor > 0 then Raw_Prediction * calibration_factor else 0.0 end as Predicted_Sales from cal{sfx}),
+err{sfx} AS (select *, abs(Predicted_Sales - Actual_Sales) as Absolute_Error from pred{sfx}),
+details{sfx} AS (
   select KEY, DATE, Actual_Sales, Predicted_Sales, Raw_Prediction, Absolute_Error,
          Absolute_Error / (Actual_Sales + 1e-5) * 100 as Percent_Error, DISCOUNT, is_eoss,
          {RBIN('DISCOUNT')} as Discount_Bin, calibration_level
-  from err)"""
+  from err{sfx})"""
 
 
 def with_(ctes: str, select: str) -> str:

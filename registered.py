@@ -517,13 +517,8 @@ def q_common_pairs(spark, sf):
 
 
 def _ab_ctes():
-    a = O.details_ctes("a", drop_type="PROMO")
-    b = O.details_ctes("b", drop_type="LARGE")
-    # rename the second chain's CTEs
-    for name in ("b1", "b2", "b3", "bf", "scored", "cal", "pred", "err", "details"):
-        b = b.replace(f"\n{name} AS (", f"\n{name}_b AS (").replace(f" from {name})", f" from {name}_b)") \
-             .replace(f" from {name} where", f" from {name}_b where").replace(f"from {name}\n", f"from {name}_b\n")
-    return a + "," + b
+    return (O.details_ctes("a", drop_type="PROMO") + ","
+            + O.details_ctes("b", drop_type="LARGE", sfx="_b"))
 
 
 _CMP = _ab_ctes() + """,
