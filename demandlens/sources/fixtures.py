@@ -17,7 +17,7 @@ from demandlens.schema import is_discount_feature
 
 TEST_WEEKS = 9
 ABSENT_FEATURE = "promo_depth"          # named by the spec, produced by no profile
-_CATEGORICAL = {"month", "year", "quarter", "day_of_week", "day_of_year", "week_of_year",
+CATEGORICAL = {"month", "year", "quarter", "day_of_week", "day_of_year", "week_of_year",
                 "is_eoss", "holiday_label", "seasonal_indicator"}
 
 
@@ -59,7 +59,7 @@ def profile_features(profile: str) -> list[str]:
 
 
 def feature_spec(spark: SparkSession, profile: str) -> DataFrame:
-    rows = [(i, f, is_discount_feature(f), f in _CATEGORICAL) for i, f in enumerate(profile_features(profile))]
+    rows = [(i, f, is_discount_feature(f), f in CATEGORICAL) for i, f in enumerate(profile_features(profile))]
     return spark.createDataFrame(rows, "pos int, feature string, is_discount boolean, is_categorical boolean")
 
 

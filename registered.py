@@ -28,6 +28,7 @@ from demandlens.operators.sequences import gather_steps
 from demandlens.plans.comparison import compare_models
 from demandlens.plans.linear import evaluate_linear
 from demandlens.plans.sequence import evaluate_sequence, sequence_inputs
+from demandlens.schema import METRIC_LABELS
 from demandlens.session import ensure_checkpoint_dir, materialize, prepare_session
 from demandlens.sources import fixtures as fx
 from demandlens.sources.readers import read_sales
@@ -245,7 +246,7 @@ def _split_expr(c):
     v = O.clean(c) if c in O.NN_HAVE else "0.0"
     if "discount" in c.lower():
         return f"{v} * 2.0 + -0.5 as {c}"
-    if c in fx._CATEGORICAL:
+    if c in fx.CATEGORICAL:
         return f"{v} as {c}"
     return f"({v} - 8.0) / 4.0 as {c}"
 
@@ -320,7 +321,7 @@ def q_metrics_long(spark, sf):
 
 SQL_METRICS_LONG = ("select * from (" + " union all ".join(
     f"select cast({i} as integer) as pos, '{label}' as metric, cast({col} as double) as value from ({SQL_METRICS_INNER}) t{i}"
-    for i, (col, label) in enumerate(__import__("demandlens.schema", fromlist=["x"]).METRIC_LABELS)) + ") u")
+    for i, (col, label) in enumerate(METRIC_LABELS)) + ") u")
 
 
 def q_metrics_text(spark, sf):
