@@ -218,11 +218,19 @@ def with_(ctes: str, select: str) -> str:
     return f"WITH {PANEL},{ctes}\n{select}"
 
 
+def stable_round(x: str, d: int) -> str:
+    """Same two-step half-up rounding as the Spark side, operation for operation."""
+    x = f"cast({x} as double)"
+    snapped = f"floor({x} * 1e{d + 3} + 0.5e0)"
+    return (f"case when isnan({x}) or isinf({x}) then {x} "
+            f"else floor({snapped} / 1e3 + 0.5e0) / 1e{d} end")
+
+
 def rounded(sql: str, cols) -> str:
     """Round (column, digits) pairs of a statement's result."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {d}) as {c}" for c, d in cols)
+    rep = ", ".join(f"{stable_round(c, d)} as {c}" for c, d in cols)
     return f"select * replace ({rep}) from ({sql}) q"
 
 

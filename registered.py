@@ -65,9 +65,21 @@ def digits_of(col: str, name: str) -> int:
     return 3 if pct_mean else 6
 
 
+def stable_round(c, d: int):
+    """Round half up to ``d`` decimals in two explicit IEEE steps that DuckDB
+    repeats bit for bit (``oracle.stable_round``): first snap to d+3 decimals,
+    which absorbs last-ulp noise from summation order, then round.  Engine
+    ``round`` functions disagree on exact halves; this does not.  +-inf, NaN
+    and NULL pass through; -0.0 comes out as 0.0."""
+    x = c.cast("double")
+    snapped = F.floor(x * F.lit(10.0 ** (d + 3)) + F.lit(0.5)).cast("double")
+    rounded = F.floor(snapped / F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0 ** d)
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(rounded)
+
+
 def rnd(df: DataFrame, cols, name: str = "") -> DataFrame:
     cols = set(cols)
-    return df.select(*[F.round(F.col(c), digits_of(c, name)).alias(c) if c in cols else F.col(c)
+    return df.select(*[stable_round(F.col(c), digits_of(c, name)).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
