@@ -48,8 +48,8 @@ def ladder(x: str, edges, labels, quote=False) -> str:
     return "case " + " ".join(parts) + " end"
 
 
-DBIN = lambda x: ladder(x, (-0.001, 0.05, 0.15, 0.25, 0.35, 1.0), [f"{i}.0" for i in range(5)])
-FBIN = lambda x: ladder(x, (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 1.0), [f"{i}.0" for i in range(10)])
+DBIN = lambda x: ladder(x, (-0.001, 0.05, 0.15, 0.25, 0.35, 1.0), [f"cast({i} as double)" for i in range(5)])
+FBIN = lambda x: ladder(x, (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 1.0), [f"cast({i} as double)" for i in range(10)])
 RBIN_LABELS = ("0-5%", "5-10%", "10-15%", "15-20%", "20-30%", "30-40%", "40%+")
 RBIN_EDGES = (-0.001, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 1.0)
 RBIN = lambda x: ladder(x, RBIN_EDGES, RBIN_LABELS, quote=True)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import digest
+from tools.check_oracle import digest, type_diff
 from tests.conftest import SF_SMALL
 
 NAMES = sorted(E.oracle_sql())
@@ -26,6 +26,7 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert type_diff(df, con, E.oracle_sql()[name]) == {}
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
