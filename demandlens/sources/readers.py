@@ -23,37 +23,49 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None) -> DataFrame:
-    if fmt == "csv":
-        reader = spark.read.option("header", True)
-        if schema is not None:
-            reader = reader.schema(schema)
-        return reader.csv(path)
-    return spark.read.format(fmt).load(path)
+def _typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV columns are matched to ``schema`` by header name (any order; absent
+    optional columns stay absent; unknown columns are kept as text).  All
+    fields are read as text and cast, so nothing is inferred and a value that
+    does not parse fails the job under ANSI casts."""
+    raw = spark.read.option("header", True).csv(path)
+    types = {f.name: f.dataType for f in schema.fields}
+    cols = []
+    for c in raw.columns:
+        t = types.get(c)
+        if t is None or isinstance(t, T.StringType):
+            cols.append(F.col(c))
+        elif isinstance(t, T.DateType):
+            cols.append(F.to_date(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c).cast(t).alias(c))
+    return raw.select(*cols)
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None) -> DataFrame:
     """A sales panel (KEY, DATE, QUANTITY_SOLD, optional DISCOUNT, is_eoss,
-    holiday_label, ...).  CSV is read with a declared schema: the panel schema
-    restricted to the header's columns is the caller's job, the default is the
-    full panel schema."""
-    if fmt == "csv" and schema is None:
-        schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "DATE" else f.dataType)
-                               for f in PANEL_SCHEMA.fields])
-    return normalize(_read(spark, path, fmt, schema))
+    holiday_label, ...).  CSV columns are typed by name from ``schema``
+    (default: the panel schema)."""
+    if fmt == "csv":
+        return normalize(_typed_csv(spark, path, schema or PANEL_SCHEMA))
+    return normalize(spark.read.format(fmt).load(path))
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """An evaluation-result table (the comparison's input)."""
-    schema = None
     if fmt == "csv":
-        schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "DATE" else f.dataType)
-                               for f in RESULT_SCHEMA.fields] + [T.StructField("Discount_Bin", T.StringType())])
-    return normalize(_read(spark, path, fmt, schema))
+        return normalize(_typed_csv(spark, path, RESULT_SCHEMA))
+    return normalize(spark.read.format(fmt).load(path))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None) -> DataFrame:
-    """Parameter tables: models, feature spec, scaler, calibration."""
-    return _read(spark, path, fmt, schema)
+    """Parameter tables: models, feature spec, scaler, calibration (Parquet,
+    JSON or any Spark format; CSV needs a schema for typed columns)."""
+    if fmt == "csv" and schema is not None:
+        return _typed_csv(spark, path, schema)
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(path)

@@ -38,3 +38,15 @@ def test_small_report_single_file(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="dl-bins-"), "bins")
     write_table(R.bin_performance(d), path, "csv", single_file=True)
     assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
+
+
+def test_csv_columns_matched_by_name(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="dl-csv-"), "p")
+    rows = [("2021-01-04", "k", "3.0", "extra"), ("2021-01-11", "k", "", "x")]
+    spark.createDataFrame(rows, "DATE string, KEY string, QUANTITY_SOLD string, note string") \
+        .write.option("header", True).csv(path)
+    from demandlens.sources.readers import read_sales
+    df = read_sales(spark, path, "csv")
+    assert "DISCOUNT" not in df.columns and df.schema["QUANTITY_SOLD"].dataType.simpleString() == "double"
+    got = sorted((str(r["DATE"]), r["KEY"], r["QUANTITY_SOLD"]) for r in df.collect())
+    assert got == [("2021-01-04", "k", 3.0), ("2021-01-11", "k", None)]
