@@ -3,7 +3,7 @@ Small reports (bins, metrics) are coalesced to one file; large ones are not."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.schema import METRIC_LABELS
@@ -21,14 +21,42 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, single_file:
     w.format(fmt).save(path)
 
 
+def shortest_text(x: Column) -> Column:
+    """A double as Python prints it: the shortest digits that read back as the
+    same double, in fixed notation for decimal exponents -4..15 and as
+    ``d.ddde+XX`` otherwise; 'inf', '-inf', 'nan' (also for NULL)."""
+    x = x.cast("double")
+    cands = [F.format_string(f"%.{p}e", x) for p in range(17)]
+    sci = F.coalesce(*[F.when(c.cast("double") == x, c) for c in cands], cands[-1])
+    parts = r"^(-?)(\d)(?:\.(\d+))?e([+-]\d+)$"
+    sign = F.regexp_extract(sci, parts, 1)
+    frac = F.regexp_replace(F.regexp_extract(sci, parts, 3), "0+$", "")
+    digits = F.concat(F.regexp_extract(sci, parts, 2), frac)
+    e = F.regexp_extract(sci, parts, 4).cast("int")
+    n = F.length(digits)
+    p = e + 1                                   # digits before the decimal point
+    fixed = (F.when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), digits))
+             .when(p >= n, F.concat(digits, F.repeat(F.lit("0"), p - n), F.lit(".0")))
+             .otherwise(F.concat(F.substring(digits, 1, p), F.lit("."), F.substring(digits, p + 1, n))))
+    mant = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 17))) \
+        .otherwise(digits)
+    exp = F.concat(F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    body = F.when((e >= -4) & (e < 16), fixed).otherwise(F.concat(mant, F.lit("e"), exp))
+    return (F.when(x.isNull() | F.isnan(x), F.lit("nan"))
+            .when(x == F.lit(float("inf")), F.lit("inf")).when(x == F.lit(float("-inf")), F.lit("-inf"))
+            .when(x == 0, F.when(F.format_string("%s", x).startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+            .otherwise(F.concat(sign, body)))
+
+
 def metrics_text(summary: DataFrame) -> DataFrame:
     """One ``label: value`` line per metric, in the fixed order (one row in,
-    nine rows out).  Counts print as integers, the rest as doubles."""
+    nine rows out), formatted as the original text report: counts as
+    integers, everything else as ``shortest_text``."""
     lines = []
     for pos, (col, label) in enumerate(METRIC_LABELS):
         c = F.col(col)
-        text = c.cast("string") if col in ("total_products", "total_predictions") else F.lower(c.cast("double").cast("string"))
-        lines.append(F.struct(F.lit(pos).alias("pos"), F.concat(F.lit(f"{label}: "), F.coalesce(text, F.lit("nan"))).alias("value")))
+        text = c.cast("string") if col in ("total_products", "total_predictions") else shortest_text(c)
+        lines.append(F.struct(F.lit(pos).alias("pos"), F.concat(F.lit(f"{label}: "), text).alias("value")))
     return (summary.select(F.explode(F.array(*lines)).alias("l"))
             .select("l.pos", "l.value"))
 

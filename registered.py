@@ -337,7 +337,19 @@ SQL_METRICS_LONG = ("select * from (" + " union all ".join(
 
 
 def q_metrics_text(spark, sf):
-    return metrics_text(R.metrics_summary(details_a(spark, sf)))
+    """The text report of the (hash-rounded) summary: 'Label: value' lines."""
+    return metrics_text(rnd(R.metrics_summary(details_a(spark, sf)), METRIC_FLOATS, "metrics_text"))
+
+
+def _metrics_text_sql() -> str:
+    lines = []
+    for i, (col, label) in enumerate(METRIC_LABELS):
+        if col in METRIC_FLOATS:
+            v = f"coalesce(cast({O.stable_round(col, digits_of(col, 'metrics_text'))} as varchar), 'nan')"
+        else:
+            v = f"cast({col} as varchar)"
+        lines.append(f"select cast({i} as integer) as pos, concat('{label}: ', {v}) as value from m")
+    return f"with m AS ({SQL_METRICS_INNER}) " + " union all ".join(lines)
 
 
 def q_product_summary(spark, sf):
@@ -630,7 +642,7 @@ SPEC = {
     "skip_audit": (q_skip_audit, SQL_SKIP_AUDIT, []),
     "metrics_summary": (q_metrics_summary, SQL_METRICS_SUMMARY, METRIC_FLOATS),
     "metrics_long": (q_metrics_long, SQL_METRICS_LONG, ["value"]),
-    "metrics_text": (q_metrics_text, None, []),
+    "metrics_text": (q_metrics_text, "__METRICS_TEXT__", []),
     "bin_mae": (q_bin_mae, SQL_BIN_MAE, ["Absolute_Error"]),
     "bin_means": (q_bin_means, SQL_BIN_MEANS, ["Actual_Sales", "Predicted_Sales"]),
     "eoss_mae": (q_eoss_mae, SQL_EOSS_MAE, ["Absolute_Error"]),
@@ -673,4 +685,6 @@ def oracle_query(name: str) -> str | None:
     _, sql, floats = SPEC[name]
     if sql is None:
         return None
+    if sql == "__METRICS_TEXT__":
+        return _metrics_text_sql()
     return O.rounded(sql, [(c, digits_of(c, name)) for c in floats])

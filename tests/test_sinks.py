@@ -50,3 +50,17 @@ def test_csv_columns_matched_by_name(spark):
     assert "DISCOUNT" not in df.columns and df.schema["QUANTITY_SOLD"].dataType.simpleString() == "double"
     got = sorted((str(r["DATE"]), r["KEY"], r["QUANTITY_SOLD"]) for r in df.collect())
     assert got == [("2021-01-04", "k", 3.0), ("2021-01-11", "k", None)]
+
+
+def test_shortest_text_matches_python_repr(spark):
+    import random
+    from demandlens.sources.sinks import shortest_text
+    rnd = random.Random(2)
+    vals = [28347.0, 1.281298329939779, 1.509903313490213e-14, 21003095.60462404, 196773.5906662986, 1e-5,
+            0.0001, 1e16, 1234567890123456.0, 0.1, 2.5, 100.0, 1.5e-4, 123456789.0, -4.25, -1e-7, 0.0, 1e22,
+            float("inf"), float("-inf")]
+    vals += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-9, 18) for _ in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(shortest_text(F.col("v"))).collect()]
+    assert got == [repr(v) for v in vals]
+    assert spark.createDataFrame([(None,)], "v double").select(shortest_text(F.col("v"))).first()[0] == "nan"
