@@ -83,12 +83,13 @@ def rnd(df: DataFrame, cols, name: str = "") -> DataFrame:
                        for c in df.columns])
 
 
-def linear_eval(spark, sf, model="a", *, calibrated=True, min_history=5, drop_type=None, src=None):
+def linear_eval(spark, sf, model="a", *, calibrated=True, min_history=5, drop_type=None, src=None,
+                leak_free=False):
     p = panel(spark, sf) if src is None else src
     train, test = fx.train_test(p)
     ev = evaluate_linear(train, test, fx.linear_model(p, model), fx.feature_spec(spark, "base"),
                          calibration=fx.calibration_table(p) if calibrated else None,
-                         min_history=min_history)
+                         min_history=min_history, leak_free=leak_free)
     if drop_type:
         ev.details = ev.details.filter(~F.col("KEY").endswith("/" + drop_type))
     return ev
@@ -278,6 +279,10 @@ def q_linear_details_b(spark, sf):
     return linear_eval(spark, sf, "b", calibrated=False).details
 
 
+def q_linear_details_leak_free(spark, sf):
+    return linear_eval(spark, sf, "a", leak_free=True).details
+
+
 def q_min_history_gate(spark, sf):
     return linear_eval(spark, sf, "a", min_history=200).details
 
@@ -289,6 +294,7 @@ def q_optional_columns(spark, sf):
 
 SQL_LINEAR_DETAILS = O.with_(O.details_ctes("a"), f"select {DETAIL_COLS} from details")
 SQL_LINEAR_DETAILS_B = O.with_(O.details_ctes("b", calibrated=False), f"select {DETAIL_COLS} from details")
+SQL_LINEAR_DETAILS_LEAK_FREE = O.with_(O.details_ctes("a", leak_free=True), f"select {DETAIL_COLS} from details")
 SQL_MIN_HISTORY_GATE = O.with_(O.details_ctes("a", min_history=200), f"select {DETAIL_COLS} from details")
 SQL_OPTIONAL_COLUMNS = O.with_(
     "\nbare AS (select KEY, DATE, QUANTITY_SOLD, 0.0 as DISCOUNT, 0.0 as is_eoss, 0.0 as holiday_label, split from panel),"
@@ -637,6 +643,7 @@ SPEC = {
     "split_scaled": (q_split_scaled, SQL_SPLIT_SCALED, NN_FLOATS),
     "linear_details": (q_linear_details, SQL_LINEAR_DETAILS, DETAIL_FLOATS),
     "linear_details_uncalibrated": (q_linear_details_b, SQL_LINEAR_DETAILS_B, DETAIL_FLOATS),
+    "linear_details_leak_free": (q_linear_details_leak_free, SQL_LINEAR_DETAILS_LEAK_FREE, DETAIL_FLOATS),
     "min_history_gate": (q_min_history_gate, SQL_MIN_HISTORY_GATE, DETAIL_FLOATS),
     "optional_columns": (q_optional_columns, SQL_OPTIONAL_COLUMNS, DETAIL_FLOATS),
     "skip_audit": (q_skip_audit, SQL_SKIP_AUDIT, []),
