@@ -59,5 +59,6 @@ def calibration_bin(x: Column) -> Column:
 def report_bin_table(spark: SparkSession) -> DataFrame:
     """The 7 report bins with their ordinal: the frame every bin report
     left-joins from, so empty bins still appear.  Fixed size: safe to broadcast."""
+    from demandlens.sources.local import local_frame
     rows = [(i, lab) for i, lab in enumerate(REPORT_BIN_LABELS)]
-    return spark.createDataFrame(rows, "bin_ordinal int, Discount_Bin string")
+    return local_frame(spark, rows, [("bin_ordinal", "INT"), ("Discount_Bin", "STRING")])

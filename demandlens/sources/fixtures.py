@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandlens.operators.features import BASE_FEATURES, NN_FEATURES
+from demandlens.sources.local import local_frame
 from demandlens.schema import is_discount_feature
 
 TEST_WEEKS = 9
@@ -60,7 +61,8 @@ def profile_features(profile: str) -> list[str]:
 
 def feature_spec(spark: SparkSession, profile: str) -> DataFrame:
     rows = [(i, f, is_discount_feature(f), f in CATEGORICAL) for i, f in enumerate(profile_features(profile))]
-    return spark.createDataFrame(rows, "pos int, feature string, is_discount boolean, is_categorical boolean")
+    return local_frame(spark, rows, [("pos", "INT"), ("feature", "STRING"), ("is_discount", "BOOLEAN"),
+                                     ("is_categorical", "BOOLEAN")])
 
 
 MODEL_TERMS = {
@@ -87,7 +89,7 @@ def scaler_table(spark: SparkSession, profile: str, *, split: bool) -> DataFrame
             rows.append((f, "minmax", 2.0, -0.5))
         else:
             rows.append((f, "standard", 8.0, 4.0))
-    return spark.createDataFrame(rows, "feature string, kind string, p1 double, p2 double")
+    return local_frame(spark, rows, [("feature", "STRING"), ("kind", "STRING"), ("p1", "DOUBLE"), ("p2", "DOUBLE")])
 
 
 def calibration_table(panel_df: DataFrame) -> DataFrame:
@@ -105,9 +107,9 @@ def calibration_table(panel_df: DataFrame) -> DataFrame:
         rows(ptype == "PROMO", F.lit(0.0), F.lit("0-10%"), 1.1, "product_eoss"),
         rows(ptype.isin("PROMO", "LARGE"), null_d, F.lit("10-20%"), 0.9, "product_discount"),
         rows(ptype.isin("LARGE", "MEDIUM"), null_d, null_s, 1.05, "product"),
-        spark.createDataFrame([("discount_bin", None, None, "20-30%", 0.95),
-                               ("discount_bin", None, None, "40%+", 0.9)],
-                              "level string, KEY string, is_eoss double, discount_bin string, factor double"),
+        local_frame(spark, [("discount_bin", None, None, "20-30%", 0.95), ("discount_bin", None, None, "40%+", 0.9)],
+                    [("level", "STRING"), ("KEY", "STRING"), ("is_eoss", "DOUBLE"), ("discount_bin", "STRING"),
+                     ("factor", "DOUBLE")]),
     ]
     out = parts[0]
     for p in parts[1:]:
