@@ -8,7 +8,6 @@ Floating columns are rounded to 6 decimals on both sides (see ``ROUND``).
 
 from __future__ import annotations
 
-import math
 
 # Fixed values (same as demandlens.schema; restated so the oracle stands alone)
 LAGS = (1, 2, 3, 4, 8, 12, 26, 52)

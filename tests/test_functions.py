@@ -4,13 +4,12 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from demandlens.functions.bins import (
     calibration_bin, discount_bin, fine_discount_bin, report_bin, report_bin_ordinal,
 )
 from demandlens.functions.numeric import clamp_non_negative, ratio_with_inf
-from demandlens.operators.windows import in_time, rolling
+from demandlens.operators.windows import rolling
 
 DISCOUNTS = [-.5, -.001, -.0005, 0.0, .05, .1, .2, .3, .4, 1.0, 1.01, None]
 

@@ -3,7 +3,6 @@ counter on a random panel, against the Spark window features."""
 
 import numpy as np
 import pandas as pd
-import pytest
 
 from demandlens.operators.features import build_features
 
