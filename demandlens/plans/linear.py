@@ -51,7 +51,9 @@ def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, featur
     feature_cols = [f for f, _, _ in feature_list(feature_spec)]
     test_keys, model_keys = keys_of(test), keys_of(models)
     combined = union_history(train, test).filter(F.col("KEY").isNotNull())
-    scoped = combined.join(test_keys, "KEY", "left_semi").join(model_keys, "KEY", "left_semi")
+    # products with test rows and a model: one small key set, one semi join on the panel
+    in_scope = test_keys.join(model_keys, "KEY", "left_semi")
+    scoped = combined.join(in_scope, "KEY", "left_semi")
     feats = build_features(scoped, "base", leak_free=leak_free)
 
     ready = scored_test_rows(feats, feature_cols, scaler, min_history)
