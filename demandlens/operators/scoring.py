@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from demandlens.functions.bins import report_bin
 from demandlens.functions.numeric import clamp_non_negative, percent_error
 from demandlens.schema import RESULT_COLUMNS
+from demandlens.session import ship_package
 
 
 def linear_predict(features: Column, intercept: Column, coef: Column) -> Column:
@@ -73,6 +74,7 @@ def score_sequences(df: DataFrame, factory: PredictorFactory, *, seq_col: str =
     """Append ``out_col`` = predictor(sequence batch).  The predictor gets a
     float64 array (batch, steps, features) and returns (batch,) or (batch, 1).
     NaN/inf predictions become NULL.  The sequence column is dropped."""
+    ship_package(df.sparkSession)     # workers unpickle ``run`` and the factory from this package
     out_fields = [f for f in df.schema.fields if f.name != seq_col]
     out_schema = T.StructType(out_fields + [T.StructField(out_col, T.DoubleType())])
     names = [f.name for f in out_fields]

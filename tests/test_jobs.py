@@ -59,3 +59,22 @@ def test_cli_compare(spark):
           "--out", os.path.join(base, "out")])
     out = spark.read.parquet(os.path.join(base, "out", "model_comparison_details"))
     assert out.count() == 2 and {r[0] for r in out.select("Better_Model").collect()} == {"Equal"}
+
+
+def test_python_workers_get_the_package_from_any_cwd():
+    """The driver may run from anywhere; Python workers must still import the package."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+print("ROWS", len(E.queries()["sequence_scores"](spark, {SF_SMALL!r}).collect()))
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="dl-cwd-"),
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
