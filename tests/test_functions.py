@@ -135,3 +135,24 @@ def test_linear_predict_forms_agree(spark):
     assert all(r["x"] == r["y"] for r in out)
     short = df.select(linear_predict_columns(cols + ["f0"], F.col("b"), F.col("coef")).alias("z")).collect()
     assert all(r["z"] is None for r in short)
+
+
+def test_raw_versus_clipped_discount(spark):
+    """nn: interactions and tiers use the raw discount, powers/bins the cleaned
+    and clipped one; base: nothing is cleaned before squaring and binning."""
+    import datetime as dt
+    from demandlens.operators.features import row_features
+    rows = [("k", dt.date(2021, 3, 1), 1.0, 1.2, 1.0, 0.0), ("k", dt.date(2021, 3, 8), 1.0, None, 1.0, 0.0),
+            ("k", dt.date(2021, 3, 15), 1.0, 0.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "KEY string, DATE date, QUANTITY_SOLD double, DISCOUNT double, "
+                                     "is_eoss double, holiday_label double")
+    nn = {r["DATE"].day: r for r in row_features(df, "nn").collect()}
+    hi, miss, zero = nn[1], nn[8], nn[15]
+    assert hi["DISCOUNT"] == 1.0 and hi["DISCOUNT_RAW"] == 1.2 and hi["discount_tier_high"] == 1.0
+    assert hi["DISCOUNT_EOSS"] == 1.2 and hi["DISCOUNT_SQUARED"] == 1.0 and hi["DISCOUNT_BIN"] == 4.0
+    assert miss["DISCOUNT"] == 0.0 and miss["DISCOUNT_EOSS"] is None
+    assert (miss["discount_tier_high"], miss["discount_tier_med"], miss["discount_tier_low"]) == (0.0, 0.0, 0.0)
+    assert zero["DISCOUNT_FINE_BIN"] is None and zero["DISCOUNT_BIN"] == 0.0 and zero["discount_tier_low"] == 1.0
+    base = {r["DATE"].day: r for r in row_features(df, "base").collect()}
+    assert base[1]["DISCOUNT_SQUARED"] == 1.44 and base[1]["DISCOUNT_BIN"] is None
+    assert base[8]["DISCOUNT_SQUARED"] is None and base[8]["DISCOUNT_RAW"] is None
