@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import mixing
+from demandlens.llm import mixing, pii
 from demandlens.llm.common import prepare, table
 
 
@@ -15,6 +15,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and discovered personal data of every document."""
+    return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op7_pii": op7_pii,
 }
