@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import mixing, pii
+from demandlens.llm import mixing, ngram_join, pii
 from demandlens.llm.common import prepare, table
 
 
@@ -20,7 +20,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of Jaccard links."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
 }
