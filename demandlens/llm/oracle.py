@@ -43,7 +43,30 @@ mixed AS (select a.*, (a.c + coalesce(b.more, false)::int)::bigint as copies,
           from m_v a left join m_take b on a.src is not distinct from b.src and a.v = b.v and a.key = b.key)"""
 
 
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def shingle_cte(name: str, source: str, key: str) -> str:
+    """CTE ``name`` ({key}, s): distinct 5-word shingles, by row of ``source``."""
+    return f"""
+{name}_w AS (select *, regexp_extract_all({ASCII_LOWER}, {WORDS}) as w, row_number() over () as row_no from {source}),
+{name} AS (select distinct row_no, {key}, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)),
+                  i -> array_to_string(w[i:i + 4], ' '))) as s from {name}_w where len(w) > 0)"""
+
+
+def matches_ctes(documents: str, benchmark: str = "benchmark") -> str:
+    """CTEs that end in ``hits``: (row_no, doc_id, item row, item_id, n_item, n_shared)."""
+    return shingle_cte("d_sh", documents, "doc_id") + "," + shingle_cte("i_sh", benchmark, "item_id") + """,
+i_n AS (select row_no, count(*) as n_item from i_sh group by row_no),
+both_ AS (select d.row_no as d_row, d.doc_id, i.row_no as i_row, i.item_id, count(*) as n_shared
+          from d_sh d join i_sh i on d.s = i.s group by all),
+hits AS (select d_row, doc_id, item_id, n_item, n_shared from both_ join i_n on i_row = i_n.row_no
+         where 100 * n_shared >= 75 * n_item)"""
+
+
 ORACLE = {
+    "op3_decontaminate": f"with {matches_ctes('documents')} select doc_id, item_id, n_item as n_item_shingles, "
+                         "n_shared, n_shared / n_item as containment from hits",
     "op5_mixing": f"with {mixing_ctes('documents')} "
                   "select doc_id, size, source_size, target, taken, copies from mixed",
 }

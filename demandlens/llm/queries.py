@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import mixing, ngram_join, pii
+from demandlens.llm import decontaminate, html_text, langid, mixing, ngram_join, pii
 from demandlens.llm.common import prepare, table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item that it contains)."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
     mixed = mixing.pareto_mix(table(spark, sf_dir, "documents"))
@@ -25,8 +35,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op4_html_text": op4_html_text,
     "op5_mixing": op5_mixing,
     "op7_pii": op7_pii,
     "op8_ngram_join": op8_ngram_join,
+    "op10_langid": op10_langid,
 }
