@@ -16,9 +16,8 @@ the sample when the hash of its id is below PER_LANG / documents of its
 language.  Counts are summed in Spark, (language, piece) rows only; smoothed
 counts, languages x vocabulary, are what is collected and broadcast.
 
-Scoring reads whole texts in one narrow pass.  Words are scored once and
-remembered (up to ``MEMO`` words a task, then forgotten: speed only); the
-forward sums run over all new words of one length together.
+Scoring reads whole texts in one narrow pass; the forward sums run over all
+distinct words of one length in a batch of texts together.
 
 Defined results: documents whose id is null are not learned from and not held
 out; a null text, or one without letters, is ``und`` with score 0; so is
@@ -29,7 +28,6 @@ characters outside the vocabulary have one small probability in any language.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,10 +42,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANG = 3000
 SMOOTH = 0.1
 LONG = 24
-MEMO = 200_000
-SLICE = 256
-_LETTER = re.compile(r"[^\W\d_]")
-_MARK = "▁"
+SLICE = 512
 
 
 def remainder(doc_id: Column) -> Column:
@@ -90,78 +85,131 @@ def piece_counts(docs: DataFrame, model, per_lang: int = PER_LANG) -> DataFrame:
                  .groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
+class Trie:
+    """Every prefix of every piece by its polynomial hash, with the row of the
+    piece that it is (or none)."""
+
+    BITS = 19
+
+    def __init__(self, pieces: list[str]):
+        rows: dict[str, int] = {}
+        for i, piece in enumerate(pieces):
+            for k in range(1, len(piece)):
+                rows.setdefault(piece[:k], -1)
+            rows[piece] = i
+        keys = np.array([self._hash(x) for x in rows], dtype=np.uint64)
+        values = np.array(list(rows.values()), dtype=np.int64)
+        self.slots = []
+        while len(keys):                      # a further layer for what shares a bucket
+            at, first = np.unique(self._bucket(keys), return_index=True)
+            layer = (np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int64))
+            layer[0][at], layer[1][at] = keys[first], values[first]
+            self.slots.append(layer)
+            keys, values = np.delete(keys, first), np.delete(values, first)
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * _BASE + ord(c) + 1) % (1 << 64)
+        return h
+
+    @classmethod
+    def _bucket(cls, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - cls.BITS)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is a prefix, row or -1) of hashes."""
+        b = self._bucket(h)
+        known, row = np.zeros(len(h), bool), np.full(len(h), -1, np.int64)
+        for keys, values in self.slots:
+            also = np.flatnonzero(keys[b] == h)
+            known[also] = True
+            row[also] = values[b[also]]
+        return known, row
+
+
+_BASE = 0x100000001B3
+_SPACES = np.array([chr(i).isspace() for i in range(1 << 16)])
+_LETTERS = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_MARK = 0x2581          # the vocabulary's sign for the start of a word
+
+
 class Scorer:
-    """log P(word | language) by the forward algorithm, remembered by word."""
+    """log P(text | language), the forward algorithm run over all distinct words
+    of one length in a batch of texts together."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, unknown: np.ndarray):
-        # rows: pieces, then a character outside the vocabulary, then none
-        self.row = {p: i for i, p in enumerate(pieces)}
-        self.p = np.vstack([probs, unknown[None, :], np.zeros((1, probs.shape[1]))])
-        self.longest = max(map(len, pieces), default=1)
-        self.memo: dict[str, int] = {}
-        self.logp: list[np.ndarray] = []
-        self.table = np.zeros((0, probs.shape[1]))
-
-    def _forward(self, words: list[str]) -> np.ndarray:
-        """Words of one length -> (words, languages) log probabilities."""
-        n, get, out, none = len(words[0]), self.row.get, len(self.p) - 2, len(self.p) - 1
-        alpha = np.zeros((n + 1, len(words), self.p.shape[1]))
+        self.trie = Trie(pieces)
+        self.p, self.unknown = probs, unknown
+
+    def _forward(self, codes: np.ndarray) -> np.ndarray:
+        """(words, characters) -> (words, languages) log probabilities."""
+        words, n = codes.shape
+        alpha = np.zeros((n + 1, words, len(self.unknown)))
         alpha[0] = 1.0
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                miss = out if i - j == 1 else none
-                rows = [get(w[j:i], miss) for w in words]
-                if miss != none or min(rows) != none:
-                    alpha[i] += alpha[j] * self.p[rows]
+        codes = codes.T.astype(np.uint64) + np.uint64(1)
+        for j in range(n):
+            live, h = np.arange(words), np.zeros(words, dtype=np.uint64)
+            for i in range(j, n):
+                h = h * np.uint64(_BASE) + codes[i][live]
+                known, row = self.trie.find(h)
+                hit = np.flatnonzero(row >= 0)
+                if len(hit):
+                    alpha[i + 1][live[hit]] += alpha[j][live[hit]] * self.p[row[hit]]
+                if i == j:
+                    strange = np.flatnonzero(row < 0)
+                    alpha[i + 1][strange] += alpha[j][strange] * self.unknown
+                live, h = live[known], h[known]
+                if not len(live):
+                    break
         return np.log(np.maximum(alpha[n], 1e-300))
 
-    def add(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo, self.table = {}, self.table[:0]
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        blocks = [self.table]
-        for group in by_length.values():
-            for at in range(0, len(group), 4096):
-                part = group[at:at + 4096]
-                blocks.append(self._forward(part))
-                for w in part:
-                    self.memo[w] = len(self.memo)
-        self.table = np.concatenate(blocks)
-
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log probabilities of whole texts; None without letters."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            if t is None or not _LETTER.search(t):
-                split.append(None)
-                continue
-            words = []
-            for w in t.split():
-                w = _MARK + w
-                if len(w) <= LONG:
-                    words.append(w)
-                else:
-                    words.extend(w[k:k + LONG] for k in range(0, len(w), LONG))
-            split.append(words)
-        out: list[np.ndarray | None] = []
-        for words in split:
-            if words is None:
-                out.append(None)
-                continue
-            new = {w for w in words if w not in self.memo}
-            if new:
-                if len(self.memo) + len(new) > MEMO:
-                    new = set(words)
-                self.add(new)
-            out.append(self.table[[self.memo[w] for w in words]].sum(axis=0))
-        return out
+        joined = "\n".join(t or "" for t in texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if not len(codes):
+            return [None] * len(texts)
+        low = np.minimum(codes, 0xFFFF)
+        letters = np.concatenate(([0], np.cumsum(_LETTERS[low] | (codes > 0xFFFF))))
+        ends = np.cumsum([len(t or "") + 1 for t in texts])
+        firsts = ends - np.array([len(t or "") + 1 for t in texts])
+        has = letters[np.minimum(ends - 1, len(codes))] > letters[firsts]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACES[low], [True])).view(np.int8)))
+        starts, size = edge[0::2], edge[1::2] - edge[0::2]
+        parts = (size + LONG - 1) // LONG
+        if len(parts) and parts.max() > 1:          # long words in parts
+            rank = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts, size = np.repeat(starts, parts) + LONG * rank, np.repeat(size, parts) - LONG * rank
+            size = np.minimum(size, LONG)
+        else:
+            rank = np.zeros(len(starts), dtype=np.int64)
+        owner = np.searchsorted(ends, starts, side="right")
+        total = np.zeros((len(texts), len(self.unknown)))
+        for n in np.unique(size):
+            for head in (True, False):
+                mine = np.flatnonzero((size == n) & ((rank == 0) == head))
+                if not len(mine):
+                    continue
+                chars = codes[starts[mine][:, None] + np.arange(n)]
+                h = np.zeros(len(mine), dtype=np.uint64)
+                for k in range(n):
+                    h = h * np.uint64(_BASE) + chars[:, k] + np.uint64(1)
+                _, first, back = np.unique(h, return_index=True, return_inverse=True)
+                word = chars[first]
+                if head:
+                    word = np.concatenate((np.full((len(word), 1), _MARK, dtype=np.uint32), word), axis=1)
+                logp = np.concatenate([self._forward(word[a:a + 8192]) for a in range(0, len(word), 8192)])
+                for k in range(total.shape[1]):
+                    total[:, k] += np.bincount(owner[mine], weights=logp[back, k], minlength=len(texts))
+        return [total[i] if has[i] else None for i in range(len(texts))]
 
 
 def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, probs, unknown = model.value
+        old = np.seterr(over="ignore")
         scorer = Scorer(pieces, probs, unknown) if langs else None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -175,6 +223,7 @@ def _predictor(model):
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(pred, pa.string()),
                                        pa.array(score, pa.float64())],
                                       names=["doc_id", "held_out", "lang_pred", "score"])
+        np.seterr(**old)
     return run
 
 
