@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import cut, prepare
+from demandlens.llm.common import WORD, cut, prepare
 from demandlens.llm.components import components
 from demandlens.llm.shingles import mix, shingle_set
 
@@ -107,20 +107,21 @@ def words_of(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield tuple(c.to_pylist() for c in part.columns)
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("sk", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tx", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()),
+                        ("sk", pa.list_(pa.int64()))])
     with np.errstate(over="ignore"):
-        for ids, texts in _texts(batches):
+        for ids, texts, tx in _texts(batches):
             sets = [shingle_set(t, K) for t in texts]
             yield pa.record_batch([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(ids, pa.int64()), pa.array(tx, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], schema=schema)
 
@@ -279,7 +280,8 @@ class ParityJoin:
         self.spark = docs.sparkSession
         prepare(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.rows = cut(self.docs.mapInArrow(_sketch_rows, "doc_id long, n long, sid long, sk array<long>"), "ng-rows")
+        keyed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("tx"))
+        self.rows = cut(keyed.mapInArrow(_sketch_rows, "doc_id long, tx long, n long, sid long, sk array<long>"), "ng-rows")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sk"))
         self.sets = cut(self.rows.filter(F.col("sid").isNotNull()).groupBy("sid").agg(least.alias("r"))
                         .select("sid", "r.doc_id", "r.n", "r.sk"), "ng-sets")
@@ -346,14 +348,32 @@ class ParityJoin:
         return links
 
     def linked_rows(self) -> DataFrame:
-        """doc_id, n, sid and the component's least id, for every document."""
+        """doc_id, tx (hash of the text), n, sid, root (a component's key) and the
+        component's least id, for every document."""
         comp = components(self.links())
         sets = self.sets.join(comp, self.sets["sid"] == comp["node"], "left") \
                         .select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
         least = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        of_set = sets.join(least, "root").select("sid", "component_id")
-        out = self.rows.select("doc_id", "n", "sid").join(of_set, "sid", "left")
-        return out.select("doc_id", "n", "sid", F.coalesce("component_id", "doc_id").alias("component_id"))
+        of_set = sets.join(least, "root").select("sid", "root", "component_id")
+        out = self.rows.select("doc_id", "tx", "n", "sid").join(of_set, "sid", "left")
+        return out.select("doc_id", "tx", "n", "sid", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component (its least doc_id) and every
+    row without words.  Only the rows that stay are joined back to their texts
+    by (id, text hash); rows repeated whole are then thinned to one."""
+    rows = cut(ParityJoin(docs).linked_rows(), "ng-members")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")
+    keep = (rows.filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "tx").agg(F.count(F.lit(1)).alias("times"))
+            .groupBy("root").agg(F.min(F.struct(key.alias("k"), "times")).alias("m"))
+            .select(F.col("m.k.doc_id").alias("k_id"), F.col("m.k.tx").alias("k_tx"), F.col("m.times").alias("k_times")))
+    wordless = docs.filter(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) == 0)
+    hit = docs.withColumn("__tx", F.xxhash64("text")).join(
+        keep, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("__tx") == F.col("k_tx")))
+    once = hit.filter("k_times = 1").select(*docs.columns)
+    again = hit.filter("k_times > 1").dropDuplicates(["k_id", "k_tx"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(wordless)
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,7 +226,8 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with every found span written as ``[kind]`` in the text;
-    overlapping spans become one, named by the first.  Columns stay as they are."""
+    overlapping spans become one, named by the first; ``n_chars``, where there
+    is one, becomes the new length of a changed text.  Other columns stay."""
     spans = found.filter(F.size("spans") > 0).groupBy("tx").agg(F.first("spans").alias("_spans"))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     keyed = docs.withColumn("_tx", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -240,5 +241,7 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.greatest(acc["at"], s["end"]).alias("at"))
     done = F.aggregate(by_start, state, step,
                        lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    new = F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text"))
-    return joined.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    joined = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
+    size = F.when(F.col("_spans").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("_new"), "n_chars": size}
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import ann, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, quotes
+from demandlens.llm import ann, cotrain, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, quotes
 from demandlens.llm.common import cut, table
 
 
+def op1_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    scored = cotrain.with_scores(docs, table(spark, sf_dir, "labels"))
+    s = F.col(cotrain.SCORES)
+    return scored.select("doc_id", s["score"].alias("score"), s["content"].alias("content_score"),
+                         s["meta"].alias("meta_score"), (s["score"] >= cotrain.KEEP).alias("keep"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -77,6 +86,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotrain": op1_cotrain,
     "op2_ann": op2_ann,
     "op3_decontaminate": op3_decontaminate,
     "op4_html_text": op4_html_text,
