@@ -122,14 +122,22 @@ def platt(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(a, b): the calibrated log odds are a t + b.  Newton steps on smoothed targets."""
     pos, neg = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    def loss(a, b):
+        z = a * t + b
+        return (np.logaddexp(0.0, z) - target * z).sum() + 5e-3 * (a - 1.0) ** 2
+
     a, b = 1.0, 0.0
     for _ in range(50):
         p = _sigmoid(a * t + b)
-        g = np.array([((p - target) * t).sum() + 1e-3 * (a - 1.0), (p - target).sum()])
+        g = np.array([((p - target) * t).sum() + 1e-2 * (a - 1.0), (p - target).sum()])
         s = p * (1 - p)
-        h = np.array([[(s * t * t).sum() + 1e-3, (s * t).sum()], [(s * t).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        h = np.array([[(s * t * t).sum() + 1e-2, (s * t).sum()], [(s * t).sum(), s.sum() + 1e-6]])
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-8:
+            break
     return float(a), float(b)
 
 
