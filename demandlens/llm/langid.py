@@ -78,9 +78,12 @@ def _counter(model):
 def piece_counts(docs: DataFrame, model, per_lang: int = PER_LANG) -> DataFrame:
     """(lang, piece, n) over the sample of the training documents of ``docs``."""
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
-    rates = train.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).select(F.col("lang").alias("r_lang"), "docs")
+    # one number a language: the rate is an expression, so the texts are not shuffled
+    rate = F.lit(0.0)
+    for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect():
+        rate = F.when(F.col("lang") == r.lang, F.lit(per_lang / r.docs)).otherwise(rate)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = train.join(rates, train["lang"] == rates["r_lang"]).filter(place < F.lit(float(per_lang)) / F.col("docs"))
+    sample = train.filter(place < rate)
     return sample.select("lang", "text").mapInArrow(_counter(model), "lang string, piece string, n long") \
                  .groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 

@@ -24,8 +24,9 @@ Words meet in hash shards, packed as byte blocks.  Groups of equal words:
 * up to ``SMALL`` members: all pairs;
 * more: pairs with the least member (linear).  After these are verified, only
   groups with members in different components go on: their sketches are
-  compared in blocks, first giving a spanning forest of the pairs within the
-  Hamming bound, then, once that is verified, all pairs still in different
+  folded to about their sizes in bits and compared in blocks, first giving a
+  spanning forest of the pairs within the Hamming bound, then, once that is
+  verified and only in groups that had any, all pairs still in different
   components.  So copies are never expanded into all pairs, and no link
   between different components is missed.
 
@@ -215,17 +216,18 @@ def _fold(sk: np.ndarray, words: int) -> np.ndarray:
 
 
 def _near_in_block(forest: bool):
-    """Members of two blocks of a group -> pairs (a, b) of different components
-    within the Hamming bound; only a spanning forest of them if ``forest``."""
+    """Members of two blocks of a group, with sketches folded to n bits or more
+    -> pairs (a, b) of different components within the size and Hamming bounds;
+    only a spanning forest of them if ``forest``."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        grp, i, j = (k.as_py() for k in key)
+        table = table.sort_by([("n", "ascending"), ("sid", "ascending")])
         blk = table.column("blk").to_numpy()
         sid, n, comp = (table.column(c).to_numpy() for c in ("sid", "n", "comp"))
         sk = table.column("sk").to_pylist()
         words = min(len(s) for s in sk)
-        sk = np.stack([_fold(np.array(s, dtype=np.int64), words) for s in sk]).view(np.uint64)
+        sk = np.stack([_fold(np.array(s, dtype=np.int64), words) for s in sk]).view(np.uint64).T.copy()
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        right = right[np.argsort(n[right], kind="stable")]
         parent: dict[int, int] = {}
 
         def root(x):
@@ -234,24 +236,28 @@ def _near_in_block(forest: bool):
             return x
 
         a, b = [], []
-        for x in left:
-            lo, hi = np.searchsorted(n[right], [-(-n[x] * NUM // DEN), n[x] * DEN // NUM + 1])
-            others = right[lo:hi]
-            others = others[comp[others] != comp[x]]
-            if not len(others):
-                continue
-            apart = np.bitwise_count(sk[others] ^ sk[x]).sum(axis=1, dtype=np.int64)
-            for y in others[apart * (DEN + NUM) <= (DEN - NUM) * (n[others] + n[x])]:
+        for at in range(0, len(left), 64):
+            x = left[at:at + 64]
+            lo = np.searchsorted(n[right], -(-n[x[0]] * NUM // DEN))
+            hi = np.searchsorted(n[right], n[x[-1]] * DEN // NUM, "right")
+            y = right[lo:hi]
+            apart = np.zeros((len(x), len(y)), dtype=np.int32)
+            for w in sk:
+                apart += np.bitwise_count(w[x][:, None] ^ w[y][None, :])
+            nx, ny = n[x][:, None], n[y][None, :]
+            ok = (apart * (DEN + NUM) <= (DEN - NUM) * (nx + ny)) & (comp[x][:, None] != comp[y][None, :])
+            ok &= np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM
+            for r, c in zip(*np.nonzero(ok)):
+                u, v = x[r], y[c]
                 if forest:
-                    rx, ry = root(int(comp[x])), root(int(comp[y]))
-                    if rx == ry:
+                    ru, rv = root(int(comp[u])), root(int(comp[v]))
+                    if ru == rv:
                         continue
-                    parent[rx] = ry
-                elif i == j and sid[x] > sid[y]:
-                    continue
-                a.append(min(sid[x], sid[y]))
-                b.append(max(sid[x], sid[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    parent[ru] = rv
+                a.append(min(sid[u], sid[v]))
+                b.append(max(sid[u], sid[v]))
+        m = len(a)
+        return pa.table({"grp": pa.array([grp] * m, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
@@ -330,21 +336,27 @@ class ParityJoin:
         groups = self.words()
         links = self.verified(self.near(groups.filter(F.col("b").isNotNull()).select("a", "b")))
         members = groups.filter(F.col("grp").isNotNull()).select("grp", F.col("a").alias("sid"))
+        halved = lambda k: F.when(F.size(k) > 1, F.zip_with(
+            F.slice(k, 1, (F.size(k) / 2).cast("int")), F.slice(k, (F.size(k) / 2).cast("int") + 1, (F.size(k) / 2).cast("int")),
+            lambda x, y: x.bitwiseXOR(y))).otherwise(k)
+        short = self.sets.select("sid", "n", halved(F.col("sk")).alias("sk")).select("sid", "n", halved(F.col("sk")).alias("sk"))
         for forest in (True, False):
             comp = components(links)
             inside = members.join(comp, members["sid"] == comp["node"], "left") \
                             .select("grp", "sid", F.coalesce("root", "sid").alias("comp"))
             open_ = inside.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
                           .filter("lo < hi").select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-            block = inside.join(open_, "grp").join(self.sets.select("sid", "n", "sk"), "sid") \
+            block = inside.join(open_, "grp").join(short, "sid") \
                 .withColumn("blk", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
             # every block with itself and with every other block of its group
             spread = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
                 .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-            found = spread.select("grp", "i", "j", "blk", "sid", "n", "comp", "sk").groupBy("grp", "i", "j") \
-                .applyInArrow(_near_in_block(forest), "a long, b long").distinct()
-            more = self.verified(cut(found, "ng-open"))
+            found = cut(spread.select("grp", "i", "j", "blk", "sid", "n", "comp", "sk").groupBy("grp", "i", "j")
+                        .applyInArrow(_near_in_block(forest), "grp long, a long, b long"), "ng-open")
+            more = self.verified(self.near(found.select("a", "b")))
             links = cut(links.union(more), "ng-links")
+            # a group without any pair within the bounds is done
+            members = members.join(found.select("grp").distinct(), "grp", "left_semi")
         return links
 
     def linked_rows(self) -> DataFrame:
