@@ -7,7 +7,7 @@ loops over products on the driver.  The sub-packages are
 * ``operators``  - window features, scaling, scoring, calibration, reports
 * ``sources``    - readers, writers and the test-data panel
 * ``plans``      - end-to-end evaluation and comparison jobs
-* ``streaming``  - (empty: the evaluated workload is batch only)
+* ``llm``        - operators for training-data pipelines, apart from the rest
 """
 
 from demandlens.plans.linear import evaluate_linear

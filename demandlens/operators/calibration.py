@@ -19,16 +19,29 @@ from demandlens.schema import CALIBRATION_BIN_LABELS
 
 
 def _eoss_key(is_eoss, bin_col):
-    return F.concat_ws("|", is_eoss.cast("string"), bin_col)
+    return F.concat_ws("|", is_eoss.cast("double").cast("string"), bin_col)
 
 
 def fold_calibration(cal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per-KEY factors, per-bin factors).  Duplicate entries resolve to the
-    largest factor so the lookup stays a function."""
-    cal = cal.filter(F.col("factor").isNotNull())
-    dedup = (cal.groupBy("level", "KEY", "is_eoss", "discount_bin")
-             .agg(F.max("factor").alias("factor")))
+    """(per-KEY factors, per-bin factors).  Types are set on entry (a flag of 1
+    and 1.0 is one key).  Entries without a factor, or without a part of their
+    level's key, cannot be looked up and are ignored; two factors for one key
+    fail the job."""
     lvl = F.col("level")
+    cal = cal.select("level", "KEY", F.col("is_eoss").cast("double").alias("is_eoss"),
+                     F.col("discount_bin").cast("string").alias("discount_bin"),
+                     F.col("factor").cast("double").alias("factor"))
+    complete = ((lvl == "product_eoss") & F.col("is_eoss").isNotNull() & F.col("discount_bin").isNotNull()
+                | (lvl == "product_discount") & F.col("discount_bin").isNotNull()
+                | lvl.isin("product", "discount_bin"))
+    # parts that do not belong to a level's key do not tell entries apart
+    eoss = F.when(lvl == "product_eoss", F.col("is_eoss"))
+    bin_ = F.when(lvl != "product", F.col("discount_bin"))
+    key = F.when(lvl != "discount_bin", F.col("KEY"))
+    twice = F.raise_error(F.lit("calibration has different factors for one key")).cast("double")
+    dedup = (cal.filter(F.col("factor").isNotNull() & complete)
+             .groupBy("level", key.alias("KEY"), eoss.alias("is_eoss"), bin_.alias("discount_bin"))
+             .agg(F.when(F.min("factor") != F.max("factor"), twice).otherwise(F.max("factor")).alias("factor")))
     per_key = (dedup.filter(lvl.isin("product_eoss", "product_discount", "product") & F.col("KEY").isNotNull())
                .groupBy("KEY")
                .agg(F.map_from_entries(F.filter(F.collect_list(F.when(

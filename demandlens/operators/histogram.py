@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     mn, mx = vals.agg(F.min("x"), F.max("x")).first()
+    if mn is not None and (mn == float("-inf") or mx == float("inf")):
+        raise ValueError(f"histogram of {col}: the range of the values is not finite")
     if mn is None:
         first, last = 0.0, 1.0
     elif mn < mx:

@@ -128,15 +128,11 @@ def top_error_products(details: DataFrame, k: int = TOP_K) -> DataFrame:
 
 def top_volume_products(details: DataFrame, k: int = TOP_K) -> DataFrame:
     """Totals of the k best-selling products, best first, with a short label."""
-    per_key = details.groupBy("KEY").agg(_sum0("Actual_Sales").alias("_vol"))
-    top = per_key.orderBy(F.desc("_vol"), F.asc("KEY")).limit(k).select("KEY")
-    # top has at most k rows: broadcast is size-proven
-    rows = details.join(F.broadcast(top), "KEY", "left_semi")
-    g = rows.groupBy("KEY").agg(_sum0("Actual_Sales").alias("Actual_Sales"),
-                                _sum0("Predicted_Sales").alias("Predicted_Sales"))
+    g = details.groupBy("KEY").agg(_sum0("Actual_Sales").alias("Actual_Sales"),
+                                   _sum0("Predicted_Sales").alias("Predicted_Sales"))
     label = F.concat(F.substring("KEY", 1, SHORT_LABEL_LEN), F.lit("..."))
     return g.select("KEY", label.alias("Label"), "Actual_Sales", "Predicted_Sales") \
-            .orderBy(F.desc("Actual_Sales"), F.asc("KEY"))
+            .orderBy(F.desc("Actual_Sales"), F.asc("KEY")).limit(k)
 
 
 def scatter_limit(details: DataFrame) -> DataFrame:

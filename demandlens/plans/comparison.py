@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from demandlens.session import prepare_session
-
 from demandlens.operators.compare import comparison_by_bin, comparison_summary, pair_results
+from demandlens.session import prepare_session
+from demandlens.sources.readers import normalize
 
 
 @dataclass
@@ -22,6 +22,6 @@ def compare_models(linear: DataFrame, neural: DataFrame) -> Comparison:
     """Pair two result tables by (KEY, DATE); an empty pairing gives empty
     outputs with the full schema."""
     prepare_session(linear.sparkSession)
-    details = pair_results(linear, neural)
+    details = pair_results(normalize(linear), normalize(neural))
     return Comparison(details=details, summary=comparison_summary(details),
                       by_bin=comparison_by_bin(details))

@@ -22,6 +22,17 @@ from demandlens.operators.scoring import finalize_results, linear_predict_column
 from demandlens.plans.common import Evaluation, keys_of, result_inputs, skip_rows, union_history
 from demandlens.schema import MIN_TRAIN_ROWS_LINEAR
 from demandlens.session import prepare_session
+from demandlens.sources.readers import normalize
+
+def one_model_per_key(models: DataFrame) -> DataFrame:
+    """(KEY, intercept, coef), failing on a key with several models.  Grouped
+    on KEY, the column of the join that follows, so no further exchange."""
+    grouped = models.filter(F.col("KEY").isNotNull()).groupBy("KEY").agg(
+        F.count(F.lit(1)).alias("_n"), F.first(F.struct("intercept", "coef")).alias("_m"))
+    several = F.raise_error(F.concat(F.lit("more than one model for KEY "), F.col("KEY")))
+    model = F.when(F.col("_n") > 1, several.cast(grouped.schema["_m"].dataType)).otherwise(F.col("_m"))
+    return grouped.select("KEY", model.alias("_m")).select("KEY", "_m.intercept", "_m.coef")
+
 
 RESULT_KEEP = ["KEY", "DATE", "Actual_Sales", "DISCOUNT_IN", "EOSS_IN"]
 
@@ -48,6 +59,7 @@ def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, featur
     strictly before the scored row (the default reproduces the original,
     whose rolling means include the row's own actual)."""
     prepare_session(train.sparkSession)
+    train, test, models = normalize(train), normalize(test), one_model_per_key(models)
     feature_cols = [f for f, _, _ in feature_list(feature_spec)]
     test_keys, model_keys = keys_of(test), keys_of(models)
     combined = union_history(train, test).filter(F.col("KEY").isNotNull())
@@ -58,7 +70,7 @@ def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, featur
 
     ready = scored_test_rows(feats, feature_cols, scaler, min_history)
     with_model = ready.join(models, "KEY", "inner")
-    ok = F.size("coef") == len(feature_cols)
+    ok = F.coalesce((F.size("coef") == len(feature_cols)) & F.col("intercept").isNotNull(), F.lit(False))
     scored = with_model.select(
         "KEY", "DATE", "Actual_Sales", F.col("DISCOUNT_IN").alias("DISCOUNT"), F.col("EOSS_IN").alias("is_eoss"),
         linear_predict_columns(feature_cols, F.col("intercept"), F.col("coef")).alias("Raw_Prediction"),

@@ -19,6 +19,7 @@ from demandlens.operators.sequences import prior_sequence
 from demandlens.plans.common import Evaluation, keys_of, result_inputs, skip_rows, union_history
 from demandlens.schema import SEQUENCE_LENGTH
 from demandlens.session import prepare_session
+from demandlens.sources.readers import normalize
 
 _KEEP = ["KEY", "DATE", "split", "_n_train", "_dup", "Actual_Sales", "DISCOUNT_IN", "EOSS_IN"]
 
@@ -29,6 +30,7 @@ def sequence_inputs(train: DataFrame, test: DataFrame, feature_spec: DataFrame,
     """(test rows with a complete ``sequence`` column, all test rows with the
     prior-row count) - the second feeds the skip audit."""
     prepare_session(train.sparkSession)
+    train, test = normalize(train), normalize(test)
     min_history = seq_len if min_history is None else min_history
     features = feature_list(feature_spec)
     cols = [f for f, _, _ in features]
@@ -42,8 +44,8 @@ def sequence_inputs(train: DataFrame, test: DataFrame, feature_spec: DataFrame,
         assembled = split_scale(assembled, features, scaler)
     is_test = (F.col("split") == "test") & F.col("DATE").isNotNull()
     with_seq = prior_sequence(assembled, feature_vector(cols), seq_len, is_target=is_test)
-    tests = with_seq.filter(is_test).select(*_KEEP, "sequence")
-    gated = tests.filter((F.col("_n_train") >= min_history) & (F.size("sequence") == seq_len))
+    tests = with_seq.filter(F.col("split") == "test").select(*_KEEP, "sequence")
+    gated = tests.filter(F.col("DATE").isNotNull() & (F.col("_n_train") >= min_history) & (F.size("sequence") == seq_len))
     return gated, tests
 
 
@@ -66,7 +68,9 @@ def evaluate_sequence(train: DataFrame, test: DataFrame, feature_spec: DataFrame
     def skips() -> DataFrame:
         short = F.col("_n_train") < min_history
         return (skip_rows(tests.filter(short).select("KEY").distinct(), "insufficient_history", with_date=False)
-                .unionByName(skip_rows(tests.filter(~short & (F.size("sequence") < seq_len)),
+                .unionByName(skip_rows(tests.filter(~short & F.col("DATE").isNull()), "missing_date", with_date=True))
+                .unionByName(skip_rows(tests.filter(~short & F.col("DATE").isNotNull()
+                                                    & (F.coalesce(F.size("sequence"), F.lit(0)) < seq_len)),
                                        "incomplete_features", with_date=True))
                 .unionByName(skip_rows(tests.filter("_dup"), "duplicate_key_date", with_date=True)))
 

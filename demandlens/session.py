@@ -46,13 +46,16 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``;
-    only when it is unset (local tests) a scratch folder is created."""
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    Only a local master may leave it unset: a scratch folder is created there.
+    On a cluster a machine-local folder would lose data, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = configured or tempfile.mkdtemp(prefix="demandlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -93,25 +93,23 @@ def scaler_table(spark: SparkSession, profile: str, *, split: bool) -> DataFrame
 
 
 def calibration_table(panel_df: DataFrame) -> DataFrame:
-    keys = panel_df.select("KEY").distinct()
+    """One distinct over the panel's keys; the levels of a key are exploded."""
     ptype = F.substring_index(F.col("KEY"), "/", -1)
     null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")
 
-    def rows(cond, is_eoss, bin_, factor, level):
-        return keys.filter(cond).select(F.lit(level).alias("level"), "KEY", is_eoss.alias("is_eoss"),
-                                        bin_.alias("discount_bin"), F.lit(factor).alias("factor"))
+    def entry(cond, is_eoss, bin_, factor, level):
+        return F.when(cond, F.struct(F.lit(level).alias("level"), is_eoss.alias("is_eoss"),
+                                     bin_.alias("discount_bin"), F.lit(factor).alias("factor")))
 
     spark = panel_df.sparkSession
-    parts = [
-        rows(ptype == "PROMO", F.lit(1.0), F.lit("40%+"), 0.8, "product_eoss"),
-        rows(ptype == "PROMO", F.lit(0.0), F.lit("0-10%"), 1.1, "product_eoss"),
-        rows(ptype.isin("PROMO", "LARGE"), null_d, F.lit("10-20%"), 0.9, "product_discount"),
-        rows(ptype.isin("LARGE", "MEDIUM"), null_d, null_s, 1.05, "product"),
-        local_frame(spark, [("discount_bin", None, None, "20-30%", 0.95), ("discount_bin", None, None, "40%+", 0.9)],
-                    [("level", "STRING"), ("KEY", "STRING"), ("is_eoss", "DOUBLE"), ("discount_bin", "STRING"),
-                     ("factor", "DOUBLE")]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    entries = F.array_compact(F.array(
+        entry(ptype == "PROMO", F.lit(1.0), F.lit("40%+"), 0.8, "product_eoss"),
+        entry(ptype == "PROMO", F.lit(0.0), F.lit("0-10%"), 1.1, "product_eoss"),
+        entry(ptype.isin("PROMO", "LARGE"), null_d, F.lit("10-20%"), 0.9, "product_discount"),
+        entry(ptype.isin("LARGE", "MEDIUM"), null_d, null_s, 1.05, "product")))
+    per_key = (panel_df.select("KEY").distinct().select("KEY", F.explode(entries).alias("e"))
+               .select("e.level", "KEY", "e.is_eoss", "e.discount_bin", "e.factor"))
+    by_bin = local_frame(spark, [("discount_bin", None, None, "20-30%", 0.95), ("discount_bin", None, None, "40%+", 0.9)],
+                         [("level", "STRING"), ("KEY", "STRING"), ("is_eoss", "DOUBLE"), ("discount_bin", "STRING"),
+                          ("factor", "DOUBLE")])
+    return per_key.unionByName(by_bin)

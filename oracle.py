@@ -221,7 +221,7 @@ def stable_round(x: str, d: int) -> str:
     """Same two-step half-up rounding as the Spark side, operation for operation."""
     x = f"cast({x} as double)"
     snapped = f"floor({x} * 1e{d + 3} + 0.5e0)"
-    return (f"case when isnan({x}) or isinf({x}) then {x} "
+    return (f"case when isnan({x}) or abs({x} * 1e{d + 3}) >= 9e15 then {x} "
             f"else floor({snapped} / 1e3 + 0.5e0) / 1e{d} end")
 
 

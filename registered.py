@@ -1,8 +1,7 @@
 """Registered queries: Spark callables and their DuckDB twins.
 
 Every query reads ``lineitem`` and ``part`` of the given scale through the
-sales panel (checkpointed once per session and scale), so its work grows
-with the tables.  ``SPEC[name] = (spark_fn, oracle_sql or None, float_cols)``;
+sales panel, as one lazy plan, so its work grows with the tables.  ``SPEC[name] = (spark_fn, oracle_sql or None, float_cols)``;
 float columns are rounded to 6 decimals on both sides before hashing.
 """
 
@@ -29,23 +28,15 @@ from demandlens.plans.comparison import compare_models
 from demandlens.plans.linear import evaluate_linear
 from demandlens.plans.sequence import evaluate_sequence, sequence_inputs
 from demandlens.schema import METRIC_LABELS
-from demandlens.session import ensure_checkpoint_dir, materialize, prepare_session
+from demandlens.session import ensure_checkpoint_dir, prepare_session
 from demandlens.sources import fixtures as fx
 from demandlens.sources.readers import read_sales
 from demandlens.sources.sinks import metrics_text, write_table
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
-
-
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The sales panel of ``sf``, computed once per session and written as
-    Parquet into the session's shared checkpoint folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _PANELS:
-        prepare_session(spark)
-        ensure_checkpoint_dir(spark)
-        _PANELS[key] = materialize(fx.panel(spark, sf), "panel")
-    return _PANELS[key]
+    """The sales panel of ``sf``: a lazy plan over ``lineitem`` and ``part``."""
+    prepare_session(spark)
+    return fx.panel(spark, sf)
 
 
 def dirty(p: DataFrame) -> DataFrame:
@@ -65,16 +56,22 @@ def digits_of(col: str, name: str) -> int:
     return 3 if pct_mean else 6
 
 
+WHOLE = 9e15
+
+
 def stable_round(c, d: int):
     """Round half up to ``d`` decimals in two explicit IEEE steps that DuckDB
     repeats bit for bit (``oracle.stable_round``): first snap to d+3 decimals,
     which absorbs last-ulp noise from summation order, then round.  Engine
-    ``round`` functions disagree on exact halves; this does not.  +-inf, NaN
-    and NULL pass through; -0.0 comes out as 0.0."""
+    ``round`` functions disagree on exact halves; this does not.  From 9e15
+    scaled units on a double has no fraction left to round (and BIGINT floors
+    would overflow further up): such values, +-inf, NaN and NULL pass through;
+    -0.0 comes out as 0.0."""
     x = c.cast("double")
-    snapped = F.floor(x * F.lit(10.0 ** (d + 3)) + F.lit(0.5)).cast("double")
+    scaled = x * F.lit(10.0 ** (d + 3))
+    snapped = F.floor(scaled + F.lit(0.5)).cast("double")
     rounded = F.floor(snapped / F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0 ** d)
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(rounded)
+    return F.when(F.isnan(x) | (F.abs(scaled) >= F.lit(WHOLE)), x).otherwise(rounded)
 
 
 def rnd(df: DataFrame, cols, name: str = "") -> DataFrame:
