@@ -43,8 +43,9 @@ def warc_record(uri: Column, payload: Column, kind: str = "response") -> Column:
 def manifest(records: DataFrame) -> DataFrame:
     """``records`` (file, pos, record: bytes) -> (file, pos, offset, length, hash):
     the layout of the files, record after record in order of pos."""
-    slim = records.select(F.coalesce("file", F.lit("")).alias("file"), "pos", F.octet_length("record").cast("long").alias("length"),
-                          F.sha2("record", 256).alias("hash"))
+    record = F.coalesce("record", F.lit("").cast("binary"))
+    slim = records.select(F.coalesce("file", F.lit("")).alias("file"), "pos", F.octet_length(record).cast("long").alias("length"),
+                          F.sha2(record, 256).alias("hash"))
     before = Window.partitionBy("file").orderBy("pos", "hash").rowsBetween(Window.unboundedPreceding, -1)
     return slim.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
