@@ -29,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,6 +90,8 @@ class _Tree:
 def _parse(page: str) -> _Tree:
     tree, open_, noise, articles = _Tree(), [("html", 0, False)], 0, 0
     new_block, at, end, last = True, 0, len(page), page.rfind(">") + 1
+    count: Counter = Counter()          # open elements by tag
+    endless: set[str] = set()           # raw tags that are not closed any more
 
     def text(a: int, b: int) -> None:
         nonlocal new_block
@@ -100,6 +103,7 @@ def _parse(page: str) -> _Tree:
     def pop() -> None:
         nonlocal noise, articles
         tag, _, hidden = open_.pop()
+        count[tag] -= 1
         noise -= hidden
         articles -= tag in ("article", "main")
 
@@ -119,18 +123,19 @@ def _parse(page: str) -> _Tree:
         elif tag == "br":
             text_break(tree, open_, noise)
         if m["close"] or m["close2"]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag:
-                    while len(open_) > k:
-                        pop()
-                    break
+            if count[tag]:
+                while open_[-1][0] != tag:
+                    pop()
+                pop()
             continue
         if tag in _RAW:
-            if not m.group().endswith("/>"):
+            if tag not in endless and not m.group().endswith("/>"):
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if stop:
                     at = stop.end()
-                elif tag in ("script", "style", "textarea"):
+                else:
+                    endless.add(tag)
+                if not stop and tag in ("script", "style", "textarea"):
                     at = end
             continue
         if tag in _ENDS_P and any(x[0] == "p" for x in open_[-8:]):
@@ -157,6 +162,7 @@ def _parse(page: str) -> _Tree:
         hidden = _is_noise(tag, m["attrs"] or "", articles > 0)
         noise += hidden
         open_.append((tag, open_[-1][1] if noise else tree.add(tag, open_[-1][1]), hidden))
+        count[tag] += 1
         articles += tag in ("article", "main")
     text(at, end)
     return tree

@@ -45,7 +45,6 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CANDIDATE = r"(?<![^ \t-\r])[^0-9@ \t-\r]*+[0-9@][^ \t-\r]*+"
 
 ROUNDS = 2
