@@ -134,7 +134,7 @@ class Trie:
 
 _BASE = 0x100000001B3
 _SPACES = np.array([chr(i).isspace() for i in range(1 << 16)])
-_LETTERS = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)])
 _MARK = 0x2581          # the vocabulary's sign for the start of a word
 
 
@@ -175,7 +175,7 @@ class Scorer:
         if not len(codes):
             return [None] * len(texts)
         low = np.minimum(codes, 0xFFFF)
-        letters = np.concatenate(([0], np.cumsum(_LETTERS[low] | (codes > 0xFFFF))))
+        letters = np.concatenate(([0], np.cumsum(_LETTERS[codes])))
         ends = np.cumsum([len(t or "") + 1 for t in texts])
         firsts = ends - np.array([len(t or "") + 1 for t in texts])
         has = letters[np.minimum(ends - 1, len(codes))] > letters[firsts]

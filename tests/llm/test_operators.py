@@ -194,6 +194,8 @@ def test_forward_algorithm_is_brute_force():
     assert np.allclose(got[0], np.log(total("▁abab")) + np.log(total("▁ba")))
     assert np.allclose(got[4], np.log(total("▁zab")) + np.log(total("▁ab")))
     assert got[1] is None and got[2] is None and got[3] is None
+    with np.errstate(over="ignore"):      # an emoji is no letter, a letter beyond the basic plane is one
+        assert [g is None for g in langid.Scorer(pieces, p, unknown).scores(["\U0001F600 1", "\U00020000"])] == [True, False]
 
 
 def test_langid_held_out(spark, odd):
@@ -246,7 +248,8 @@ def test_neighbours(spark):
      "<p>Four</p></article><form><p>f</p></form><footer>F</footer></body>", "T\n\nOne two three\n\nFour"),
     ("<body><div class='cookie-notice'>We</div><main><p>Body <i>x</i>y</p><div id=comments><p>nice</p></div></main>"
      "<aside>s</aside><script>var a='</p>'</script>", "Body xy"),
-    ("<div>" * 3000 + "deep", "deep"), ("<a " * 5000, None)])
+    ("<div>" * 3000 + "deep", "deep"), ("<a " * 5000, None),
+    ("<div>" * 2000 + "x" + "</span>" * 20000, "x"), ("<svg>" * 20000 + "<p>y", "y")])
 def test_main_text(page, text):
     got = html_text.main_text(page)
     assert text is None or got == text
