@@ -220,9 +220,9 @@ def with_(ctes: str, select: str) -> str:
 def stable_round(x: str, d: int) -> str:
     """Same two-step half-up rounding as the Spark side, operation for operation."""
     x = f"cast({x} as double)"
-    snapped = f"floor({x} * 1e{d + 3} + 0.5e0)"
-    return (f"case when isnan({x}) or abs({x} * 1e{d + 3}) >= 9e15 then {x} "
-            f"else floor({snapped} / 1e3 + 0.5e0) / 1e{d} end")
+    cases = "".join(f"when abs({x} * 1e{k + 3}) < 9e15 then floor(floor({x} * 1e{k + 3} + 0.5e0) / 1e3 + 0.5e0) / 1e{k} "
+                    for k in range(d, -1, -3))
+    return f"case when isnan({x}) then {x} {cases}else {x} end"
 
 
 def rounded(sql: str, cols) -> str:

@@ -63,15 +63,19 @@ def stable_round(c, d: int):
     """Round half up to ``d`` decimals in two explicit IEEE steps that DuckDB
     repeats bit for bit (``oracle.stable_round``): first snap to d+3 decimals,
     which absorbs last-ulp noise from summation order, then round.  Engine
-    ``round`` functions disagree on exact halves; this does not.  From 9e15
-    scaled units on a double has no fraction left to round (and BIGINT floors
-    would overflow further up): such values, +-inf, NaN and NULL pass through;
-    -0.0 comes out as 0.0."""
+    ``round`` functions disagree on exact halves; this does not.  A value of
+    9e15 snapped units or more has no digits left to absorb noise with (and
+    BIGINT floors would overflow further up): it is rounded to three decimals
+    fewer, down to whole numbers; larger ones, +-inf, NaN and NULL pass
+    through; -0.0 comes out as 0.0."""
     x = c.cast("double")
-    scaled = x * F.lit(10.0 ** (d + 3))
-    snapped = F.floor(scaled + F.lit(0.5)).cast("double")
-    rounded = F.floor(snapped / F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0 ** d)
-    return F.when(F.isnan(x) | (F.abs(scaled) >= F.lit(WHOLE)), x).otherwise(rounded)
+    out = F.when(F.isnan(x), x)
+    for k in range(d, -1, -3):
+        scaled = x * F.lit(10.0 ** (k + 3))
+        snapped = F.floor(scaled + F.lit(0.5)).cast("double")
+        rounded = F.floor(snapped / F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0 ** k)
+        out = out.when(F.abs(scaled) < F.lit(WHOLE), rounded)
+    return out.otherwise(x)
 
 
 def rnd(df: DataFrame, cols, name: str = "") -> DataFrame:
