@@ -17,21 +17,30 @@ range that is not empty: pairs are looked for among equal words only.  A
 document with too few non-empty ranges for that promise also gives its single
 shingles as words, so two such documents meet there.  Bands follow the size
 of the smaller set; a document also takes part in the band below when it can
-be the larger one.  Nothing is dropped by frequency.
+be the larger one.
+
+A set with ``w`` words in a band agrees with a linked one in at least
+``w - n/3`` of them, not just in one.  By the prefix principle two sets that
+agree in ``s`` words still share one when each leaves out up to ``s - 1`` of its
+last words in one common order.  So every document leaves the largest of its
+groups, as many as this bound allows: a passage that thousands of documents
+share is then no reason to compare them, and no linked pair is lost.
 
 Words meet in hash shards, packed as byte blocks.  Groups of equal words:
 
 * up to ``SMALL`` members: all pairs;
-* more: pairs with the least member (linear).  After these are verified, only
-  groups with members in different components go on: their sketches are
+* more, of the members that have not left: pairs with the least member
+  (linear).  After these are verified, only groups with members in different
+  components go on (of groups with the same members, one): their sketches are
   folded to about their sizes in bits and compared in blocks, first giving a
   spanning forest of the pairs within the Hamming bound, then, once that is
   verified and only in groups that had any, all pairs still in different
   components.  So copies are never expanded into all pairs, and no link
   between different components is missed.
 
-Pairs within the Hamming bound are verified on the exact shingle sets.  Equal
-sets are one class throughout (64-bit set hash), so exact copies cost one
+Pairs within the Hamming bound are verified on the exact shingle sets: first
+one pair a set, then those whose sets are still in different components.
+Equal sets are one class throughout (64-bit set hash), so exact copies cost one
 entry a batch.
 
 Defined results: null or blank text: empty set, linked with nothing, its own
@@ -47,7 +56,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import WORD, cut, prepare
@@ -58,10 +67,11 @@ K = 5
 NUM, DEN = 75, 100          # linked when DEN * intersection >= NUM * union
 BAND = 1.75                 # ratio of a band's sizes; above DEN / NUM
 SMALL = 6
+SPARE = 2                   # words kept beyond the bound, for words that share a 32-bit key
 BLOCK = 2048
 SHARD_ENTRIES = 800_000
 FLUSH_ENTRIES = 1_500_000
-DOCS_A_FLUSH = 4000
+DOCS_A_FLUSH = 4000         # below 2^12: a block's entries number its sets in 12 bits
 SLICE = 256
 
 _EDGES = [1]
@@ -80,7 +90,7 @@ def spaces(n: int) -> list[tuple[int, int]]:
     out = []
     for band in {own, low}:
         d = most_apart(_EDGES[band + 1] - 1)
-        out.append((band, d + 3 + -(-d * 12 // 100)))
+        out.append((band, d + 3 + -(-d * 40 // 100)))
     return out
 
 
@@ -95,17 +105,29 @@ def bit_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def words_of(s: np.ndarray) -> np.ndarray:
-    """The words of a sorted set in all its bands, as 64-bit keys."""
-    out = []
+def marked_words(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The words of a sorted set in all its bands, as 64-bit keys; the kind of
+    each (its band's parity, 2 for single shingles); and how many words of
+    either parity the set may leave out."""
+    out, kinds, spare = [], [], [0, 0]
     for band, p in spaces(len(s)):
         part = ((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         salt = np.uint64(band + 1) << np.uint64(40)
         out.append(mix(np.bitwise_xor.reduceat(mix(s), first) ^ mix(part[first] + salt)))
+        kinds.append(np.full(len(first), band & 1, dtype=np.uint16))
+        spare[band & 1] = len(first) - most_apart(len(s)) - 1 - SPARE
         if len(first) <= most_apart(len(s)):
             out.append(mix(s ^ mix(np.array([salt], dtype=np.uint64))))
-    return np.concatenate(out)
+            kinds.append(np.full(len(s), 2, dtype=np.uint16))
+    keys = np.concatenate(out)
+    same_key = len(keys) - len(np.unique(keys.astype(np.uint32)))
+    return keys, np.concatenate(kinds), [max(0, k - same_key) for k in spare]
+
+
+def words_of(s: np.ndarray) -> np.ndarray:
+    """The words of a sorted set in all its bands, as 64-bit keys."""
+    return marked_words(s)[0]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -128,20 +150,24 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word_blocks(shards: int):
-    """Texts -> (shard, block): the words of a few thousand sets, each set once."""
+    """Texts -> (shard, block): the words of a few thousand sets, each set once.
+    A block: number of sets, their ids, what each may leave out (even, odd
+    bands), then the low halves of the words and (kind, set number) of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
         sids: dict[int, int] = {}
         words: list[np.ndarray] = []
+        kinds: list[np.ndarray] = []
+        spare: list[list[int]] = []
         total = 0
 
         def flush():
             w = np.concatenate(words)
-            idx = np.repeat(np.arange(len(words), dtype=np.uint16), [len(x) for x in words])
+            idx = np.repeat(np.arange(len(words), dtype=np.uint16), [len(x) for x in words]) | np.concatenate(kinds) << np.uint16(12)
             shard = ((w >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            head = np.array([len(sids)], dtype=np.int64).tobytes() + np.array(list(sids), dtype=np.int64).tobytes()
+            head = np.array([len(sids), *sids], dtype=np.int64).tobytes() + np.array(spare, dtype=np.int32).tobytes()
             low, idx = w.astype(np.uint32)[order], idx[order]
             for k in range(shards):
                 a, b = ends[k], ends[k + 1]
@@ -157,36 +183,45 @@ def _word_blocks(shards: int):
                     if sid is None or sid in sids:
                         continue
                     sids[sid] = len(sids)
-                    words.append(words_of(s))
-                    total += len(words[-1])
+                    keys, kind, leave = marked_words(s)
+                    words.append(keys)
+                    kinds.append(kind)
+                    spare.append(leave)
+                    total += len(keys)
                     if total >= FLUSH_ENTRIES or len(sids) >= DOCS_A_FLUSH:
                         yield from flush()
-                        sids, words, total = {}, [], 0
+                        sids, words, kinds, spare, total = {}, [], [], [], 0
             if words:
                 yield from flush()
     return run
 
 
 def _groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One shard -> rows (a, b, grp): pairs of small groups and of large groups
-    with their least member; for large groups also the members (a, null, grp)."""
-    sig, sid = [], []
+    """One shard -> rows (a, b): pairs of small groups; for every member of a
+    large group (a: the least member, b: it, grp, m: members, kind of the word,
+    spare: how many words of this kind the member may leave out)."""
+    sig, sid, kind, spare = [], [], [], []
     for raw in table.column("block").to_pylist():
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         ids = np.frombuffer(raw, np.int64, n, 8)
-        m = (len(raw) - 8 - 8 * n) // 6
-        sig.append(np.frombuffer(raw, np.uint32, m, 8 + 8 * n))
-        sid.append(ids[np.frombuffer(raw, np.uint16, m, 8 + 8 * n + 4 * m)])
-    sig, sid = np.concatenate(sig), np.concatenate(sid)
+        may = np.frombuffer(raw, np.int32, 2 * n, 8 + 8 * n).reshape(n, 2)
+        m = (len(raw) - 8 - 16 * n) // 6
+        sig.append(np.frombuffer(raw, np.uint32, m, 8 + 16 * n))
+        mark = np.frombuffer(raw, np.uint16, m, 8 + 16 * n + 4 * m)
+        k, i = mark >> np.uint16(12), mark & np.uint16(0xFFF)
+        sid.append(ids[i])
+        kind.append(k.astype(np.int8))
+        spare.append(np.where(k < 2, may[i, k & np.uint16(1)], 0).astype(np.int32))
+    sig, sid, kind, spare = (np.concatenate(x) for x in (sig, sid, kind, spare))
     order = np.argsort(sig, kind="stable")
     shared = sig[order]
     same = np.concatenate(([False], shared[1:] == shared[:-1]))
     keep = order[same | np.concatenate((same[1:], [False]))]
-    sig, sid = sig[keep], sid[keep]
-    order = np.lexsort((sid, sig))
-    sig, sid = sig[order], sid[order]
+    sig, sid, kind, spare = sig[keep], sid[keep], kind[keep], spare[keep]
+    order = np.lexsort((kind, sid, sig))
+    sig, sid, kind, spare = sig[order], sid[order], kind[order], spare[order]
     new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))) if len(sig) else np.zeros(0, bool)
-    sig, sid = sig[new], sid[new]
+    sig, sid, kind, spare = sig[new], sid[new], kind[new], spare[new]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate((starts, [len(sig)])))
     at = np.arange(len(sig)) - np.repeat(starts, size)
@@ -196,17 +231,20 @@ def _groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         left = np.flatnonzero((m <= SMALL) & (at + gap < m))
         a.append(sid[left])
         b.append(sid[left + gap])
-    big = np.flatnonzero((m > SMALL) & (at > 0))
-    a.append(np.repeat(sid[starts], size)[big])
-    b.append(sid[big])
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-    members = np.flatnonzero(m > SMALL)
-    grp = (np.int64(key[0].as_py()) << np.int64(32)) | sig[members].astype(np.int64)
-    none = pa.nulls(len(members), pa.int64())
+    big = np.flatnonzero(m > SMALL)
+    grp = (np.int64(key[0].as_py()) << np.int64(32)) | sig[big].astype(np.int64)
+    none = len(pairs)
+
+    def column(values, kind, small=None):
+        small = pa.nulls(none, kind) if small is None else pa.array(small, kind)
+        return pa.concat_arrays([small, pa.array(values, kind)])
+
     return pa.table({
-        "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(sid[members], pa.int64())]),
-        "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none]),
-        "grp": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(grp, pa.int64())])})
+        "a": column(np.repeat(sid[starts], size)[big], pa.int64(), pairs[:, 0]),
+        "b": column(sid[big], pa.int64(), pairs[:, 1]),
+        "grp": column(grp, pa.int64()), "m": column(m[big], pa.int64()),
+        "kind": column(kind[big], pa.int8()), "spare": column(spare[big], pa.int32())})
 
 
 def _fold(sk: np.ndarray, words: int) -> np.ndarray:
@@ -286,18 +324,27 @@ class ParityJoin:
         self.spark = docs.sparkSession
         prepare(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        # a row's key: (did, tx); a null id reads as -1, which the text's hash keeps from mixing texts
+        self.keyed = self.docs.select(F.coalesce("doc_id", F.lit(-1)).alias("did"), F.xxhash64("text").alias("tx"), "text")
         keyed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("tx"))
         self.rows = cut(keyed.mapInArrow(_sketch_rows, "doc_id long, tx long, n long, sid long, sk array<long>"), "ng-rows")
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sk"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx", "n", "sk"))
         self.sets = cut(self.rows.filter(F.col("sid").isNotNull()).groupBy("sid").agg(least.alias("r"))
-                        .select("sid", "r.doc_id", "r.n", "r.sk"), "ng-sets")
+                        .select("sid", "r.doc_id", "r.tx", "r.n", "r.sk"), "ng-sets")
 
     def words(self) -> DataFrame:
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         shards = 1 + int(total) * 6 // 10 // SHARD_ENTRIES
         blocks = self.docs.filter(F.col("text").isNotNull()).mapInArrow(_word_blocks(shards), "shard int, block binary")
-        return cut(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_groups, "a long, b long, grp long"),
-                   "ng-groups")
+        return cut(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(
+            _groups, "a long, b long, grp long, m long, kind byte, spare int"), "ng-groups")
+
+    def members(self, groups: DataFrame) -> DataFrame:
+        """(grp, least, sid) of the large groups, without those members that may
+        leave: of every set and kind of word, the ``spare`` largest groups."""
+        order = Window.partitionBy("b", "kind").orderBy(F.desc("m"), F.desc("grp"))
+        kept = groups.filter("grp is not null").withColumn("place", F.row_number().over(order)).filter("place > spare")
+        return cut(kept.select("grp", F.col("a").alias("least"), F.col("b").alias("sid")), "ng-kept")
 
     def _with_sketch(self, pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -322,20 +369,34 @@ class ParityJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose exact sets are linked."""
         pairs = cut(pairs, "ng-near")
-        used = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(self.sets.select("sid", "doc_id"), "sid")
-        # a set's text: that of any row of its least id; the set hash tells rows that repeat an id apart
-        texts = self.docs.join(used, self.docs["doc_id"].eqNullSafe(used["doc_id"])).select("sid", "text")
-        texts = cut(texts.mapInArrow(_own_text, "sid long, text string").dropDuplicates(["sid"]), "ng-texts")
+        used = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(self.sets, "sid")
+        used = cut(used.select("sid", F.coalesce("doc_id", F.lit(-1)).alias("did"), "tx"), "ng-used")
+        # rows repeated whole give their text once; the join has brought them together already
+        texts = self.keyed.join(used, ["did", "tx"]).dropDuplicates(["did", "tx"]).select("sid", "text")
+        texts = cut(texts, "ng-texts")
         with_a = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
         with_b = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
         return cut(with_b.select("a", "b", "ta", "tb").mapInArrow(_verify_texts, "a long, b long"), "ng-links")
 
+    def joining(self, pairs: DataFrame) -> DataFrame:
+        """Verified links among ``pairs``, enough to join all that they link:
+        a pair of every set first, then the pairs still between components."""
+        pairs = cut(pairs, "ng-pairs")
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = self.verified(first)
+        comp = components(links)
+        for side in "ab":
+            pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        rest = pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+        return links.union(self.verified(rest))
+
     def links(self) -> DataFrame:
         """Verified links (a, b) between set ids: all of those of small groups,
         and enough of those of large groups to join every component."""
         groups = self.words()
-        links = self.verified(self.near(groups.filter(F.col("b").isNotNull()).select("a", "b")))
-        members = groups.filter(F.col("grp").isNotNull()).select("grp", F.col("a").alias("sid"))
+        members = self.members(groups)
+        links = self.joining(self.near(groups.filter("grp is null").select("a", "b")
+                                       .union(members.select(F.col("least").alias("a"), F.col("sid").alias("b")))))
         halved = lambda k: F.when(F.size(k) > 1, F.zip_with(
             F.slice(k, 1, (F.size(k) / 2).cast("int")), F.slice(k, (F.size(k) / 2).cast("int") + 1, (F.size(k) / 2).cast("int")),
             lambda x, y: x.bitwiseXOR(y))).otherwise(k)
@@ -344,8 +405,11 @@ class ParityJoin:
             comp = components(links)
             inside = members.join(comp, members["sid"] == comp["node"], "left") \
                             .select("grp", "sid", F.coalesce("root", "sid").alias("comp"))
-            open_ = inside.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-                          .filter("lo < hi").select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+            open_ = inside.groupBy("grp").agg(
+                F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in range(2)]).filter("lo < hi")
+            open_ = open_.groupBy("m", "h0", "h1").agg(F.min("grp").alias("grp")) \
+                         .select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
             block = inside.join(open_, "grp").join(short, "sid") \
                 .withColumn("blk", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
             # every block with itself and with every other block of its group
@@ -388,21 +452,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return once.unionByName(again).unionByName(wordless)
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, text): rows whose text has that set."""
-    schema = pa.schema([("sid", pa.int64()), ("text", pa.string())])
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                cols = batch.slice(at, SLICE).to_pydict()
-                good = []
-                for sid, text in zip(cols["sid"], cols["text"]):
-                    s = shingle_set(text, K)
-                    good.append(len(s) > 0 and set_id(s) == sid)
-                yield pa.record_batch([pa.array([x for x, g in zip(cols[c], good) if g], t)
-                                       for c, t in (("sid", pa.int64()), ("text", pa.string()))], schema=schema)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id, set_id."""
     out = ParityJoin(docs).linked_rows()

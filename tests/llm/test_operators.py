@@ -301,3 +301,45 @@ def test_pipeline_stages(spark):
         assert new.columns[:5] == docs.columns[:5] and 0.5 * before < new.count() <= docs.count()
         docs = new
     assert docs.filter("mix_copies < 1 or mix_taken > 2 * mix_size").count() == 0
+
+
+def test_jaccard_join_with_shared_passages(spark):
+    """Passages and copies in groups above SMALL: what a set may leave out loses no link."""
+    rng = np.random.default_rng(11)
+    passages = [words(60, 500 + i) for i in range(3)]
+    rows = []
+    for i in range(260):
+        kind = i % 4
+        if kind == 0:                                    # a passage in own words, of all sizes
+            text = words(int(rng.integers(0, 200)), 1000 + i) + " " + passages[i % 3] + " " + words(int(rng.integers(0, 60)), 2000 + i)
+        elif kind == 1:                                  # a copy with some words changed
+            w = words(90 + 40 * (i % 3), 7 + i % 3).split(" ")
+            for at in rng.integers(0, len(w), int(rng.integers(0, 5))):
+                w[at] = f"x{rng.integers(0, 9)}"
+            text = " ".join(w)
+        elif kind == 2:                                  # a copy cut short: links along a chain of sizes
+            w = words(240, 31).split(" ")
+            text = " ".join(w[:int(rng.integers(30, 241))])
+        else:                                            # a passage and little else
+            text = passages[i % 3] + " " + words(int(rng.integers(0, 25)), 3000 + i)
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
+
+
+def test_words_left_out_keep_a_common_word():
+    """The bound itself: a linked pair agrees in more words than either may leave out."""
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 5, 20, 60, 100, 174, 300, 900):
+        a = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        for gone in (0, n // 4):
+            b = a[gone:]
+            (ka, ma, sa), (kb, mb, sb) = ngram_join.marked_words(a), ngram_join.marked_words(b)
+            common = np.intersect1d(ka, kb)
+            best = 0
+            for parity in (0, 1):
+                shared = len(np.intersect1d(ka[ma == parity], kb[mb == parity]))
+                best = max(best, shared - max(sa[parity], sb[parity]))
+            assert best > 0 or len(np.intersect1d(ka[ma == 2], kb[mb == 2])) > 0
+            assert len(common) > 0
