@@ -3,7 +3,7 @@
 A document is its set of distinct word shingles (64-bit hashes).  XOR-hashing
 the set gives two sketches:
 
-* a bit sketch of 2^j >= 4n bits in which every shingle toggles one bit.  The
+* a bit sketch of 2^j >= 2n bits in which every shingle toggles one bit.  The
   Hamming distance of two such sketches is at most the size of the sets'
   symmetric difference.  Halves XOR to the sketch of half the length, so
   sketches of neighbouring sizes can be compared;
@@ -73,6 +73,7 @@ SHARD_ENTRIES = 800_000
 FLUSH_ENTRIES = 1_500_000
 DOCS_A_FLUSH = 4000         # below 2^12: a block's entries number its sets in 12 bits
 SLICE = 256
+PACKS = 8                   # calls a shuffle partition that compare groups of one block
 
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -100,7 +101,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -253,49 +254,83 @@ def _fold(sk: np.ndarray, words: int) -> np.ndarray:
     return sk
 
 
-def _near_in_block(forest: bool):
-    """Members of two blocks of a group, with sketches folded to n bits or more
-    -> pairs (a, b) of different components within the size and Hamming bounds;
-    only a spanning forest of them if ``forest``."""
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grp, i, j = (k.as_py() for k in key)
-        table = table.sort_by([("n", "ascending"), ("sid", "ascending")])
-        blk = table.column("blk").to_numpy()
-        sid, n, comp = (table.column(c).to_numpy() for c in ("sid", "n", "comp"))
-        sk = table.column("sk").to_pylist()
-        words = min(len(s) for s in sk)
-        sk = np.stack([_fold(np.array(s, dtype=np.int64), words) for s in sk]).view(np.uint64).T.copy()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
-        a, b = [], []
-        for at in range(0, len(left), 64):
-            x = left[at:at + 64]
-            lo = np.searchsorted(n[right], -(-n[x[0]] * NUM // DEN))
-            hi = np.searchsorted(n[right], n[x[-1]] * DEN // NUM, "right")
-            y = right[lo:hi]
-            apart = np.zeros((len(x), len(y)), dtype=np.int32)
-            for w in sk:
-                apart += np.bitwise_count(w[x][:, None] ^ w[y][None, :])
-            nx, ny = n[x][:, None], n[y][None, :]
-            ok = (apart * (DEN + NUM) <= (DEN - NUM) * (nx + ny)) & (comp[x][:, None] != comp[y][None, :])
-            ok &= np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM
-            for r, c in zip(*np.nonzero(ok)):
-                u, v = x[r], y[c]
-                if forest:
-                    ru, rv = root(int(comp[u])), root(int(comp[v]))
-                    if ru == rv:
-                        continue
+def _folded(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sketches (``size`` words of ``flat`` from ``at`` on) folded to the shortest's length."""
+    words = int(size.min())
+    out = np.empty((len(size), words), dtype=np.uint64)
+    for length in np.unique(size):
+        rows = np.flatnonzero(size == length)
+        sk = flat[at[rows][:, None] + np.arange(length)]
+        while sk.shape[1] > words:
+            half = sk.shape[1] // 2
+            sk = sk[:, :half] ^ sk[:, half:]
+        out[rows] = sk
+    return out
+
+
+def _near_in_group(sid, n, comp, sk, left, right, forest: bool) -> tuple[list, list]:
+    """Pairs of ``left`` and ``right`` (positions, ordered by n) of different
+    components within the size and Hamming bounds; only a spanning forest of
+    them if ``forest``.  With left = right every pair is seen once."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    a, b = [], []
+    sk, once = sk.T.copy(), left is right
+    for at in range(0, len(left), 64):
+        x = left[at:at + 64]
+        lo = np.searchsorted(n[right], -(-n[x[0]] * NUM // DEN))
+        hi = np.searchsorted(n[right], n[x[-1]] * DEN // NUM, "right")
+        y = right[max(lo, at) if once else lo:hi]
+        apart = np.zeros((len(x), len(y)), dtype=np.int32)
+        for w in sk:
+            apart += np.bitwise_count(w[x][:, None] ^ w[y][None, :])
+        nx, ny = n[x][:, None], n[y][None, :]
+        ok = (apart * (DEN + NUM) <= (DEN - NUM) * (nx + ny)) & (comp[x][:, None] != comp[y][None, :])
+        ok &= np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM
+        if once:
+            ok &= x[:, None] < y[None, :]
+        r, c = np.nonzero(ok)
+        u, v = x[r], y[c]
+        if forest and len(u):
+            ends = np.sort(np.stack([comp[u], comp[v]], axis=1), axis=1)
+            ends, one = np.unique(ends, axis=0, return_index=True)
+            new = []
+            for k, (cu, cv) in zip(one, ends.tolist()):
+                ru, rv = root(cu), root(cv)
+                if ru != rv:
                     parent[ru] = rv
-                a.append(min(sid[u], sid[v]))
-                b.append(max(sid[u], sid[v]))
-        m = len(a)
-        return pa.table({"grp": pa.array([grp] * m, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    new.append(k)
+            u, v = u[new], v[new]
+        a.append(np.minimum(sid[u], sid[v]))
+        b.append(np.maximum(sid[u], sid[v]))
+    return a, b
+
+
+def _near_in_blocks(forest: bool):
+    """Members of two blocks (i, j) of a large group, or of several groups of
+    one block, with sketches of n bits or more -> pairs (grp, a, b)."""
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        grp, blk, sid, n, comp = (table.column(c).to_numpy() for c in ("grp", "blk", "sid", "n", "comp"))
+        lists = pa.concat_arrays(table.column("sk").chunks)
+        flat, size = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+        at = np.cumsum(size) - size
+        order = np.lexsort((sid, n, grp))
+        g, a, b = [], [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+            left = np.flatnonzero(blk[rows] == i)
+            right = left if i == j else np.flatnonzero(blk[rows] == j)
+            x, y = _near_in_group(sid[rows], n[rows], comp[rows], _folded(flat, at[rows], size[rows]), left, right, forest)
+            g += [np.full(len(p), grp[rows[0]]) for p in x]
+            a += x
+            b += y
+        g, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (g, a, b))
+        return pa.table({"grp": pa.array(g, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
@@ -397,10 +432,10 @@ class ParityJoin:
         members = self.members(groups)
         links = self.joining(self.near(groups.filter("grp is null").select("a", "b")
                                        .union(members.select(F.col("least").alias("a"), F.col("sid").alias("b")))))
-        halved = lambda k: F.when(F.size(k) > 1, F.zip_with(
-            F.slice(k, 1, (F.size(k) / 2).cast("int")), F.slice(k, (F.size(k) / 2).cast("int") + 1, (F.size(k) / 2).cast("int")),
-            lambda x, y: x.bitwiseXOR(y))).otherwise(k)
-        short = self.sets.select("sid", "n", halved(F.col("sk")).alias("sk")).select("sid", "n", halved(F.col("sk")).alias("sk"))
+        half = (F.size("sk") / 2).cast("int")
+        halved = F.zip_with(F.slice("sk", 1, half), F.slice("sk", half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        short = self.sets.select("sid", "n", F.when(F.size("sk") > 1, halved).otherwise(F.col("sk")).alias("sk"))
+        packs = PACKS * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         for forest in (True, False):
             comp = components(links)
             inside = members.join(comp, members["sid"] == comp["node"], "left") \
@@ -415,8 +450,10 @@ class ParityJoin:
             # every block with itself and with every other block of its group
             spread = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
                 .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-            found = cut(spread.select("grp", "i", "j", "blk", "sid", "n", "comp", "sk").groupBy("grp", "i", "j")
-                        .applyInArrow(_near_in_block(forest), "grp long, a long, b long"), "ng-open")
+            # groups of one block share calls; a larger group has a call for two blocks
+            shared = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("grp"), F.lit(packs))).otherwise(F.col("grp"))
+            found = cut(spread.select(shared.alias("call"), "i", "j", "grp", "blk", "sid", "n", "comp", "sk").groupBy("call", "i", "j")
+                        .applyInArrow(_near_in_blocks(forest), "grp long, a long, b long"), "ng-open")
             more = self.verified(self.near(found.select("a", "b")))
             links = cut(links.union(more), "ng-links")
             # a group without any pair within the bounds is done

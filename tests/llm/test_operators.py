@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,3 +344,41 @@ def test_words_left_out_keep_a_common_word():
                 best = max(best, shared - max(sa[parity], sb[parity]))
             assert best > 0 or len(np.intersect1d(ka[ma == 2], kb[mb == 2])) > 0
             assert len(common) > 0
+
+
+def test_near_in_blocks_is_brute_force():
+    rng = np.random.default_rng(13)
+    rows = []
+    for grp in range(4):
+        base = rng.integers(0, 2 ** 64, 200, dtype=np.uint64)
+        for k in range(30):
+            s = np.unique(np.concatenate([base[:int(rng.integers(100, 201))], rng.integers(0, 2 ** 64, int(rng.integers(0, 60)), dtype=np.uint64)]))
+            rows.append((grp, k % 2, grp * 100 + k, len(s), grp * 100 + k // 2, ngram_join.bit_sketch(s).tolist(), s))
+    names = ("grp", "blk", "sid", "n", "comp", "sk")
+    for blocks in (1, 2):
+        for i, j in ((0, 0), (0, 1), (1, 1)) if blocks == 2 else ((0, 0),):
+            for groups in ((0, 1, 2, 3), (2,)):
+                used = [(g, b if blocks == 2 else 0, *rest) for g, b, *rest in rows if g in groups and (blocks == 1 or b in (i, j))]
+                tab = pa.table({c: [r[k] for r in used] for k, c in enumerate(names)})
+                want = set()
+                for x in used:
+                    for y in used:
+                        if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and {x[1], y[1]} == {i, j}:
+                            m = min(len(r[5]) for r in used if r[0] == x[0])
+                            fx, fy = (ngram_join._fold(np.array(r[5]), m).view(np.uint64) for r in (x, y))
+                            apart = int(np.bitwise_count(fx ^ fy).sum())
+                            if 175 * apart <= 25 * (x[3] + y[3]) and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]):
+                                want.add((x[0], x[2], y[2]))
+                key = [pa.scalar(v) for v in (0, i, j)]
+                got = ngram_join._near_in_blocks(False)(key, tab).to_pydict()
+                assert sorted(zip(got["grp"], got["a"], got["b"])) == sorted(want)
+                forest = ngram_join._near_in_blocks(True)(key, tab).to_pydict()
+                forest = set(zip(forest["grp"], forest["a"], forest["b"]))
+                assert forest <= want and {g for g, *_ in forest} == {g for g, *_ in want}
+                parent = {}
+                find = lambda c: c if parent.get(c, c) == c else find(parent[c])
+                for _, a, b in forest:                  # a forest: never joins what is joined
+                    ra, rb = find(a // 100 * 100 + a % 100 // 2), find(b // 100 * 100 + b % 100 // 2)
+                    assert ra != rb
+                    parent[ra] = rb
+                assert all(find(a // 100 * 100 + a % 100 // 2) == find(b // 100 * 100 + b % 100 // 2) for _, a, b in want)
