@@ -8,10 +8,11 @@ as one) and those of the body, a node's density is
 
 (characters per tag, less for many links).  A node's density sum adds its
 children's densities.  The node with the largest sum is the core; the least
-density on the path from the core up to the body is the threshold, and the
-highest ancestor whose sum of densities holds the core and stays within the
-threshold is the chosen subtree: siblings less dense than the threshold that
-hold no heading or paragraph text are left out.
+density on the path from the core up to the body is the threshold.  The chosen
+subtree is the nearest article, main or body above the core; of the siblings
+met on the way up, those less dense than the threshold whose subtrees hold no
+heading or paragraph text (list items, cells, captions, terms, quotations and
+addresses count outside links) are left out, each by itself.
 
 Elements that are never main text by their meaning (scripts, styles, forms,
 menus, footers, page headers, sidebars, and those named as adverts, notices
@@ -59,6 +60,10 @@ menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer comment c
 cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related
 pagination pager toolbar widget login search masthead copyright complementary contentinfo""".split())
 _KEEP = frozenset("article main body html".split())
+# Elements whose text is a heading or paragraph, those whose text is one outside links, and those kept as they are
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_PASSAGES = frozenset("address blockquote dd details dt figcaption li pre summary td th".split())
+_PLAIN = _TITLES | frozenset("b i em strong br span header hgroup figcaption blockquote ul ol li pre table section".split())
 
 
 def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
@@ -217,23 +222,22 @@ def main_text(page: str | None) -> str:
         i = tree.parent[i]
         path.append(i)
     threshold = min(density[i] for i in path)
-    # the highest node on the body path that adds only nodes as dense as the threshold
-    chosen, kids = core, {}
+    # up to the article or body; on the way only thin siblings without headings or paragraphs are left out
+    chosen, kids, left_out = core, {}, set()
     for i in range(1, n):
         kids.setdefault(tree.parent[i], []).append(i)
+    titled = _titled(tree)
     for i in path[1:]:
-        others = [k for k in kids.get(i, []) if k != chosen and density[k] > 0]
-        if tree.tag[i] == "html" or any(density[k] < threshold and not _titled(tree, k, kids) for k in others):
+        if tree.tag[i] == "html":
             break
+        left_out.update(k for k in kids[i] if k != chosen and 0 < density[k] < threshold and not titled[k])
         chosen = i
         if tree.tag[i] in ("article", "main", "body"):
             break
-    inside = [False] * n
+    inside = [chosen == 0] * n
     inside[chosen] = True
     for i in range(1, n):
-        inside[i] = inside[i] or inside[tree.parent[i]]
-    if chosen == 0:
-        inside = [True] * n
+        inside[i] = (inside[i] or inside[tree.parent[i]]) and i not in left_out
     blocks: list[list[str]] = [[]]
     for node, s, starts in tree.runs:
         if starts and blocks[-1]:
@@ -244,10 +248,20 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def _titled(tree: _Tree, node: int, kids: dict) -> bool:
-    """Headings and paragraphs belong to the text however short they are."""
-    return tree.tag[node] in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "em", "strong", "br", "span", "header",
-                              "hgroup", "figcaption", "blockquote", "ul", "ol", "li", "pre", "table", "section")
+def _titled(tree: _Tree) -> list[bool]:
+    """Whether a subtree holds headings or paragraphs; they belong to the text however short they are."""
+    n = len(tree.tag)
+    link, kind, out = [False] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        p, t = tree.parent[i], tree.tag[i]
+        link[i] = link[p] or t == "a"
+        kind[i] = max(kind[p], 2 if t in _TITLES else 1 if t in _PASSAGES else 0)
+    for node, s, _ in tree.runs:
+        if not s.isspace() and (kind[node] == 2 or kind[node] == 1 and not link[node]):
+            out[node] = True
+    for i in range(n - 1, 0, -1):
+        out[tree.parent[i]] |= out[i]
+    return [held or t in _PLAIN for held, t in zip(out, tree.tag)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

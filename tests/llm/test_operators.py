@@ -256,6 +256,15 @@ def test_main_text(page, text):
     assert text is None or got == text
 
 
+def test_main_text_keeps_sections():
+    para, links = "<p>" + "long text " * 20 + "</p>", "by <a href=x>one</a> <a href=y>two</a>"
+    page = ("<body><article><h1>Title</h1><div class=entry>" + para * 5 + "</div><div class=more><p>Short para.</p></div>"
+            "<dl><dt>Term</dt><dd>Sense</dd></dl><figure><img src=x><figcaption>Caption</figcaption></figure><div>" + links * 9
+            + "</div><details><summary>More</summary>x</details><div><div><h2>Late</h2></div></div></article></body>")
+    got = html_text.main_text(page).split("\n\n")
+    assert got == ["Title"] + [("long text " * 20).strip()] * 5 + ["Short para.", "Term", "Sense", "Caption", "More", "x", "Late"]
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "z"), (1, "u", "<p>a</p>", "z"), (2, None, None, "z")],
                                   "page_id long, url string, html string, text string")
