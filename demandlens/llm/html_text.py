@@ -15,8 +15,11 @@ heading or paragraph text (list items, cells, captions, terms, quotations and
 addresses count outside links) are left out, each by itself.
 
 Elements that are never main text by their meaning (scripts, styles, forms,
-menus, footers, page headers, sidebars, and those named as adverts, notices
-or comments) are dropped before densities are computed.
+menus, footers, page headers, sidebars) are dropped before densities are
+computed, and so are those named as adverts, menus, notices or comments unless
+they hold the main element, the article (the longest), the h1 or most of the
+page's text outside links, as layout wrappers do; comments beside an article
+are dropped however long.
 
 Defined results: null, empty or text-free pages give ''; unclosed elements are
 closed by the rules for paragraphs and list items, or at the end; character
@@ -60,6 +63,7 @@ menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer comment c
 cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related
 pagination pager toolbar widget login search masthead copyright complementary contentinfo""".split())
 _KEEP = frozenset("article main body html".split())
+_COMMENTS = frozenset("comment comments respond disqus reply replies".split())
 # Elements whose text is a heading or paragraph, those whose text is one outside links, and those kept as they are
 _TITLES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _PASSAGES = frozenset("address blockquote dd details dt figcaption li pre summary td th".split())
@@ -69,26 +73,29 @@ _PLAIN = _TITLES | frozenset("b i em strong br span header hgroup figcaption blo
 def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in _NOISE_TAGS or (tag == "header" and not in_article):
         return True
-    if not attrs or tag in _KEEP:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _NAME.finditer(attrs):
-        if _NOISE_NAMES.intersection(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    return bool(attrs) and tag not in _KEEP and _HIDDEN.search(attrs) is not None
+
+
+def _named(tag: str, attrs: str) -> int:
+    """2 for elements named as comments, 1 for other names of noise."""
+    found: set[str] = set()
+    if attrs and tag not in _KEEP:
+        for m in _NAME.finditer(attrs):
+            found |= _NOISE_NAMES.intersection(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    return (1 + (not found.isdisjoint(_COMMENTS))) if found else 0
 
 
 class _Tree:
     """Parallel lists of the kept elements, and the text runs in page order."""
 
     def __init__(self) -> None:
-        self.tag, self.parent = ["html"], [0]
+        self.tag, self.parent, self.named = ["html"], [0], [0]
         self.runs: list[tuple[int, str, bool]] = []     # (node, text, starts a block)
 
-    def add(self, tag: str, parent: int) -> int:
+    def add(self, tag: str, parent: int, named: int = 0) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
+        self.named.append(named)
         return len(self.tag) - 1
 
 
@@ -162,11 +169,12 @@ def _parse(page: str) -> _Tree:
                     break
         if tag in _VOID or m.group().endswith("/>"):
             if not noise:
-                tree.add(tag, open_[-1][1])
+                tree.add(tag, open_[-1][1], _named(tag, m["attrs"] or ""))
             continue
         hidden = _is_noise(tag, m["attrs"] or "", articles > 0)
         noise += hidden
-        open_.append((tag, open_[-1][1] if noise else tree.add(tag, open_[-1][1]), hidden))
+        named = 0 if noise else _named(tag, m["attrs"] or "")
+        open_.append((tag, open_[-1][1] if noise else tree.add(tag, open_[-1][1], named), hidden))
         count[tag] += 1
         articles += tag in ("article", "main")
     text(at, end)
@@ -178,6 +186,51 @@ def text_break(tree: _Tree, open_: list, noise: int) -> None:
         tree.runs.append((open_[-1][1], " ", False))
 
 
+def _drop_named(tree: _Tree) -> None:
+    """Take the elements named as noise out of the tree, but for those that hold
+    the main element, the article, the h1 or most of the text outside links."""
+    n = len(tree.tag)
+    if not any(tree.named):
+        return
+    # nodes are in page order, so a subtree is a range: node .. last[node]
+    link, plain, last, noise = [False] * n, [0] * n, list(range(n)), [0] * n
+    for i in range(1, n):
+        p = tree.parent[i]
+        link[i] = link[p] or tree.tag[i] == "a"
+        noise[i] = max(noise[p], tree.named[i])
+    for node, s, _ in tree.runs:
+        if not link[node]:
+            plain[node] += len(s.strip())
+    for i in range(n - 1, 0, -1):
+        p = tree.parent[i]
+        plain[p] += plain[i]
+        last[p] = max(last[p], last[i])
+    marks = {}
+    for tag in ("main", "article", "h1"):
+        some = [i for i in range(n) if tree.tag[i] == tag and (plain[i] or tag == "h1")]
+        if some:        # the h1 is the first outside noise, the others the longest outside comments
+            marks[tag] = min(some, key=lambda i: (noise[i], i)) if tag == "h1" else \
+                min(some, key=lambda i: (noise[i] == 2, -plain[i], i))
+    text = marks.get("article")
+    gone = [False] * n
+    for i in range(1, n):
+        if gone[tree.parent[i]]:
+            gone[i] = True
+        elif tree.named[i]:
+            apart = tree.named[i] == 2 and text is not None and not i <= text <= last[i] and not text <= i <= last[text]
+            gone[i] = not any(i <= k <= last[i] for k in marks.values()) and (2 * plain[i] <= plain[0] or apart)
+    new, kept = [0] * n, [i for i in range(n) if not gone[i]]
+    for at, i in enumerate(kept):
+        new[i] = at
+    runs, starts = [], False
+    for node, s, block in tree.runs:
+        starts = starts or block
+        if not gone[node]:
+            runs.append((new[node], s, starts))
+            starts = False
+    tree.tag, tree.parent, tree.runs = [tree.tag[i] for i in kept], [new[tree.parent[i]] for i in kept], runs
+
+
 def _densities(tree: _Tree) -> tuple[list[float], list[float]]:
     n = len(tree.tag)
     chars, tags, lchars, ltags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -214,6 +267,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _parse(page)
+    _drop_named(tree)
     density, sums = _densities(tree)
     n = len(tree.tag)
     core = max(range(n), key=lambda i: (sums[i], -i)) if n > 1 else 0

@@ -265,6 +265,24 @@ def test_main_text_keeps_sections():
     assert got == ["Title"] + [("long text " * 20).strip()] * 5 + ["Short para.", "Term", "Sense", "Caption", "More", "x", "Late"]
 
 
+@pytest.mark.parametrize("wrap", ["class='content has-sidebar'", "class='no-sidebar'", "class=with-menu", "id='search-results'"])
+def test_main_text_of_wrapped_pages(wrap):
+    para, side = "<p>" + "long text " * 20 + "</p>", "<div class=sidebar><p>Aside</p></div><div id=menu><a href=x>x</a></div>"
+    text, ad = ("long text " * 20).strip(), "<div class='ad'><p>Buy</p></div>"
+    for body in (f"<article><h1>T</h1>{para * 2}{ad}</article>", f"<main><h1>T</h1>{para * 2}</main>",
+                 f"<h1>T</h1>{para * 2}{ad}"):
+        got = html_text.main_text(f"<body>{side}<div {wrap}>{body}{side}</div>{ad}<footer>F</footer></body>")
+        assert got == f"T\n\n{text}\n\n{text}"
+    short = f"<body><h1>T</h1><div {wrap}>{para}</div>{side}</body>"
+    assert html_text.main_text(short) == f"T\n\n{text}"
+
+
+def test_main_text_without_long_comments():
+    reply = "<article class=comment><p>" + "so long a reply " * 40 + "</p></article>"
+    page = f"<body><article><h1>T</h1><p>Short text.</p></article><div id=comments>{reply * 5}</div></body>"
+    assert html_text.main_text(page) == "T\n\nShort text."
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "z"), (1, "u", "<p>a</p>", "z"), (2, None, None, "z")],
                                   "page_id long, url string, html string, text string")
