@@ -14,13 +14,17 @@ views: the sum of their calibrated log odds less the prior's.
 
 Fitting uses bounded samples: about ``LABELLED`` labelled and ``POOL``
 unlabelled documents, taken by a hash of their ids at a rate computed from the
-counts (both parameters).  The only broadcast is that sample of ids and the
+counts (both parameters).  Labelled documents are sampled by class: half of
+``LABELLED`` each, or all that there are, the other class filling up the rest; a
+quarter of each class, one at least, is kept for calibration.  The share of
+the classes in the whole table is put back into the prior and the calibration.
+The only broadcast is that sample of ids and the
 two weight vectors.  Every document is scored, from its whole text, in one
 narrow pass.
 
 Defined results: a null text is scored as empty; labels that are null, or that
-contradict each other for one document, are left out; without labels of both
-classes every document gets score 1 (nothing is rejected); repeated rows get
+contradict each other for one document, are left out; without two labelled
+documents of each class every document gets score 1 (nothing is rejected); repeated rows get
 equal scores; extra columns pass through; an empty table gives an empty result.
 """
 
@@ -141,16 +145,31 @@ def platt(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray) -> dict | None:
+def split(ids: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Marks a quarter of the labelled documents of each class, by a hash of
+    their ids; both parts get a document of a class that has two or more."""
+    held = np.zeros(len(y), bool)
+    for label in (0, 1):
+        of = np.unique(ids[y == label])
+        place = of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        some = of[np.argsort(place, kind="stable")[:max(len(of) // 4, 1)]] if len(of) > 1 else of[:0]
+        held |= (y == label) & np.isin(ids, some)
+    return held
+
+
+def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray,
+            rates: tuple[float, float] = (1.0, 1.0)) -> dict | None:
     """Views of the sample; ``y`` is 1, 0 or -1 (pool); ``held`` marks the
-    labelled documents kept for calibration.  None without both classes."""
+    labelled documents kept for calibration; ``rates`` are the shares of class 0
+    and class 1 that were sampled.  None without both classes in both parts."""
     train, fold, pool = (y >= 0) & ~held, (y >= 0) & held, np.flatnonzero(y < 0)
     if len(np.unique(y[train])) < 2 or len(np.unique(y[fold])) < 2:
         return None
     views = (content, meta)
     rows = [np.flatnonzero(train), np.flatnonzero(train)]
     marks = [y[train].astype(np.float64), y[train].astype(np.float64)]
-    prior = y[train].mean()
+    weight = 1.0 / np.asarray(rates)[np.where(y[train] == 1, 1, 0)]
+    prior = float((weight * y[train]).sum() / weight.sum())
     free = [np.ones(len(pool), bool), np.ones(len(pool), bool)]
     for _ in range(ROUNDS):
         weights = [fit_logistic(v[r], m) for v, r, m in zip(views, rows, marks)]
@@ -163,7 +182,8 @@ def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarr
                 marks[taker] = np.concatenate((marks[taker], np.full(len(pick), label)))
                 free[taker][pick] = False
     weights = [fit_logistic(v[r], m) for v, r, m in zip(views, rows, marks)]
-    scale = [platt(_logit(v[fold], w), y[fold]) for v, w in zip(views, weights)]
+    shift = float(np.log(rates[0] / rates[1]))     # sampling by class moves the log odds by a constant
+    scale = [(a, b + shift) for a, b in (platt(_logit(v[fold], w), y[fold]) for v, w in zip(views, weights))]
     return {"weights": weights, "scale": scale, "prior": float(np.log(prior / (1 - prior)))}
 
 
@@ -186,14 +206,25 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       names=["doc_id", "quality", "x"])
 
 
+def class_rates(n0: int, n1: int, labelled: int) -> tuple[float, float]:
+    """Shares of the two classes to sample: half of ``labelled`` each, or all,
+    the larger class taking what the smaller leaves."""
+    least = min(n0, n1, labelled // 2)
+    return tuple(min(1.0, (least if n <= min(n0, n1) else labelled - least) / max(n, 1)) for n in (n0, n1))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
     """The fitted views of ``docs`` (doc_id, text, source, lang, n_chars) and
     ``labels`` (doc_id, quality)."""
     spark = docs.sparkSession
     good = (labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
             .agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most"))
-    n_labels, n_docs = good.count(), docs.count()
-    some = good.filter(_place(F.col("doc_id"), "labelled") < labelled / max(n_labels, 1)).withColumnRenamed("doc_id", "l_id")
+    n_docs = docs.count()
+    known = good.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy(F.col("quality").cast("int").alias("q")).count()
+    counts = {r["q"]: r["count"] for r in known.collect()}
+    rates = class_rates(counts.get(0, 0), counts.get(1, 0), labelled)
+    some = good.filter(_place(F.col("doc_id"), "labelled") < F.when(F.col("quality") == 1, rates[1]).otherwise(rates[0])) \
+               .withColumnRenamed("doc_id", "l_id")
     base = docs.select("doc_id", "text", "source", "lang", "n_chars")
     # about ``labelled`` rows of two numbers: a bounded broadcast
     sample = base.join(F.broadcast(some), base["doc_id"] == some["l_id"], "left").drop("l_id") \
@@ -208,8 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool:
         x[i, np.frombuffer(raw, np.int16, m)] = np.frombuffer(raw, np.float32, m, 2 * m)
     y = np.array([-1 if q is None else q for q in got.column("quality").to_pylist()])
     ids = np.array([0 if i is None else i for i in got.column("doc_id").to_pylist()], dtype=np.int64)
-    held = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62)) == 0       # a quarter
-    return cotrain(x[:, :CONTENT], x[:, CONTENT:], y, held)
+    return cotrain(x[:, :CONTENT], x[:, CONTENT:], y, split(ids, y), rates)
 
 
 def _scorer(model, columns: list[str]):

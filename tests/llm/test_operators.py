@@ -217,6 +217,30 @@ def test_quality(spark, odd):
     assert cotrain.with_scores(odd.limit(0), labels).count() == 0
 
 
+def test_quality_with_few_bad_labels(spark):
+    good = [(i, words(40, i), "en", "a", 200) for i in range(1, 900)]
+    bad = [(i, "buy now " * 30, "en", "spam", 200) for i in range(900, 903)]
+    docs = table(spark, good + bad)
+    for lot in (900, 1800, 2700):        # other ids, other places of the three
+        d = docs.withColumn("doc_id", F.col("doc_id") + lot)
+        labels = d.selectExpr("doc_id", "int(source = 'a') as quality")
+        model = cotrain.learn(d, labels, labelled=300, pool=100)
+        assert model is not None and model["prior"] == pytest.approx(np.log(899 / 3), rel=0.4)
+        scored = cotrain.with_scores(d, labels, labelled=300, pool=100).select(f"{cotrain.SCORES}.score", "source").collect()
+        assert max(r.score for r in scored if r.source == "spam") < np.quantile([r.score for r in scored if r.source == "a"], 0.05)
+
+
+def test_split_and_rates_by_class():
+    ids, y = np.arange(4000), np.array([0, 0] + [1] * 3998)
+    for lot in range(20):
+        held = cotrain.split(ids + 7919 * lot, y)
+        assert held[y == 0].sum() == 1 and held[y == 1].sum() == 999
+    assert cotrain.class_rates(1000, 999_000, 4000) == (1.0, 3000 / 999_000)
+    assert cotrain.class_rates(10 ** 6, 10 ** 6, 4000) == (0.002, 0.002)
+    assert cotrain.class_rates(5000, 3000, 4000) == (0.4, 2000 / 3000)
+    assert cotrain.class_rates(0, 10, 4000)[1] == 1.0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 32))
