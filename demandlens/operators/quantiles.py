@@ -16,8 +16,8 @@ makes two passes for any number of columns:
 
 Only a ~8/accuracy slice of the data (after tie collapsing) reaches the
 ordered window.  For an even count the two middle values are averaged as
-(a + b) / 2.  If the bracket ever misses, Spark's exact ``percentile`` is
-used for that column.
+(a + b) / 2.  If the bracket of a column ever misses, both passes are repeated
+for that column with one eight times as wide; the last, at all values, cannot miss.
 """
 
 from __future__ import annotations
@@ -35,7 +35,17 @@ def _valid(c: Column) -> Column:
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str], *, accuracy: int = ACCURACY) -> dict[str, float | None]:
-    delta = 4.0 / accuracy
+    out: dict[str, float | None] = {}
+    left, delta = list(dict.fromkeys(cols)), 4.0 / accuracy
+    while left:
+        out |= _medians_in_bracket(df, left, accuracy, delta)
+        left, delta = [c for c in left if c not in out], delta * 8
+    return {c: out[c] for c in cols}
+
+
+def _medians_in_bracket(df: DataFrame, cols: Sequence[str], accuracy: int, delta: float) -> dict[str, float | None]:
+    """The medians of the columns whose bracket of ``delta`` on both sides holds them."""
+    whole = delta >= 0.5
     qs = [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)]
     aggs = []
     for i, c in enumerate(cols):
@@ -46,8 +56,9 @@ def exact_medians(df: DataFrame, cols: Sequence[str], *, accuracy: int = ACCURAC
     for i, c in enumerate(cols):
         n = int(stats[f"n{i}"])
         if n:
-            plan[c] = (n, float(stats[f"b{i}"][0]), float(stats[f"b{i}"][1]))
-    out: dict[str, float | None] = {c: None for c in cols}
+            lo, hi = (float("-inf"), float("inf")) if whole else map(float, stats[f"b{i}"])
+            plan[c] = (n, lo, hi)
+    out: dict[str, float | None] = {c: None for c in cols if c not in plan}
     if not plan:
         return out
     # pass 2: (column id, value or -inf sentinel) for values at or below the bracket top
@@ -84,15 +95,13 @@ def exact_medians(df: DataFrame, cols: Sequence[str], *, accuracy: int = ACCURAC
         k1, k2 = (n - 1) // 2, n // 2
         pick = {}
         for r in found:
-            if r["i"] == i and r["x"] != float("-inf"):
+            if r["i"] == i and (whole or r["x"] != float("-inf")):
                 for k in (k1, k2):
                     if r["r0"] <= k < r["r0"] + r["c"]:
                         pick[k] = float(r["x"])
         if k1 in pick and k2 in pick:
             a, b = pick[k1], pick[k2]
             out[c] = a if a == b else (a + b) / 2
-        else:
-            out[c] = df.agg(F.percentile(F.when(_valid(F.col(c)), F.col(c)), 0.5)).first()[0]
     return out
 
 

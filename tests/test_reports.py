@@ -147,3 +147,22 @@ def test_median_methods_agree_on_small_data(spark):
     pct = R.metrics_summary(d, median="percentile").first()
     approx = R.metrics_summary(d, median="approx").first()
     assert exact["median_absolute_error"] == pct["median_absolute_error"] == approx["median_absolute_error"]
+
+
+def test_exact_medians_widen_a_missed_bracket(spark, monkeypatch):
+    from demandlens.operators import quantiles
+    approx, tries = quantiles.F.percentile_approx, []
+
+    def off(x, qs, accuracy):
+        tries.append(qs)
+        return approx(x, [min(1.0, q + 0.01) for q in qs], accuracy)
+
+    def never(*_):
+        raise AssertionError("one task")
+
+    monkeypatch.setattr(quantiles.F, "percentile_approx", off)
+    monkeypatch.setattr(quantiles.F, "percentile", never)
+    df = spark.range(1, 10_002).selectExpr("double(id) as x", "if(id < 9000, double('-Infinity'), double(id)) as y",
+                                           "double(null) as z")
+    assert exact_medians(df, ["x", "y", "z"]) == {"x": 5001.0, "y": float("-inf"), "z": None}
+    assert len(tries) > 3
