@@ -152,8 +152,9 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _word_blocks(shards: int):
     """Texts -> (shard, block): the words of a few thousand sets, each set once.
-    A block: number of sets, their ids, what each may leave out (even, odd
-    bands), then the low halves of the words and (kind, set number) of each."""
+    A block has only the sets with a word in its shard: their number, their ids,
+    what each may leave out (even, odd bands), then the low halves of the words
+    and (kind, set number in the block) of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
         sids: dict[int, int] = {}
@@ -164,17 +165,21 @@ def _word_blocks(shards: int):
 
         def flush():
             w = np.concatenate(words)
-            idx = np.repeat(np.arange(len(words), dtype=np.uint16), [len(x) for x in words]) | np.concatenate(kinds) << np.uint16(12)
+            number = np.repeat(np.arange(len(words)), [len(x) for x in words])
             shard = ((w >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            head = np.array([len(sids), *sids], dtype=np.int64).tobytes() + np.array(spare, dtype=np.int32).tobytes()
-            low, idx = w.astype(np.uint32)[order], idx[order]
+            ids, may = np.array(list(sids), dtype=np.int64), np.array(spare, dtype=np.int32)
+            low, number, kind = w.astype(np.uint32)[order], number[order], np.concatenate(kinds)[order] << np.uint16(12)
             for k in range(shards):
                 a, b = ends[k], ends[k + 1]
                 if a < b:
+                    new = np.diff(number[a:b], prepend=-1) != 0         # numbers ascend within a shard
+                    own = number[a:b][new]
+                    idx = (np.cumsum(new) - 1).astype(np.uint16) | kind[a:b]
+                    head = np.int64(len(own)).tobytes() + ids[own].tobytes() + may[own].tobytes()
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array(
-                        [head + low[a:b].tobytes() + idx[a:b].tobytes()], pa.binary())], schema=schema)
+                        [head + low[a:b].tobytes() + idx.tobytes()], pa.binary())], schema=schema)
 
         with np.errstate(over="ignore"):
             for _, texts in _texts(batches):

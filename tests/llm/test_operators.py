@@ -433,3 +433,25 @@ def test_near_in_blocks_is_brute_force():
                     assert ra != rb
                     parent[ra] = rb
                 assert all(find(a // 100 * 100 + a % 100 // 2) == find(b // 100 * 100 + b % 100 // 2) for _, a, b in want)
+
+
+def test_blocks_hold_only_sets_of_their_shard():
+    texts = pa.array([words(40, i) for i in range(60)])
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), texts], names=["doc_id", "text"])
+    sets = {ngram_join.set_id(s): s for s in (shingle_set(t, ngram_join.K) for t in texts.to_pylist())}
+    marks = {sid: ngram_join.marked_words(s) for sid, s in sets.items()}
+    shards, seen = 400, {sid: 0 for sid in sets}
+    for part in ngram_join._word_blocks(shards)(iter([batch])):
+        k, raw = part.column(0)[0].as_py(), part.column(1)[0].as_py()
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        ids, may = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, 2 * n, 8 + 8 * n).reshape(n, 2)
+        m = (len(raw) - 8 - 16 * n) // 6
+        low, mark = np.frombuffer(raw, np.uint32, m, 8 + 16 * n), np.frombuffer(raw, np.uint16, m, 8 + 16 * n + 4 * m)
+        assert set(mark & 0xFFF) == set(range(n))
+        for x, i in zip(low, mark):
+            sid = int(ids[i & 0xFFF])
+            keys, kinds, leave = marks[sid]
+            assert any(int(w) & 0xFFFFFFFF == x and (int(w) >> 32) % shards == k and c == i >> 12 for w, c in zip(keys, kinds))
+            assert may[i & 0xFFF].tolist() == list(leave)
+            seen[sid] += 1
+    assert seen == {sid: len(marks[sid][0]) for sid in sets}
