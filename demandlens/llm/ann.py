@@ -16,11 +16,14 @@ Equal vectors have equal scores, so they are one entry with their k + 1 least
 ids, which is all that can be among a query's k nearest.  A (table, band,
 axis) bucket is cut into blocks of about ``BLOCK`` entries by its counted size
 and its queries into blocks of as many, so neither a large bucket nor a
-popular one is held by one task; a block emits at most k rows a query.
+popular one is held by one task; a block emits at most k rows a query.  The
+queries that meet fewer than k candidates, as in a small table, are held
+against all entries, in such blocks too.
 
 Defined results: vectors that are null, empty, zero, of another length than
 the most common one, or that hold null or non-finite components take no part;
-rows that repeat a vec_id are candidates of their own; ties go to the smaller
+rows that repeat a vec_id are candidates of their own; rows that repeat a
+query's id are one query, scored by the nearest of its vectors; ties go to the smaller
 vec_id; fewer candidates than k: all; empty tables give empty results.
 """
 
@@ -150,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
            .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     entries = ids.withColumn("norm", norm).withColumn("band", F.round(F.log2("norm")).cast("int")) \
-                 .withColumn("eid", F.element_at("ids", 1))
+                 .withColumn("eid", F.monotonically_increasing_id())     # fixed by the write
     entries = cut(entries, "ann-entries")
     bands = entries.groupBy("band").agg(F.max("norm").alias("longest"))
     hashed = entries.join(bands, "band").select("eid", "band", "v", "longest") \
@@ -171,8 +174,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
               .select(*by, "eid", "v"))
     near = (probes.groupBy(*[f"p_{c}" for c in by]).cogroup(placed.groupBy(*by))
             .applyInArrow(_rerank(k), "query_id long, eid long, score double"))
-    # the same pair has the same score in every table
-    near = near.dropDuplicates(["query_id", "eid"])
+    found = cut(_best(near, entries, k), "ann-found")
+    met = found.groupBy(F.col("query_id").alias("qid")).count()
+    short = cut(asked.join(met, "qid", "left").filter(F.coalesce("count", F.lit(0)) < k).select("qid", "v"), "ann-short")
+    n_short = short.count()
+    if not n_short:
+        return found
+    blocks, q_blocks = -(-entries.count() // BLOCK), -(-n_short // BLOCK)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    left = short.select(part("qid", q_blocks).alias("p_q_blk"), every(blocks).alias("p_blk"), "qid", "v")
+    right = entries.select(part("eid", blocks).alias("blk"), every(q_blocks).alias("q_blk"), "eid", "v")
+    near = (left.groupBy("p_blk", "p_q_blk").cogroup(right.groupBy("blk", "q_blk"))
+            .applyInArrow(_rerank(k), "query_id long, eid long, score double"))
+    whole = short.select(F.col("qid").alias("query_id")).distinct()
+    return found.join(whole, "query_id", "left_anti").unionByName(_best(near, entries, k))
+
+
+def _best(near: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query.  The same pair has the same score in every table."""
+    near = near.groupBy("query_id", "eid").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = (near.join(entries.select("eid", "ids"), "eid").withColumn("vec_id", F.explode("ids"))
              .filter(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(best))

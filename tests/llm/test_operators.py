@@ -455,3 +455,18 @@ def test_blocks_hold_only_sets_of_their_shard():
             assert may[i & 0xFFF].tolist() == list(leave)
             seen[sid] += 1
     assert seen == {sid: len(marks[sid][0]) for sid in sets}
+
+
+def test_neighbours_of_small_tables(spark):
+    x = np.random.default_rng(4).normal(size=(10, 64))
+    rows = [(i, x[i].tolist()) for i in range(10)] + [(3, (-2 * x[3]).tolist()), (3, (x[5] + x[6]).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.filter("vec_id <> 3")
+    got = {}
+    for r in ann.nearest(vectors, asked, k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    for q, near in got.items():
+        want = sorted(((float(np.dot(x[q], v)), -i) for i, v in rows if i != q), reverse=True)
+        assert [(n, i) for n, i, _ in sorted(near)] == [(n + 1, -i) for n, (_, i) in enumerate(want)]
+        assert np.allclose([s for _, _, s in sorted(near)], [s for s, _ in want])
