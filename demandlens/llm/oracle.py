@@ -64,7 +64,65 @@ hits AS (select d_row, doc_id, item_id, n_item, n_shared from both_ join i_n on
          where 100 * n_shared >= 75 * n_item)"""
 
 
+def crc32(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    bit = "lambda v, z: xor(v >> 1, (v & 1) * 3988292384)"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), {byte}), 4294967295)"
+
+
+def _record(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+
+def _merkle_levels(name: str, key: str, levels: int) -> str:
+    """CTEs {name}1.. (nodes by level), {name}0x.. (siblings) and {name}top of {name}0 ({key}, n, pos, digest)."""
+    out = []
+    for i in range(levels):
+        run = f"partition by {key}, pos // 16 order by pos rows between"
+        out.append(f"""{name}{i}x AS (select {key}, pos,
+            coalesce(string_agg(digest, '') over ({run} unbounded preceding and 1 preceding), '') as lft,
+            coalesce(string_agg(digest, '') over ({run} 1 following and unbounded following), '') as rgt
+            from {name}{i} where n > 1)""")
+        out.append(f"""{name}{i + 1} AS (select {key}, (n + 15) // 16 as n, pos // 16 as pos, sha256(string_agg(digest, '' order by pos)) as digest
+            from {name}{i} where n > 1 group by {key}, n, pos // 16)""")
+    tops = " union all ".join(f"select {key}, digest from {name}{i} where n = 1" for i in range(levels + 1))
+    return ",\n".join(out) + f",\n{name}top AS ({tops})"
+
+
+def _merkle_walk(name: str, tree: str, key: str, pos: str, levels: int) -> str:
+    """CTEs {name}1..: the proof so far and the folded digest of every leaf of {name}0."""
+    out = []
+    for i in range(levels):
+        out.append(f"""{name}{i + 1} AS (select w.* replace (w.proof || coalesce(x.lft || x.rgt, '') as proof,
+            case when x.pos is null then w.cur else sha256(x.lft || w.cur || x.rgt) end as cur)
+            from {name}{i} w left join {tree}{i}x x on w.{key} = x.{key} and w.{pos} // {16 ** i} = x.pos)""")
+    return ",\n".join(out)
+
+
+def manifest_sql(levels: int = 6, top_levels: int = 4) -> str:
+    fields = "doc_id source lang n_chars text".split()
+    record = " || ".join(_record(f) for f in fields)
+    lowered = " || ".join(_record(ASCII_LOWER if f == "text" else f) for f in fields)
+    return f"""with m_leaf AS (select doc_id, coalesce('=' || source, '') as k, sha256({record}) as leaf,
+        case when {crc32('doc_id::varchar')} % 5 = 0 then sha256({lowered}) else sha256({record}) end as other from documents),
+b AS (select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by k) as n from m_leaf),
+s0 AS (select k, n, pos, leaf as digest from b),
+{_merkle_levels('s', 'k', levels)},
+t0k AS (select k, row_number() over (order by k) - 1 as pos, count(*) over () as n, digest from stop),
+t0 AS (select 0 as g, n, pos, digest from t0k),
+{_merkle_levels('t', 'g', top_levels)},
+v0 AS (select doc_id, leaf, k, 0 as g, pos, leaf as untouched, other as cur, '' as proof from b),
+{_merkle_walk('v', 's', 'k', 'pos', levels)},
+u0 AS (select v.*, t.pos as tpos, t.digest as subroot from v{levels} v join t0k t on v.k = t.k),
+{_merkle_walk('u', 't', 'g', 'tpos', top_levels)}
+select doc_id, leaf, subroot, r.digest as root, sha256(proof) as proof_sha256, cur as folded_root, cur = r.digest as verified
+from u{top_levels} u join ttop r on u.g = r.g"""
+
+
 ORACLE = {
+    "op12_manifest": manifest_sql(),
     "op3_decontaminate": f"with {matches_ctes('documents')} select doc_id, item_id, n_item as n_item_shingles, "
                          "n_shared, n_shared / n_item as containment from hits",
     "op5_mixing": f"with {mixing_ctes('documents')} "

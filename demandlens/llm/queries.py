@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import ann, cotrain, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, quotes
+from demandlens.llm import (
+    ann, cotrain, dag_manifest, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, quotes,
+)
 from demandlens.llm.common import cut, table
 
 
@@ -85,6 +87,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof and the root a tampered copy gives."""
+    return dag_manifest.audit_tampered(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cotrain": op1_cotrain,
     "op2_ann": op2_ann,
@@ -96,4 +103,5 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_merkle": op9_merkle,
     "op10_langid": op10_langid,
+    "op12_manifest": op12_manifest,
 }
