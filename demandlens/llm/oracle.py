@@ -121,7 +121,67 @@ select doc_id, leaf, subroot, r.digest as root, sha256(proof) as proof_sha256, c
 from u{top_levels} u join ttop r on u.g = r.g"""
 
 
+def _walk(base: str, letter: str, cost: str, piece: str | None) -> str:
+    out = f"{base}.o" if piece is None else f"list_append({base}.o, {piece})"
+    return f"{{'c': {base}.c + {cost}, 'a': {base}.a || '{letter}', 'o': {out}}}"
+
+
+def _least(*walks: str) -> str:
+    return f"list_sort([{', '.join(walks)}])[1]"
+
+
+def repair_sql() -> str:
+    """The repair as a recursion over rows: the least walk to each of the four
+    states (q0 nothing, q1 system, q2 user, q3 assistant) after every row."""
+    none = "{'c': 1000000000::bigint, 'a': '', 'o': []::varchar[]}"
+    text = "coalesce(text, ' ')"
+    stripped = "rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    ins2 = [_walk(f"s.q{q}", "I", "2", "'user:'") for q in (0, 1, 3)]
+    said, extra = "r.role || ':' || r.text", "r.extra"
+    gone = {q: _walk(f"t.q{q}", "D", "3", None) for q in range(4)}
+    rerole2 = [_walk(f"t.q{q}", "R", f"2 + {extra}", "'user:' || r.text") for q in (0, 1, 3)]
+    rerole3 = _walk("t.q2", "R", f"2 + {extra}", "'assistant:' || r.text")
+    keep = {(q, to): _walk(f"t.q{q}", "K", extra, said) for q, to in ((0, 1), (0, 2), (1, 2), (3, 2), (2, 3))}
+
+    def edge(walk: str, when: str) -> str:
+        return f"case when not r.drop_ and {when} then {walk} else {none} end"
+
+    q1 = _least(gone[1], edge(keep[0, 1], "r.initial = 's'"))
+    q2 = _least(gone[2], *[edge(keep[q, 2], "r.initial = 'u'") for q in (0, 1, 3)], *[edge(w, "true") for w in rerole2])
+    q3 = _least(gone[3], edge(keep[2, 3], "r.initial = 'a'"), edge(rerole3, "true"))
+    return f"""with recursive h as (select conv_id, turn, coalesce(role, ' ') as role, {text} as text,
+        {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations),
+d as (select coalesce('=' || conv_id, '') as k, turn, case when kind = 4 then 'user' else role end as role,
+        case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case when kind = 3 then [0, 1] else [0] end) as copy from h where kind <> 0),
+p as (select *, row_number() over (partition by k order by turn nulls first, role, text, copy) as pos, left(role, 1) as initial,
+        {stripped} as bare from d),
+f as (select *, row_number() over (partition by k, role, text order by pos) as seen, lead(initial) over (partition by k order by pos) as nxt from p),
+g as (select *, case when bare = '' then 'blank' when seen > 1 then 'duplicate'
+        when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from f),
+r as materialized (select k, pos, role, text, initial, fault in ('blank', 'duplicate') as drop_, case when fault = 'truncated' then 1 else 0 end as extra from g),
+counts as (select k, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (nxt is not null and initial || nxt not in ('su', 'ua', 'au')) as illegal from g group by k),
+walk as (
+    select k, 0::bigint as done, {none.replace('1000000000', '0')} as q0, {none} as q1, {none} as q2, {none} as q3 from counts
+    union all
+    select t.k, t.done + 1, {gone[0]}, {q1}, {q2}, {q3}
+    from (select s.k, s.done, s.q0, s.q1, {_least("s.q2", *ins2)} as q2,
+                 {_least("s.q3", _walk(_least("s.q2", *ins2), "I", "2", "'assistant:'"))} as q3 from walk s) t
+    join r on t.k = r.k and r.pos = t.done + 1),
+e as (select s.k, {_least("s.q0", "s.q3", _walk(_least("s.q2", *ins2), "I", "2", "'assistant:'"))} as best
+      from walk s join counts n on s.k = n.k and s.done = n.n),
+ids as (select distinct conv_id, coalesce('=' || conv_id, '') as k from conversations)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost,
+       coalesce(best.a, '') as audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) as repaired_sha256
+from ids left join counts using (k) left join e using (k)"""
+
+
 ORACLE = {
+    "op13_repair": repair_sql(),
     "op12_manifest": manifest_sql(),
     "op3_decontaminate": f"with {matches_ctes('documents')} select doc_id, item_id, n_item as n_item_shingles, "
                          "n_shared, n_shared / n_item as containment from hits",

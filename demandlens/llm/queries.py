@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.llm import (
-    ann, cotrain, dag_manifest, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, quotes,
+    ann, cotrain, dag_manifest, decontaminate, edit_lattice, html_text, langid, merkle, mixing, ngram_join,
+    pii, quotes,
 )
 from demandlens.llm.common import cut, table
 
@@ -92,6 +93,12 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag_manifest.audit_tampered(table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return edit_lattice.repair(conversations, edit_lattice.damage(conversations))
+
+
 QUERIES = {
     "op1_cotrain": op1_cotrain,
     "op2_ann": op2_ann,
@@ -104,4 +111,5 @@ QUERIES = {
     "op9_merkle": op9_merkle,
     "op10_langid": op10_langid,
     "op12_manifest": op12_manifest,
+    "op13_repair": op13_repair,
 }
