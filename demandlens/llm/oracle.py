@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandlens.llm import mixing
+from demandlens.llm import licenses, mixing
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -180,7 +180,60 @@ select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as
 from ids left join counts using (k) left join e using (k)"""
 
 
+def licences_sql() -> str:
+    """The licence scan over all words of all texts, one row a word."""
+    def values(rows, cols):
+        return "(values " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") t({cols})"
+
+    def starts(phrase):
+        parts = phrase.split()
+        cond = " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
+        return f"list_filter(generate_series(1, len(w) - {len(parts) - 1}), lambda i: {cond})"
+
+    postings, keys = [], []
+    for t, (label, text, phrases) in enumerate(licenses.TEMPLATES):
+        parts = text.split()
+        postings += [(t, label, q, w) for q, w in enumerate(parts)]
+        for p in phrases:
+            run = p.split()
+            keys += [(t, q, p) for q in range(len(parts)) if parts[q:q + len(run)] == run]
+    base = " union all ".join(f"select row_no, '{label}' as label, unnest({starts(p)}) - 1 as at_ from d" for p, label in licenses.BASE)
+    found = " union all ".join(f"select row_no, '{p}' as phrase, unnest({starts(p)}) - 1 as at_ from d" for p in licenses.PHRASES)
+    key_words = [(t, w) for t, (_, _, phrases) in enumerate(licenses.TEMPLATES) for p in phrases for w in p.split()]
+    return rf"""with d as materialized (select doc_id, row_number() over () as row_no,
+        coalesce(regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+postings as (select * from {values(postings, 'template, label, place, word')}),
+key_at as (select * from {values(keys, 'template, place, phrase')}),
+key_word as (select * from {values(key_words, 'template, word')}),
+hits as materialized (select * from (select row_no, unnest(w) as word, unnest(generate_series(0, len(w) - 1)) as at_ from d) x
+        where word in (select word from postings)),
+counted as (select word, count(distinct row_no) as files from hits group by word),
+weights as (select v.word, case when x = 0 then 1 else 1 + len(bin(x)) end as weight
+        from (select word, (select count(*) from d) // (coalesce(files, 0) + 1) as x
+              from (select distinct word from postings) p left join counted using (word)) v),
+least as (select min(top) as weight from (select template, max(weight) as top from key_word join weights using (word) group by template) k),
+probes as (select w.* from weights w, least l where w.weight >= l.weight),
+index_ as (select template, label, place, word, weight, sum(weight) over (partition by template) as total from postings join probes using (word)),
+votes as (select row_no, template, label, at_ - place as shift, total, sum(weight) as got from hits join index_ using (word) group by all),
+found as ({found}),
+due as (select row_no, template, phrase, at_ - place as due from found join key_at using (phrase)),
+held as (select row_no, template, label, shift, got, total, count(distinct phrase) as stands from votes join due using (row_no, template)
+        where 2 * got >= total and abs(shift - due) <= {licenses.SLACK} group by all),
+verified as (select row_no, label, got / total as share from held
+        join (select template, count(distinct phrase) as n from key_at group by template) k using (template) where stands = n),
+base as ({base}),
+b as (select row_no, count(*) as n_base, min(at_) as first_word, max(at_) as last_word,
+        string_agg(distinct label, ',' order by label) as base_labels from base group by row_no),
+l as (select row_no, string_agg(distinct label, ',' order by label) as labels
+        from (select row_no, label from base union all select row_no, label from verified) u group by row_no),
+s as (select row_no, max(share) as score from verified group by row_no)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from d left join b using (row_no) left join l using (row_no) left join s using (row_no)"""
+
+
 ORACLE = {
+    "op11_licenses": licences_sql(),
     "op13_repair": repair_sql(),
     "op12_manifest": manifest_sql(),
     "op3_decontaminate": f"with {matches_ctes('documents')} select doc_id, item_id, n_item as n_item_shingles, "

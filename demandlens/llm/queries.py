@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.llm import (
-    ann, cotrain, dag_manifest, decontaminate, edit_lattice, html_text, langid, merkle, mixing, ngram_join,
-    pii, quotes,
+    ann, cotrain, dag_manifest, decontaminate, edit_lattice, html_text, langid, licenses, merkle, mixing,
+    ngram_join, pii, quotes,
 )
 from demandlens.llm.common import cut, table
 
@@ -88,6 +88,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, its proof and the root a tampered copy gives."""
     return dag_manifest.audit_tampered(table(spark, sf_dir, "documents"))
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_merkle": op9_merkle,
     "op10_langid": op10_langid,
+    "op11_licenses": op11_licenses,
     "op12_manifest": op12_manifest,
     "op13_repair": op13_repair,
 }
