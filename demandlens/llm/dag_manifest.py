@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import cut
-from demandlens.llm.ranks import ranked
+from demandlens.llm.ranks import numbered, ranked
 
 FAN = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,7 +101,7 @@ def build(rows: DataFrame, source: str, order: Sequence[str], leaf: str = "leaf"
     """The manifest of ``rows``: digests ``leaf``, trees by ``source``, leaves in
     ascending ``order`` and then by digest."""
     keyed = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
-    placed = ranked(keyed, "key", [*order, leaf], "manifest")
+    placed = ranked(numbered(keyed, "manifest-rows"), "key", [*order, leaf], "manifest", rows.columns)
     most, groups = placed.agg(F.max("n"), F.max("groups")).first()
     top = height(groups or 0)
     path = F.concat(_digits(F.col("group_pos"), F.lit(top)), _digits(F.col("pos"), _height(F.col("n"))))

@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandlens.llm.common import cut, prepare
-from demandlens.llm.ranks import ranked
+from demandlens.llm.ranks import numbered, ranked
 
 BLOCK = 64
+ORDER = ("turn", "role", "text")
 SPACES = " \t\n\x0b\f\r"
 START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = (START, SYSTEM, USER, ASSISTANT)
@@ -54,29 +55,44 @@ REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 
 # ---------------------------------------------------------------- the lattice
 
-def _edges_from(codes: str, i: int, q: int) -> Iterator[tuple[tuple[int, int], int, str]]:
-    """Edges out of node (i, q).  A row's code is the first letter of its role, in
-    upper case when truncated; ``-`` when it must be deleted."""
-    yield (i, FORCED[q]), INSERT, "I"
-    if i == len(codes):
-        return
-    code = codes[i]
-    yield (i + 1, q), DELETE, "D"
-    if code != "-":
-        extra = TRUNCATED if code.isupper() else 0
-        yield (i + 1, FORCED[q]), REROLE + extra, "R"
-        kept = AFTER.get((q, code.lower()))
-        if kept is not None:
-            yield (i + 1, kept), extra, "K"
-
-
-def _edges_into(codes: str, i: int, q: int) -> Iterator[tuple[tuple[int, int], int, str]]:
+@lru_cache(maxsize=None)
+def _steps(code: str) -> tuple[tuple, tuple]:
+    """Over a row: (state after, cost, letter) by the state before, and (state before,
+    cost, letter) by the state after.  A code is the first letter of the row's role,
+    in upper case when truncated, or ``-`` when the row must be deleted."""
+    onward: tuple[list, ...] = ([], [], [], [])
+    back: tuple[list, ...] = ([], [], [], [])
+
+    def add(p: int, q: int, cost: int, letter: str) -> None:
+        onward[p].append((q, cost, letter))
+        back[q].append((p, cost, letter))
+
+    extra = TRUNCATED if code.isupper() else 0
     for p in STATES:
-        for at in (i, i - 1):
-            if at >= 0:
-                for node, cost, letter in _edges_from(codes, at, p):
-                    if node == (i, q):
-                        yield (at, p), cost, letter
+        add(p, p, DELETE, "D")
+        if code != "-":
+            add(p, FORCED[p], REROLE + extra, "R")
+            kept = AFTER.get((p, code.lower()))
+            if kept is not None:
+                add(p, kept, extra, "K")
+    return onward, back
+
+
+def _edges(codes: str, node: tuple[int, int], reverse: bool) -> Iterator[tuple[tuple[int, int], int, str]]:
+    """(node, cost, letter) of the edges out of ``node``, or into it."""
+    i, q = node
+    if reverse:
+        for p in STATES:
+            if FORCED[p] == q:
+                yield (i, p), INSERT, "I"
+        if i > 0:
+            for p, cost, letter in _steps(codes[i - 1])[1][q]:
+                yield (i - 1, p), cost, letter
+    else:
+        yield (i, FORCED[q]), INSERT, "I"
+        if i < len(codes):
+            for p, cost, letter in _steps(codes[i])[0][q]:
+                yield (i + 1, p), cost, letter
 
 
 def least_edits(codes: str, entry: int, exits: tuple[int, ...]) -> tuple[int, str] | None:
@@ -95,7 +111,7 @@ def least_edits(codes: str, entry: int, exits: tuple[int, ...]) -> tuple[int, st
         if node in done[side]:
             continue
         done[side][node] = (cost, letters)
-        for nxt, step, letter in (_edges_into if side else _edges_from)(codes, *node):
+        for nxt, step, letter in _edges(codes, node, bool(side)):
             audit = letter + letters if side else letters + letter
             if nxt in done[1 - side]:                  # a crossing
                 far_cost, far = done[1 - side][nxt]
@@ -120,7 +136,7 @@ def _between(codes: str) -> list[tuple[int, int, int, str]]:
 
 
 def _joined(parts: list) -> list[tuple[int, int, int, str]]:
-    """One summary of consecutive ones."""
+    """One summary of consecutive blocks' walks."""
     total = {(r["entry"], r["exit"]): (r["cost"], r["audit"]) for r in parts[0]}
     for part in parts[1:]:
         nxt: dict = {}
@@ -146,9 +162,10 @@ def _search_blocks(codes: pd.Series, alone: pd.Series) -> pd.Series:
     return pd.Series([_named([(START, ASSISTANT, *_whole(c))] if one else _between(c)) for c, one in zip(codes, alone)])
 
 
-@F.pandas_udf(SUMMARY)
-def _join_blocks(parts: pd.Series) -> pd.Series:
-    return pd.Series([_named(_joined(list(p))) for p in parts])
+def _join_blocks(group: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+    blocks = blocks.sort_values("block")
+    return pd.DataFrame({"key": [group[0]], "block": [group[1]], "illegal": [blocks["illegal"].sum()],
+                         "walks": [_named(_joined(list(blocks["walks"])))]})
 
 
 # ---------------------------------------------------------------- faults and plans
@@ -170,26 +187,33 @@ def _key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def with_faults(rows: DataFrame) -> DataFrame:
-    """(key, conv_id, turn, role, text, pos, n, fault): every row's place in its
-    conversation and its first fault (``blank``, ``duplicate``, ``truncated`` or null)."""
-    said = rows.select(_key(F.col("conv_id")).alias("key"), "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"),
-                       F.coalesce("text", F.lit(" ")).alias("text"))
-    placed = ranked(said, "key", ["turn", "role", "text"], "lattice").drop("group_pos", "groups")
-    # the first row of every (role, text); its place is unique, so the join has no hot key
-    first = (placed.groupBy("key", "role", F.sha2("text", 256).alias("digest")).agg(F.min("pos").alias("pos"))
-             .select("key", "pos", F.lit(True).alias("first")))
+def messages(rows: DataFrame) -> DataFrame:
+    """(key, conv_id, turn, role, text, row_no): ``rows``, numbered and without nulls
+    but in conv_id and turn."""
+    return numbered(rows.select(_key(F.col("conv_id")).alias("key"), "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"),
+                                F.coalesce("text", F.lit(" ")).alias("text")), "lattice-messages")
+
+
+def with_faults(said: DataFrame) -> DataFrame:
+    """(key, turn, initial, pos, n, fault): every message's place in its conversation
+    and its first fault (``blank``, ``duplicate``, ``truncated`` or null)."""
     bare = F.rtrim("text", F.lit(SPACES))
-    fault = (F.when(bare == "", "blank").when(F.col("first").isNull(), "duplicate")
-             .when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), "truncated"))
-    return placed.join(first, ["key", "pos"], "left").withColumn("fault", fault).drop("first")
+    open_end = ~F.right(bare, F.lit(1)).isin(".", "!", "?")
+    marked = said.select("*", F.substring("role", 1, 1).alias("initial"), (bare == "").alias("blank"), open_end.alias("open_end"),
+                         F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256).alias("digest"))
+    placed = ranked(marked, "key", ORDER, "lattice", ["turn", "initial", "blank", "open_end", "digest"])
+    # the first message of every (role, text); its place is unique, so the join has no hot key
+    first = (placed.groupBy("key", "digest").agg(F.min("pos").alias("pos"))
+             .select("key", "pos", F.lit(True).alias("first")))
+    fault = (F.when(F.col("blank"), "blank").when(F.col("first").isNull(), "duplicate").when(F.col("open_end"), "truncated"))
+    return placed.join(first, ["key", "pos"], "left").select("key", "turn", "initial", "pos", "n", fault.alias("fault"))
 
 
 def plans(rows: DataFrame) -> DataFrame:
     """(key, blank, duplicate, truncated, illegal, gaps, cost, audit) of every
     conversation of ``with_faults`` rows."""
     prepare(rows.sparkSession)
-    fault, initial = F.col("fault"), F.substring("role", 1, 1)
+    fault, initial = F.col("fault"), F.col("initial")
     letter = F.when(initial.isin("s", "u", "a"), initial).otherwise("x")
     code = (F.when(fault.isin("blank", "duplicate"), "-").when(fault == "truncated", F.upper(letter)).otherwise(letter))
     block = F.floor(F.col("pos") / BLOCK)
@@ -208,10 +232,8 @@ def plans(rows: DataFrame) -> DataFrame:
     rounds = 0
     while (found.agg(F.max("block")).first()[0] or 0) > 0:
         rounds += 1
-        found = (found.groupBy("key", F.floor(F.col("block") / BLOCK).alias("block"))
-                 .agg(F.sum("illegal").alias("illegal"), F.array_sort(F.collect_list(F.struct("block", "walks"))).alias("parts")))
-        found = cut(found.select("key", "block", "illegal", _join_blocks(F.transform("parts", lambda p: p["walks"])).alias("walks")),
-                    f"lattice-{rounds}")
+        up = found.groupBy("key", F.floor(F.col("block") / BLOCK).alias("up"))     # at most BLOCK rows a group
+        found = cut(up.applyInPandas(_join_blocks, found.schema), f"lattice-{rounds}")
     ends = F.filter("walks", lambda w: (w["entry"] == START) & w["exit"].isin(*ACCEPT))
     best = F.array_min(F.transform(ends, lambda w: F.struct(w["cost"].alias("cost"), w["audit"].alias("audit"))))
     counts = rows.groupBy("key").agg(
@@ -262,15 +284,14 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["key", "place", "role", "text"])
 
 
-def repaired(rows: DataFrame, planned: DataFrame) -> DataFrame:
+def repaired(said: DataFrame, planned: DataFrame) -> DataFrame:
     """(key, place, role, text): the messages that the audits leave, conversations
     whole in their partitions and in order."""
-    prepare(rows.sparkSession)
-    none = F.lit(None).cast("string")
-    stream = (planned.select("key", F.lit(-1).cast("long").alias("pos"), "audit", none.alias("role"), none.alias("text"))
-              .unionByName(rows.select("key", "pos", none.alias("audit"), "role", "text"))
-              .repartition("key").sortWithinPartitions("key", "pos"))
-    return stream.mapInPandas(_repaired, "key string, place long, role string, text string")
+    prepare(said.sparkSession)
+    stream = (planned.select("key", F.lit(0).alias("step"), "audit")
+              .unionByName(said.select("key", F.lit(1).alias("step"), *ORDER, "row_no"), allowMissingColumns=True)
+              .repartition("key").sortWithinPartitions("key", "step", *ORDER, "row_no"))
+    return stream.select("key", "audit", "role", "text").mapInPandas(_repaired, "key string, place long, role string, text string")
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,9 +312,9 @@ def repair(conversations: DataFrame, rows: DataFrame) -> DataFrame:
     """Faults, cost, audit and hash of the repaired messages of every conversation
     of ``conversations``, from its ``rows`` (conv_id, turn, role, text)."""
     prepare(rows.sparkSession)
-    faulty = cut(with_faults(rows), "lattice-rows")
-    planned = cut(plans(faulty), "lattice-plans")
-    hashed = repaired(faulty, planned).mapInPandas(_hashes, "key string, repaired_sha256 string")
+    said = messages(rows)
+    planned = cut(plans(cut(with_faults(said), "lattice-faults")), "lattice-plans")
+    hashed = repaired(said, planned).mapInPandas(_hashes, "key string, repaired_sha256 string")
     ids = conversations.select("conv_id").distinct().withColumn("key", _key(F.col("conv_id")))
     nothing = hashlib.sha256(b"").hexdigest()
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]

@@ -51,7 +51,7 @@ def shingle_cte(name: str, source: str, key: str) -> str:
     return f"""
 {name}_w AS (select *, regexp_extract_all({ASCII_LOWER}, {WORDS}) as w, row_number() over () as row_no from {source}),
 {name} AS (select distinct row_no, {key}, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)),
-                  i -> array_to_string(w[i:i + 4], ' '))) as s from {name}_w where len(w) > 0)"""
+                  lambda i: array_to_string(w[i:i + 4], ' '))) as s from {name}_w where len(w) > 0)"""
 
 
 def matches_ctes(documents: str, benchmark: str = "benchmark") -> str:

@@ -19,23 +19,25 @@ from demandlens.llm.common import cut
 ROW_BITS = 33          # monotonically_increasing_id keeps the row of a task in its low 33 bits
 
 
-def ranked(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` (``group`` without nulls) with four columns more: ``n`` rows of the
-    group, ``pos`` of the row in it from 0 in ascending ``order`` (nulls first),
-    ``group_pos`` of the group among the groups and ``groups``, their number.
-
-    Rows that agree in all of ``order`` stand in the order they are stored in; a
-    number of the row breaks such ties, so a much repeated row is no hot key.
-    That number and the places are written down before they are used, so a task
-    that runs again cannot change them.
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written down with a number ``row_no`` for every row."""
+    return cut(df.withColumn("row_no", F.monotonically_increasing_id()), name)
+
+
+def ranked(rows: DataFrame, group: str, order: Sequence[str], name: str, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of ``numbered`` rows, ``group`` (without nulls) and four
+    columns more: ``n`` rows of the group, ``pos`` of the row in it from 0 in
+    ascending ``order`` (nulls first), ``group_pos`` of the group among the groups
+    and ``groups``, their number.
+
+    Rows that agree in all of ``order`` stand by ``row_no``, so a much repeated row
+    is no hot key.  That number and the places are written down before they are
+    used: a task that runs again cannot change them.  Columns that only the order
+    needs (long texts) go through one exchange and no further.
     """
-    taken = {"_row", "_seq", "_part", "_n", "_before", "_starts", "_first"} & set(df.columns)
-    if taken:
-        raise ValueError(f"column names in use: {sorted(taken)}")
-    stored = cut(df.withColumn("_row", F.monotonically_increasing_id()), f"{name}-rows")
-    keys = [group, *order, "_row"]
-    placed = cut(stored.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                 .withColumn("_seq", F.monotonically_increasing_id()).drop("_row"), f"{name}-sorted")
+    keys = [group, *order, "row_no"]
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                 .select(*dict.fromkeys([group, *keep]), F.monotonically_increasing_id().alias("_seq")), f"{name}-sorted")
     placed = placed.withColumn("_part", F.shiftright("_seq", ROW_BITS))
 
     runs = cut(placed.groupBy("_part", group).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n")),
