@@ -1,127 +1,112 @@
-"""Exact medians without gathering a column into one task.
-
-Spark's exact ``percentile`` buffers every distinct value of the column in
-the single final reducer of a global aggregate.  ``exact_medians`` instead
-makes two passes for any number of columns:
-
-1. one aggregate: per column, the count n and an approximate bracket
-   [lo, hi] around rank n/2 from ``percentile_approx`` (rank error at most
-   n/accuracy; the bracket is widened by 4/accuracy on each side, so it
-   contains the middle ranks);
-2. one scan that keeps, per column, the values inside the bracket and maps
-   every value below it to a single sentinel, then collapses to
-   (column, value, count).  Ties - a hot value - become one row, and the
-   sentinel row carries the below-bracket count.  A running count over that
-   small table, partitioned by column, locates the middle ranks.
-
-Only a ~8/accuracy slice of the data (after tie collapsing) reaches the
-ordered window.  For an even count the two middle values are averaged as
-(a + b) / 2.  If the bracket of a column ever misses, both passes are repeated
-for that column with one eight times as wide; the last, at all values, cannot miss.
+"""Exact medians by distributed radix selection.
+
+Spark's exact ``percentile`` buffers every distinct value of the column in the
+single final reducer of a global aggregate.  ``exact_medians`` instead maps each
+double to a 64-bit integer of the same order (its bits, with those of negative
+numbers turned round) and finds the integer of the middle rank digit by digit: a
+pass counts the values with the digits found so far by their next ``BITS`` bits,
+map-side, and the bucket that holds the rank gives the next digit.  After
+64 / BITS passes every bit is known.
+
+A pass shuffles and returns at most 2^BITS rows for each rank that is looked for,
+whatever the data: nothing is ordered, no task holds more than one table of buckets,
+and there is no bracket to guess.  The integers are written once, so the plan behind
+the column runs once.  For an even count the two middle values are averaged as
+(a + b) / 2.  Nulls and NaN take no part.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-
-
-def _valid(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c)
-
-
-def exact_medians(df: DataFrame, cols: Sequence[str], *, accuracy: int = ACCURACY) -> dict[str, float | None]:
-    out: dict[str, float | None] = {}
-    left, delta = list(dict.fromkeys(cols)), 4.0 / accuracy
-    while left:
-        out |= _medians_in_bracket(df, left, accuracy, delta)
-        left, delta = [c for c in left if c not in out], delta * 8
-    return {c: out[c] for c in cols}
-
-
-def _medians_in_bracket(df: DataFrame, cols: Sequence[str], accuracy: int, delta: float) -> dict[str, float | None]:
-    """The medians of the columns whose bracket of ``delta`` on both sides holds them."""
-    whole = delta >= 0.5
-    qs = [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.when(_valid(F.col(c)), F.col(c).cast("double"))
-        aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, qs, accuracy).alias(f"b{i}")]
-    stats = df.agg(*aggs).first()
-    plan = {}
-    for i, c in enumerate(cols):
-        n = int(stats[f"n{i}"])
-        if n:
-            lo, hi = (float("-inf"), float("inf")) if whole else map(float, stats[f"b{i}"])
-            plan[c] = (n, lo, hi)
-    out: dict[str, float | None] = {c: None for c in cols if c not in plan}
-    if not plan:
-        return out
-    # pass 2: (column id, value or -inf sentinel) for values at or below the bracket top
+from demandlens.session import materialize
+
+BITS = 16
+_MAX = (1 << 63) - 1
+
+
+def order_key(c: Column) -> Column:
+    """A long in the order of the doubles of ``c`` (-0.0 as 0.0); null for null and NaN."""
+    x = c.cast("double") + F.lit(0.0)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("long")
+    key = F.when(bits < 0, bits.bitwiseXOR(F.lit(_MAX))).otherwise(bits)
+    return F.when(x.isNotNull() & ~F.isnan(x), key)
+
+
+def value_of(key: int) -> float:
+    """The double of an ``order_key``."""
+    return struct.unpack(">d", struct.pack(">q", key if key >= 0 else key ^ _MAX))[0]
+
+
+def _buckets(keys: DataFrame, n: int, shift: int, prefixes: dict[int, set[int]] | None) -> dict[tuple[int, int], int]:
+    """(column, leading bits above ``shift``) -> values, of the columns k0..k{n-1},
+    for the wanted leading bits one digit earlier."""
     tagged = []
-    for i, c in enumerate(cols):
-        if c not in plan:
-            continue
-        _, lo, hi = plan[c]
-        x = F.col(c).cast("double")
-        v = F.when(_valid(x) & (x < F.lit(lo)), F.lit(float("-inf"))).when(
-            _valid(x) & (x <= F.lit(hi)), x)
-        tagged.append(F.struct(F.lit(i).alias("i"), v.alias("x")))
-    rows = (df.select(F.explode(F.array(*tagged)).alias("t")).select("t.i", "t.x")
-            .filter(F.col("x").isNotNull())
-            .groupBy("i", "x").agg(F.count(F.lit(1)).alias("c")))
-    # ``rows`` is the tie-collapsed bracket per column: the window over it is small
-    w = Window.partitionBy("i").orderBy("x")
-    r0 = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.select("i", "x", r0.alias("r0"), "c")
-    cond = None
-    for i, c in enumerate(cols):
-        if c not in plan:
-            continue
-        n = plan[c][0]
-        k1, k2 = (n - 1) // 2, n // 2
-        hit = (F.col("i") == i) & (((F.col("r0") <= k1) & (F.col("r0") + F.col("c") > k1))
-                                   | ((F.col("r0") <= k2) & (F.col("r0") + F.col("c") > k2)))
-        cond = hit if cond is None else cond | hit
-    found = ranked.filter(cond).collect()
-    for i, c in enumerate(cols):
-        if c not in plan:
-            continue
-        n = plan[c][0]
-        k1, k2 = (n - 1) // 2, n // 2
-        pick = {}
-        for r in found:
-            if r["i"] == i and (whole or r["x"] != float("-inf")):
-                for k in (k1, k2):
-                    if r["r0"] <= k < r["r0"] + r["c"]:
-                        pick[k] = float(r["x"])
-        if k1 in pick and k2 in pick:
-            a, b = pick[k1], pick[k2]
-            out[c] = a if a == b else (a + b) / 2
+    for i in range(n):
+        k = F.col(f"k{i}")
+        wanted = k.isNotNull() if prefixes is None else F.shiftright(k, shift + BITS).isin(*prefixes.get(i, {None}))
+        tagged.append(F.when(wanted, F.struct(F.lit(i).alias("i"), F.shiftright(k, shift).alias("lead"))))
+    rows = keys.select(F.explode(F.array_compact(F.array(*tagged))).alias("t")).select("t.i", "t.lead")
+    counted = rows.groupBy("i", "lead").agg(F.count(F.lit(1)).alias("c")).toPandas()
+    return {(int(i), int(lead)): int(c) for i, lead, c in zip(counted["i"], counted["lead"], counted["c"])}
+
+
+def select_ranks(keys: DataFrame, n: int) -> list[list[int]]:
+    """The keys of the middle ranks (one or two, none without values) of the
+    columns k0..k{n-1}."""
+    shift = 64 - BITS
+    buckets = _buckets(keys, n, shift, None)
+    targets = []                                       # (column, rank among the values with the leading bits, leading bits)
+    for i in range(n):
+        total = sum(c for (j, _), c in buckets.items() if j == i)
+        targets += [(i, r, None) for r in ({(total - 1) // 2, total // 2} if total else ())]
+    while True:
+        found = []
+        for i, rank, lead in targets:
+            for (j, b), c in sorted(buckets.items()):
+                if j == i and (lead is None or b >> BITS == lead):
+                    if rank < c:
+                        found.append((i, rank, b))
+                        break
+                    rank -= c
+        targets = found
+        if shift == 0 or not targets:
+            return [sorted(b for j, _, b in targets if j == i) for i in range(n)]
+        shift -= BITS
+        prefixes: dict[int, set[int]] = {}
+        for i, _, b in targets:
+            prefixes.setdefault(i, set()).add(b)
+        buckets = _buckets(keys, n, shift, prefixes)
+
+
+def medians_of_keys(keys: DataFrame, n: int) -> list[float | None]:
+    """Medians of the doubles behind the order keys k0..k{n-1} of a stored table."""
+    out: list[float | None] = []
+    for found in select_ranks(keys, n):
+        values = [value_of(k) for k in found]
+        out.append(None if not values else values[0] if len(values) == 1 else (values[0] + values[1]) / 2)
     return out
 
 
-def exact_median(df: DataFrame, col: str, *, accuracy: int = ACCURACY) -> float | None:
-    return exact_medians(df, [col], accuracy=accuracy)[col]
-
-
-def median_columns(df: DataFrame, mapping: dict[str, str], *, method: str = "exact") -> dict[str, Column]:
-    """name -> Column usable inside ``df.agg``: literals computed by
-    ``exact_medians`` ('exact'), ``percentile_approx`` ('approx') or Spark's
-    single-reducer ``percentile`` ('percentile', small outputs only)."""
-    if method == "exact":
-        vals = exact_medians(df, list(mapping))
-        return {name: F.lit(vals[src]).cast("double") for src, name in mapping.items()}
-    out = {}
-    for src, name in mapping.items():
-        if method == "approx":
-            out[name] = F.percentile_approx(src, 0.5, 10_000).cast("double")
-        elif method == "percentile":
-            out[name] = F.percentile(src, 0.5)
-        else:
-            raise ValueError(f"unknown median method {method!r}")
-    return out
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    cols = list(dict.fromkeys(cols))
+    keys = materialize(df.select(*[order_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(cols)]), "median-keys")
+    return dict(zip(cols, medians_of_keys(keys, len(cols))))
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    return exact_medians(df, [col])[col]
+
+
+def quick_medians(mapping: dict[str, str], method: str) -> dict[str, Column]:
+    """name -> aggregate Column: ``percentile_approx`` ('approx') or Spark's
+    single-reducer ``percentile`` ('percentile', small inputs only)."""
+    if method == "approx":
+        return {name: F.percentile_approx(src, 0.5, 10_000).cast("double") for src, name in mapping.items()}
+    if method == "percentile":
+        return {name: F.percentile(src, 0.5) for src, name in mapping.items()}
+    raise ValueError(f"unknown median method {method!r}")

@@ -13,23 +13,34 @@ from pyspark.sql import functions as F
 
 from demandlens.functions.bins import report_bin_table
 from demandlens.functions.numeric import ratio_with_inf
-from demandlens.operators.quantiles import median_columns
+from demandlens.operators.quantiles import medians_of_keys, order_key, quick_medians
 from demandlens.schema import (
     EOSS_LABELS, LOSS_ERROR_CLIP, LOSS_PRED_FLOOR, METRIC_LABELS, OVER_WEIGHT, SCATTER_MARGIN,
     SHORT_LABEL_LEN, TOP_K, UNDER_WEIGHT,
 )
+from demandlens.session import materialize
 
 
 def _sum0(c: str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
+MEDIANS = {"Absolute_Error": "median_absolute_error", "Percent_Error": "median_percent_error"}
+
+
 def metrics_summary(details: DataFrame, *, median: str = "exact") -> DataFrame:
     """One row: products, predictions, mean/median absolute and percent error,
     totals and overall error %.  ``median``: 'exact' (distributed, see
-    ``quantiles``), 'approx' (``percentile_approx``) or 'percentile'."""
-    meds = median_columns(details, {"Absolute_Error": "median_absolute_error",
-                                    "Percent_Error": "median_percent_error"}, method=median)
+    ``quantiles``; the columns it needs are written once, so the evaluation behind
+    ``details`` runs once), 'approx' (``percentile_approx``) or 'percentile'."""
+    if median == "exact":
+        cols = ["KEY", "Actual_Sales", "Predicted_Sales", *MEDIANS]
+        details = materialize(details.select(*cols, *[order_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(MEDIANS)]),
+                              "metrics")
+        found = medians_of_keys(details, len(MEDIANS))
+        meds = {name: F.lit(v).cast("double") for name, v in zip(MEDIANS.values(), found)}
+    else:
+        meds = quick_medians(MEDIANS, median)
     totals = details.agg(
         F.countDistinct("KEY").alias("total_products"),
         F.count(F.lit(1)).alias("total_predictions"),
@@ -100,8 +111,9 @@ def eoss_mae(details: DataFrame) -> DataFrame:
         cond = F.col("is_eoss") == F.lit(v)
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
     out = grouped.select("is_eoss", "Absolute_Error", label.alias("EOSS_Status"))
-    # one row per distinct flag value: counting it is a tiny action
-    return out if grouped.count() > 1 else out.limit(0)
+    # a scalar subquery over the same aggregate, so its shuffle is reused
+    values = grouped.agg(F.count(F.struct("is_eoss", "Absolute_Error"))).scalar()
+    return out.filter(values > 1)
 
 
 def product_summary(details: DataFrame) -> DataFrame:
@@ -135,6 +147,13 @@ def top_volume_products(details: DataFrame, k: int = TOP_K) -> DataFrame:
             .orderBy(F.desc("Actual_Sales"), F.asc("KEY")).limit(k)
 
 
+def top_volume_rows(details: DataFrame, k: int = TOP_K) -> DataFrame:
+    """All rows of the k best-selling products: a semi join with the top keys,
+    which are at most ``k`` rows and so broadcast."""
+    top = top_volume_products(details, k).select("KEY")
+    return details.join(F.broadcast(top), "KEY", "left_semi")
+
+
 def scatter_limit(details: DataFrame) -> DataFrame:
     """Axis limit of the actual-vs-predicted chart."""
     return details.agg((F.greatest(F.max("Actual_Sales"), F.max("Predicted_Sales"))

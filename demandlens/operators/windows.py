@@ -50,7 +50,10 @@ def first_pass(q: Column, dc: Column | None, split: Column | None, leak_free: bo
         F.coalesce(F.lag("DATE", 1).over(in_time()) == F.col("DATE"), F.lit(False)).alias("_dup"),
     ]
     if split is not None:
-        cols.append(F.count(F.when(split == "train", 1)).over(by_key()).alias("_n_train"))
+        # scope and gates of an evaluation, decided in the same pass
+        cols += [F.count(F.when(split == "train", 1)).over(by_key()).alias("_n_train"),
+                 F.count(F.when(split == "test", 1)).over(by_key()).alias("_n_test"),
+                 F.count(F.when(split == "test", 1)).over(to_now()).alias("_test_no")]
     cols += [F.lag(q, k).over(in_time()).alias(f"_lag_{k}") for k in QUANTITY_LAGS]
     cols += [F.avg(q).over(rolling(w, leak_free)).alias(f"_rolling_mean_{w}") for w in ROLLING_WINDOWS]
     if leak_free:
@@ -104,12 +107,13 @@ def time_series_features(df: DataFrame, *, discount_col: str | None = None,
     ``discount_col`` names the cleaned discount the discount lags, changes and
     DISCOUNT_PREV_SALES use (nn profile); ``None`` leaves them out (base).
     Helper columns ``_rn``, ``_n``, ``_dup`` (date repeats the previous row's)
-    and ``_n_train`` (if ``split`` exists) stay.
+    and, if ``split`` exists, ``_n_train``, ``_n_test`` and ``_test_no`` (test rows
+    so far) stay.
     """
     q = F.col("QUANTITY_SOLD")
     dc = F.col(discount_col) if discount_col else None
     split = F.col("split") if "split" in df.columns else None
     keep = list(df.columns)
     staged = df.select(*keep, *first_pass(q, dc, split, leak_free))
-    helpers = ["_rn", "_n", "_dup"] + (["_n_train"] if split is not None else [])
+    helpers = ["_rn", "_n", "_dup"] + (["_n_train", "_n_test", "_test_no"] if split is not None else [])
     return staged.select(*keep, *helpers, *second_pass(F.col("month"), dc is not None, dc))

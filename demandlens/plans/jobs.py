@@ -21,11 +21,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from demandlens.operators import compare as C
 from demandlens.operators import reports as R
-from demandlens.operators.histogram import histogram
+from demandlens.operators.histogram import histogram, histograms
 from demandlens.plans.common import Evaluation
 from demandlens.plans.comparison import compare_models
 from demandlens.plans.linear import evaluate_linear
@@ -47,6 +46,7 @@ def write_reports(details: DataFrame, output_dir: str, fmt: str = "parquet", *,
     write_metrics_text(R.metrics_summary(details, median=median), f"{out}/metrics_summary")
     for name, df in (("bin_mae", R.bin_mae(details)), ("bin_means", R.bin_means(details)),
                      ("eoss_mae", R.eoss_mae(details)), ("top_volume_products", R.top_volume_products(details)),
+                     ("top_volume_rows", R.top_volume_rows(details)),
                      ("top_error_products", R.top_error_products(details)),
                      ("error_histogram", histogram(details, "Absolute_Error", HIST_BINS)),
                      ("scatter_limit", R.scatter_limit(details))):
@@ -64,7 +64,7 @@ def run_linear_evaluation(spark: SparkSession, *, models_path: str, feature_spec
     ev = evaluate_linear(train, test, read_table(spark, models_path), read_table(spark, feature_spec_path),
                          scaler=read_table(spark, scaler_path) if scaler_path else None,
                          calibration=read_table(spark, calibration_path) if calibration_path else None,
-                         min_history=min_history, leak_free=leak_free)
+                         min_history=min_history, leak_free=leak_free).stored()
     ev.details = write_reports(ev.details, output_dir, output_format)
     write_table(ev.skips, f"{output_dir.rstrip('/')}/skips", output_format)
     return ev
@@ -97,8 +97,6 @@ def run_comparison(spark: SparkSession, *, linear_path: str, neural_path: str, o
                 output_format, single_file=True)
     write_table(C.comparison_summary(details), f"{out}/comparison_summary", output_format, single_file=True)
     write_table(C.bin_error_long(details), f"{out}/bin_error_long", output_format, single_file=True)
-    hists = (histogram(details, "Linear_Error", COMPARE_HIST_BINS).select(F.lit("Linear").alias("series"), "*")
-             .unionByName(histogram(details, "Neural_Error", COMPARE_HIST_BINS)
-                          .select(F.lit("Neural").alias("series"), "*")))
+    hists = histograms(details, {"Linear": "Linear_Error", "Neural": "Neural_Error"}, COMPARE_HIST_BINS)
     write_table(hists, f"{out}/error_histograms", output_format, single_file=True)
     return details

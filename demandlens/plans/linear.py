@@ -1,13 +1,16 @@
-"""Per-product linear model evaluation.
+"""Per-product linear model evaluation over one tagged history.
 
-Plan shape (one shuffle of the panel, on KEY):
+Plan shape (one scan of the history, one shuffle, one sort):
 
-  train UNION test  --semi(test keys)--semi(model keys)-->  hash(KEY)
-    -> row features -> windows (one sort: KEY, DATE)
-    -> test rows, history gate -> clean/scale (projection)
-    -> join model on KEY (co-partitioned, or broadcast if Spark measures it small)
+  history (split = train / test)  -->  hash(KEY), sort (KEY, DATE)
+    -> row features -> windows; gates and scope are window flags
+    -> test rows -> clean/scale (projection)
+    -> left join model on KEY (co-partitioned, or broadcast if Spark measures it small)
     -> intercept + sum coef[i] * x_i  (flat codegen'd expression, no Python)
+    -> reason, if any: the skip audit and the details are two filters of this
     -> calibration join on KEY -> clamp, errors, report bin
+
+Nothing is derived from the history a second time: no key sets, no semi joins.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from demandlens.operators.calibration import apply_calibration
 from demandlens.operators.features import assemble, build_features, feature_list
 from demandlens.operators.scaling import standard_scale
 from demandlens.operators.scoring import finalize_results, linear_predict_columns
-from demandlens.plans.common import Evaluation, keys_of, result_inputs, skip_rows, union_history
+from demandlens.plans.common import TEST, Evaluation, judge, result_inputs, union_history
 from demandlens.schema import MIN_TRAIN_ROWS_LINEAR
 from demandlens.session import prepare_session
 from demandlens.sources.readers import normalize
 
+
 def one_model_per_key(models: DataFrame) -> DataFrame:
     """(KEY, intercept, coef), failing on a key with several models.  Grouped
     on KEY, the column of the join that follows, so no further exchange."""
@@ -35,58 +39,57 @@ def one_model_per_key(models: DataFrame) -> DataFrame:
 
 
 RESULT_KEEP = ["KEY", "DATE", "Actual_Sales", "DISCOUNT_IN", "EOSS_IN"]
+FLAGS = ["split", "_n_train", "_test_no", "_dup"]
 
 
-def scored_test_rows(feats: DataFrame, feature_cols: list[str], scaler: DataFrame | None,
-                     min_history: int) -> DataFrame:
-    """Test rows that pass the gates, with cleaned (and scaled) features."""
-    tests = feats.filter((F.col("split") == "test") & (F.col("_n_train") >= min_history)
-                         & F.col("DATE").isNotNull())
-    inputs = result_inputs(tests)
-    keep = inputs[:3] + [inputs[3].alias("DISCOUNT_IN"), inputs[4].alias("EOSS_IN")]
-    staged = tests.select("*", *keep[2:])
-    assembled = assemble(staged, feature_cols, keep=RESULT_KEEP)
+def judged_rows(feats: DataFrame, models: DataFrame, feature_cols: list[str], scaler: DataFrame | None,
+                min_history: int) -> DataFrame:
+    """Every test row with its raw prediction and, if it has no result, the reason;
+    also the other rows of evaluated products that repeat a date."""
+    is_test = F.col("split") == TEST
+    rows = feats.filter(is_test | (F.col("_dup") & (F.col("_n_test") > 0)))
+    inputs = result_inputs(rows)
+    staged = rows.select("*", inputs[2], inputs[3].alias("DISCOUNT_IN"), inputs[4].alias("EOSS_IN"))
+    assembled = assemble(staged, feature_cols, keep=RESULT_KEEP + FLAGS)
     if scaler is not None:
         assembled = standard_scale(assembled, feature_cols, scaler)
-    return assembled
+    joined = assembled.join(one_model_per_key(models).withColumn("_model", F.lit(True)), "KEY", "left")
+    known = F.coalesce(F.col("_model"), F.lit(False))
+    usable = F.coalesce((F.size("coef") == len(feature_cols)) & F.col("intercept").isNotNull(), F.lit(False))
+    return joined.select(
+        "KEY", "DATE", "Actual_Sales", F.col("DISCOUNT_IN").alias("DISCOUNT"), F.col("EOSS_IN").alias("is_eoss"),
+        linear_predict_columns(feature_cols, F.col("intercept"), F.col("coef")).alias("Raw_Prediction"),
+        "split", "_n_train", "_model", usable.alias("_usable"), (is_test & (F.col("_test_no") == 1)).alias("_first"),
+        (F.col("_dup") & known).alias("_repeated"),
+        judge([("no_model", is_test & ~known), ("insufficient_history", is_test & (F.col("_n_train") < min_history)),
+               ("missing_date", is_test & F.col("DATE").isNull()), ("incomplete_features", is_test & ~usable)]))
+
+
+def evaluate_history(history: DataFrame, models: DataFrame, feature_spec: DataFrame, *,
+                     scaler: DataFrame | None = None, calibration: DataFrame | None = None,
+                     min_history: int = MIN_TRAIN_ROWS_LINEAR, leak_free: bool = False) -> Evaluation:
+    """Score every test row (``split`` = 'test') of every product that has a model
+    and at least ``min_history`` train rows.  ``leak_free`` moves the rolling/trend
+    frames strictly before the scored row (the default reproduces the original,
+    whose rolling means include the row's own actual)."""
+    prepare_session(history.sparkSession)
+    feature_cols = [f for f, _, _ in feature_list(feature_spec)]
+    feats = build_features(normalize(history), "base", leak_free=leak_free)
+    judged = judged_rows(feats, normalize(models), feature_cols, scaler, min_history)
+
+    def finish(rows: DataFrame) -> DataFrame:
+        # spelled as single conditions, so each one reaches the side of the join it reads
+        good = rows.filter((F.col("split") == TEST) & F.col("_model") & (F.col("_n_train") >= min_history)
+                           & F.col("DATE").isNotNull() & F.col("_usable"))
+        scored = good.select("KEY", "DATE", "Actual_Sales", "DISCOUNT", "is_eoss", "Raw_Prediction")
+        return finalize_results(apply_calibration(scored, calibration))
+
+    return Evaluation(judged, finish)
 
 
 def evaluate_linear(train: DataFrame, test: DataFrame, models: DataFrame, feature_spec: DataFrame, *,
                     scaler: DataFrame | None = None, calibration: DataFrame | None = None,
                     min_history: int = MIN_TRAIN_ROWS_LINEAR, leak_free: bool = False) -> Evaluation:
-    """Score every test row of every product that has a model and at least
-    ``min_history`` train rows.  ``leak_free`` moves the rolling/trend frames
-    strictly before the scored row (the default reproduces the original,
-    whose rolling means include the row's own actual)."""
-    prepare_session(train.sparkSession)
-    train, test, models = normalize(train), normalize(test), one_model_per_key(models)
-    feature_cols = [f for f, _, _ in feature_list(feature_spec)]
-    test_keys, model_keys = keys_of(test), keys_of(models)
-    combined = union_history(train, test).filter(F.col("KEY").isNotNull())
-    # products with test rows and a model: one small key set, one semi join on the panel
-    in_scope = test_keys.join(model_keys, "KEY", "left_semi")
-    scoped = combined.join(in_scope, "KEY", "left_semi")
-    feats = build_features(scoped, "base", leak_free=leak_free)
-
-    ready = scored_test_rows(feats, feature_cols, scaler, min_history)
-    with_model = ready.join(models, "KEY", "inner")
-    ok = F.coalesce((F.size("coef") == len(feature_cols)) & F.col("intercept").isNotNull(), F.lit(False))
-    scored = with_model.select(
-        "KEY", "DATE", "Actual_Sales", F.col("DISCOUNT_IN").alias("DISCOUNT"), F.col("EOSS_IN").alias("is_eoss"),
-        linear_predict_columns(feature_cols, F.col("intercept"), F.col("coef")).alias("Raw_Prediction"),
-        ok.alias("_ok"))
-    good = scored.filter("_ok").drop("_ok")
-    details = finalize_results(apply_calibration(good, calibration))
-
-    def skips() -> DataFrame:
-        tests = feats.filter(F.col("split") == "test")
-        short = F.col("_n_train") < min_history
-        return (skip_rows(test_keys.join(model_keys, "KEY", "left_anti"), "no_model", with_date=False)
-                .unionByName(skip_rows(tests.filter(short).select("KEY").distinct(), "insufficient_history",
-                                       with_date=False))
-                .unionByName(skip_rows(tests.filter(F.col("DATE").isNull() & ~short), "missing_date",
-                                       with_date=True))
-                .unionByName(skip_rows(scored.filter(~F.col("_ok")), "incomplete_features", with_date=True))
-                .unionByName(skip_rows(feats.filter("_dup"), "duplicate_key_date", with_date=True)))
-
-    return Evaluation(details=details, skips=skips)
+    """``evaluate_history`` of separate train and test tables."""
+    return evaluate_history(union_history(normalize(train), normalize(test)), models, feature_spec, scaler=scaler,
+                            calibration=calibration, min_history=min_history, leak_free=leak_free)

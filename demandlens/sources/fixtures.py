@@ -34,7 +34,8 @@ def panel(spark: SparkSession, sf_dir: str, *, dirty: bool = False) -> DataFrame
                    ((F.sum(F.round(F.col("l_discount") * 100).cast("int")) % 11).cast("double") / 20)
                    .alias("DISCOUNT")))
     month = F.month("DATE")
-    in_time = Window.partitionBy("KEY").orderBy("DATE")
+    # the order of the feature windows too, so that one sort serves both
+    in_time = Window.partitionBy("KEY").orderBy(F.asc_nulls_last("DATE"))
     whole = in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # same partition and order for both: one Window operator, one sort
     from_end = F.count(F.lit(1)).over(whole) - F.row_number().over(in_time) + 1
@@ -49,6 +50,12 @@ def panel(spark: SparkSession, sf_dir: str, *, dirty: bool = False) -> DataFrame
         F.when(from_end <= TEST_WEEKS, "test").otherwise("train").alias("split"))
 
 
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product keys, from ``part`` alone: parameter tables need no line items."""
+    return (spark.read.parquet(f"{sf_dir}/part.parquet")
+            .select(F.concat("p_brand", F.lit("/"), "p_type").alias("KEY")).distinct())
+
+
 def train_test(panel_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     cols = [c for c in panel_df.columns if c != "split"]
     return (panel_df.filter(F.col("split") == "train").select(*cols),
@@ -71,12 +78,12 @@ MODEL_TERMS = {
 }
 
 
-def linear_model(panel_df: DataFrame, which: str, profile: str = "base") -> DataFrame:
-    """One row per product (every type but STANDARD): intercept and the
+def linear_model(products_df: DataFrame, which: str, profile: str = "base") -> DataFrame:
+    """One row per product KEY (every type but STANDARD): intercept and the
     coefficient array in feature-spec order."""
     intercept, terms = MODEL_TERMS[which]
     coef = [float(terms.get(f, 0.0)) for f in profile_features(profile)]
-    keys = panel_df.select("KEY").distinct().filter(~F.col("KEY").endswith("/STANDARD"))
+    keys = products_df.select("KEY").distinct().filter(~F.col("KEY").endswith("/STANDARD"))
     return keys.select("KEY", F.lit(intercept).alias("intercept"),
                        F.array(*[F.lit(c) for c in coef]).alias("coef"))
 
@@ -92,8 +99,8 @@ def scaler_table(spark: SparkSession, profile: str, *, split: bool) -> DataFrame
     return local_frame(spark, rows, [("feature", "STRING"), ("kind", "STRING"), ("p1", "DOUBLE"), ("p2", "DOUBLE")])
 
 
-def calibration_table(panel_df: DataFrame) -> DataFrame:
-    """One distinct over the panel's keys; the levels of a key are exploded."""
+def calibration_table(products_df: DataFrame) -> DataFrame:
+    """One distinct over the product keys; the levels of a key are exploded."""
     ptype = F.substring_index(F.col("KEY"), "/", -1)
     null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")
 
@@ -101,13 +108,13 @@ def calibration_table(panel_df: DataFrame) -> DataFrame:
         return F.when(cond, F.struct(F.lit(level).alias("level"), is_eoss.alias("is_eoss"),
                                      bin_.alias("discount_bin"), F.lit(factor).alias("factor")))
 
-    spark = panel_df.sparkSession
+    spark = products_df.sparkSession
     entries = F.array_compact(F.array(
         entry(ptype == "PROMO", F.lit(1.0), F.lit("40%+"), 0.8, "product_eoss"),
         entry(ptype == "PROMO", F.lit(0.0), F.lit("0-10%"), 1.1, "product_eoss"),
         entry(ptype.isin("PROMO", "LARGE"), null_d, F.lit("10-20%"), 0.9, "product_discount"),
         entry(ptype.isin("LARGE", "MEDIUM"), null_d, null_s, 1.05, "product")))
-    per_key = (panel_df.select("KEY").distinct().select("KEY", F.explode(entries).alias("e"))
+    per_key = (products_df.select("KEY").distinct().select("KEY", F.explode(entries).alias("e"))
                .select("e.level", "KEY", "e.is_eoss", "e.discount_bin", "e.factor"))
     by_bin = local_frame(spark, [("discount_bin", None, None, "20-30%", 0.95), ("discount_bin", None, None, "40%+", 0.9)],
                          [("level", "STRING"), ("KEY", "STRING"), ("is_eoss", "DOUBLE"), ("discount_bin", "STRING"),

@@ -19,14 +19,14 @@ from demandlens.functions.bins import (
 from demandlens.operators import compare as C
 from demandlens.operators import reports as R
 from demandlens.operators.features import assemble, build_features, feature_list
-from demandlens.operators.histogram import histogram
+from demandlens.operators.histogram import histogram, histograms
 from demandlens.operators.quality import duplicate_keys, panel_profile
 from demandlens.operators.scaling import split_scale, standard_scale
 from demandlens.operators.scoring import MeanOfFeature
 from demandlens.operators.sequences import gather_steps
 from demandlens.plans.comparison import compare_models
-from demandlens.plans.linear import evaluate_linear
-from demandlens.plans.sequence import evaluate_sequence, sequence_inputs
+from demandlens.plans.linear import evaluate_history
+from demandlens.plans.sequence import evaluate_sequence_history, sequence_rows
 from demandlens.schema import METRIC_LABELS
 from demandlens.session import ensure_checkpoint_dir, prepare_session
 from demandlens.sources import fixtures as fx
@@ -86,11 +86,10 @@ def rnd(df: DataFrame, cols, name: str = "") -> DataFrame:
 
 def linear_eval(spark, sf, model="a", *, calibrated=True, min_history=5, drop_type=None, src=None,
                 leak_free=False):
-    p = panel(spark, sf) if src is None else src
-    train, test = fx.train_test(p)
-    ev = evaluate_linear(train, test, fx.linear_model(p, model), fx.feature_spec(spark, "base"),
-                         calibration=fx.calibration_table(p) if calibrated else None,
-                         min_history=min_history, leak_free=leak_free)
+    p, keys = panel(spark, sf) if src is None else src, fx.products(spark, sf)
+    ev = evaluate_history(p, fx.linear_model(keys, model), fx.feature_spec(spark, "base"),
+                          calibration=fx.calibration_table(keys) if calibrated else None,
+                          min_history=min_history, leak_free=leak_free)
     if drop_type:
         ev.details = ev.details.filter(~F.col("KEY").endswith("/" + drop_type))
     return ev
@@ -390,6 +389,15 @@ v AS (select KEY, coalesce(sum(Actual_Sales), 0.0) as Actual_Sales, coalesce(sum
                                   "select KEY, concat(substring(KEY, 1, 10), '...') as Label, Actual_Sales, Predicted_Sales from v")
 
 
+def q_top_volume_rows(spark, sf):
+    return R.top_volume_rows(details_a(spark, sf))
+
+
+SQL_TOP_VOLUME_ROWS = O.with_(O.details_ctes("a") + """,
+v AS (select KEY from details group by KEY order by coalesce(sum(Actual_Sales), 0.0) desc, KEY limit 10)""",
+                              f"select {DETAIL_COLS} from details where KEY in (select KEY from v)")
+
+
 def q_error_histogram(spark, sf):
     return histogram(details_a(spark, sf), "Absolute_Error", 50)
 
@@ -445,10 +453,7 @@ SEQ_W = "partition by KEY order by DATE rows between 52 preceding and 1 precedin
 
 
 def _seq(spark, sf):
-    p = panel(spark, sf)
-    train, test = fx.train_test(p)
-    gated, _ = sequence_inputs(train, test, fx.feature_spec(spark, "nn"))
-    return gated
+    return sequence_rows(panel(spark, sf), fx.feature_spec(spark, "nn")).filter("reason is null")
 
 
 def q_sequence_window(spark, sf):
@@ -485,10 +490,8 @@ sg AS (select KEY, DATE, split, n_train, count(*) over ({SEQ_W}) as steps,
 
 
 def q_sequence_scores(spark, sf):
-    p = panel(spark, sf)
-    train, test = fx.train_test(p)
-    ev = evaluate_sequence(train, test, fx.feature_spec(spark, "nn"), MeanOfFeature(LAG1),
-                           calibration=fx.calibration_table(p))
+    ev = evaluate_sequence_history(panel(spark, sf), fx.feature_spec(spark, "nn"), MeanOfFeature(LAG1),
+                                   calibration=fx.calibration_table(fx.products(spark, sf)))
     return ev.details
 
 
@@ -511,9 +514,14 @@ err AS (select *, abs(Predicted_Sales - Actual_Sales) as Absolute_Error from pre
 
 
 def results_ab(spark, sf):
-    a = linear_eval(spark, sf, "a", drop_type="PROMO").details
-    b = linear_eval(spark, sf, "b", drop_type="LARGE").details
-    return a, b
+    """The results of both models, all rows."""
+    return linear_eval(spark, sf, "a").details, linear_eval(spark, sf, "b").details
+
+
+def partial_results_ab(spark, sf):
+    """Results that differ in their rows, so that pairing has something to leave out."""
+    return (linear_eval(spark, sf, "a", drop_type="PROMO").details,
+            linear_eval(spark, sf, "b", drop_type="LARGE").details)
 
 
 def q_compare_details(spark, sf):
@@ -538,28 +546,40 @@ def q_compare_bin_error_long(spark, sf):
 
 def q_compare_histogram(spark, sf):
     a, b = results_ab(spark, sf)
-    d = compare_models(a, b).details
-    return (histogram(d, "Linear_Error", 30).select(F.lit("Linear").alias("series"), "*")
-            .unionByName(histogram(d, "Neural_Error", 30).select(F.lit("Neural").alias("series"), "*")))
+    return histograms(compare_models(a, b).details, {"Linear": "Linear_Error", "Neural": "Neural_Error"}, 30)
 
 
 def q_common_pairs(spark, sf):
-    a, b = results_ab(spark, sf)
+    a, b = partial_results_ab(spark, sf)
     return C.common_pairs(a, b)
 
 
-def _ab_ctes():
-    return (O.details_ctes("a", drop_type="PROMO") + ","
-            + O.details_ctes("b", drop_type="LARGE", sfx="_b"))
+def q_compare_common_rows(spark, sf):
+    """Pairs of results that differ in their rows."""
+    a, b = partial_results_ab(spark, sf)
+    return compare_models(a, b).details
+
+
+def q_restricted_rows(spark, sf):
+    """The rows of one result that the other has too, labelled and in label order."""
+    a, b = partial_results_ab(spark, sf)
+    kept = C.display_key(C.restrict_to(a, C.common_pairs(a, b)))
+    return kept.select("KEY_DATE", "KEY", "DATE", "Predicted_Sales", "Absolute_Error").orderBy("KEY_DATE")
+
+
+def _ab_ctes(whole=True):
+    drop_a, drop_b = (None, None) if whole else ("PROMO", "LARGE")
+    return O.details_ctes("a", drop_type=drop_a) + "," + O.details_ctes("b", drop_type=drop_b, sfx="_b")
 
 
-_CMP = _ab_ctes() + """,
+_CMP_TAIL = """,
 cmp0 AS (select l.KEY, l.DATE, l.Actual_Sales, l.Predicted_Sales as Linear_Predicted, n.Predicted_Sales as Neural_Predicted,
                 l.Absolute_Error as Linear_Error, n.Absolute_Error as Neural_Error,
                 l.Percent_Error as Linear_Pct_Error, n.Percent_Error as Neural_Pct_Error, l.DISCOUNT, l.is_eoss
          from details l join details_b n on l.KEY = n.KEY and l.DATE = n.DATE),
 cmp AS (select *, case when Linear_Error < Neural_Error then 'Linear' when Neural_Error < Linear_Error then 'Neural'
                   else 'Equal' end as Better_Model, """ + O.RBIN("DISCOUNT") + """ as Discount_Bin from cmp0)"""
+_CMP = _ab_ctes() + _CMP_TAIL
 CMP_FLOATS = ["Actual_Sales", "Linear_Predicted", "Neural_Predicted", "Linear_Error", "Neural_Error",
               "Linear_Pct_Error", "Neural_Pct_Error", "DISCOUNT", "is_eoss"]
 SQL_COMPARE_DETAILS = O.with_(_CMP, "select * from cmp")
@@ -583,7 +603,11 @@ SQL_COMPARE_BIN_ERROR_LONG = O.with_(_CMP_BIN, "select bin_ordinal, Discount_Bin
                                                "union all select bin_ordinal, Discount_Bin, 'Neural', Neural_Error from cb")
 SQL_COMPARE_HISTOGRAM = O.with_(_CMP, "select * from " + hist_sql("cmp", "Linear_Error", 30, "Linear")
                                 + " union all select * from " + hist_sql("cmp", "Neural_Error", 30, "Neural"))
-SQL_COMMON_PAIRS = O.with_(_ab_ctes(), "select KEY, DATE from details intersect select KEY, DATE from details_b")
+SQL_COMPARE_COMMON_ROWS = O.with_(_ab_ctes(whole=False) + _CMP_TAIL, "select * from cmp")
+SQL_RESTRICTED_ROWS = O.with_(_ab_ctes(whole=False), "select concat(KEY, '_', cast(DATE as varchar)) as KEY_DATE, KEY, DATE, "
+                              "Predicted_Sales, Absolute_Error from details d "
+                              "where exists (select 1 from details_b b where b.KEY = d.KEY and b.DATE = d.DATE)")
+SQL_COMMON_PAIRS = O.with_(_ab_ctes(whole=False), "select KEY, DATE from details intersect select KEY, DATE from details_b")
 
 
 # ------------------------------------------------------------------ dirty discounts (C5, C8, C9, C16)
@@ -614,11 +638,9 @@ SQL_DIRTY_METRICS = SQL_METRICS_INNER.replace(O.details_ctes("a"), O.details_cte
 def q_sequence_scores_scaled(spark, sf):
     """Split-scaled features (discount min-max, others standard) on the dirty
     panel; the predictor averages the scaled lag_1 over the 52 prior rows."""
-    p = dirty(panel(spark, sf))
-    train, test = fx.train_test(p)
-    ev = evaluate_sequence(train, test, fx.feature_spec(spark, "nn"), MeanOfFeature(LAG1),
-                           scaler=fx.scaler_table(spark, "nn", split=True),
-                           calibration=fx.calibration_table(p))
+    ev = evaluate_sequence_history(dirty(panel(spark, sf)), fx.feature_spec(spark, "nn"), MeanOfFeature(LAG1),
+                                   scaler=fx.scaler_table(spark, "nn", split=True),
+                                   calibration=fx.calibration_table(fx.products(spark, sf)))
     return ev.details
 
 
@@ -658,6 +680,7 @@ SPEC = {
     "top_error_products": (q_top_error_products, SQL_TOP_ERROR_PRODUCTS,
                            ["Actual_Sales", "Predicted_Sales", "Percent_Error", "DISCOUNT"]),
     "top_volume_products": (q_top_volume_products, SQL_TOP_VOLUME_PRODUCTS, ["Actual_Sales", "Predicted_Sales"]),
+    "top_volume_rows": (q_top_volume_rows, SQL_TOP_VOLUME_ROWS, DETAIL_FLOATS),
     "error_histogram": (q_error_histogram, SQL_ERROR_HISTOGRAM, HIST_FLOATS),
     "scatter_limit": (q_scatter_limit, SQL_SCATTER_LIMIT, ["max_val"]),
     "discount_loss": (q_discount_loss, SQL_DISCOUNT_LOSS, ["loss"]),
@@ -673,6 +696,8 @@ SPEC = {
     "compare_bin_error_long": (q_compare_bin_error_long, SQL_COMPARE_BIN_ERROR_LONG, ["Error"]),
     "compare_histogram": (q_compare_histogram, SQL_COMPARE_HISTOGRAM, HIST_FLOATS),
     "common_pairs": (q_common_pairs, SQL_COMMON_PAIRS, []),
+    "compare_common_rows": (q_compare_common_rows, SQL_COMPARE_COMMON_ROWS, CMP_FLOATS),
+    "restricted_rows": (q_restricted_rows, SQL_RESTRICTED_ROWS, ["Predicted_Sales", "Absolute_Error"]),
     "dirty_details": (q_dirty_details, SQL_DIRTY_DETAILS, DETAIL_FLOATS),
     "dirty_bin_performance": (q_dirty_bin_performance, SQL_DIRTY_BIN_PERFORMANCE, BINPERF_FLOATS),
     "dirty_metrics": (q_dirty_metrics, SQL_DIRTY_METRICS, METRIC_FLOATS),

@@ -149,20 +149,41 @@ def test_median_methods_agree_on_small_data(spark):
     assert exact["median_absolute_error"] == pct["median_absolute_error"] == approx["median_absolute_error"]
 
 
-def test_exact_medians_widen_a_missed_bracket(spark, monkeypatch):
+def test_exact_medians_by_radix(spark, monkeypatch):
+    """All values distinct, of both signs and all sizes; infinities; only nulls.  No pass
+    returns more than a bucket table for each rank, and nothing is ordered in one task."""
+    import random
     from demandlens.operators import quantiles
-    approx, tries = quantiles.F.percentile_approx, []
+    sizes, buckets = [], quantiles._buckets
 
-    def off(x, qs, accuracy):
-        tries.append(qs)
-        return approx(x, [min(1.0, q + 0.01) for q in qs], accuracy)
+    def counted(*args):
+        out = buckets(*args)
+        sizes.append(len(out))
+        return out
 
     def never(*_):
         raise AssertionError("one task")
 
-    monkeypatch.setattr(quantiles.F, "percentile_approx", off)
+    monkeypatch.setattr(quantiles, "_buckets", counted)
     monkeypatch.setattr(quantiles.F, "percentile", never)
-    df = spark.range(1, 10_002).selectExpr("double(id) as x", "if(id < 9000, double('-Infinity'), double(id)) as y",
-                                           "double(null) as z")
-    assert exact_medians(df, ["x", "y", "z"]) == {"x": 5001.0, "y": float("-inf"), "z": None}
-    assert len(tries) > 3
+    rnd = random.Random(1)
+    vals = [rnd.choice([-1, 1]) * rnd.random() * 10.0 ** rnd.randrange(-300, 300) for _ in range(4000)]
+    vals += [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308]
+    rows = [(v, float("-inf") if i < 3000 else v, None, [-3.0, -1.0, float("nan"), None][i % 4]) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, w double")
+    assert exact_medians(df, ["x", "y", "z", "w"]) == {"x": statistics.median(vals), "y": float("-inf"), "z": None, "w": -3.0}
+    assert len(sizes) == 4 and max(sizes) <= 2 * 3 * 65536
+
+
+def test_order_keys_keep_the_order(spark):
+    from demandlens.operators.quantiles import order_key, value_of
+    xs = [float("-inf"), -1e300, -2.0, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1.5, 2.0, 1e300, float("inf")]
+    keys = [r.k for r in spark.createDataFrame([(x,) for x in xs], "x double").select(order_key(F.col("x")).alias("k")).collect()]
+    assert keys == sorted(set(keys)) and [value_of(k) for k in keys] == xs
+    assert spark.createDataFrame([(-0.0,)], "x double").select(order_key(F.col("x"))).first()[0] == 0
+
+
+def test_top_volume_rows(spark):
+    import datetime as dt
+    d = details(spark, [(k, dt.date(2021, 1, 4 + i), v, 2.0, .1, 0.0) for k, v in (("a", 1.0), ("b", 5.0), ("c", 5.0), ("d", 2.0)) for i in range(3)])
+    assert sorted((r.KEY, r.DATE.day) for r in R.top_volume_rows(d, 2).collect()) == [(k, 4 + i) for k in "bc" for i in range(3)]
