@@ -90,7 +90,7 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], *, keep: Sequence[str]
     """Cleaned feature columns in one ``select``: absent names become 0.0,
     +-inf/missing become 0.0, everything double."""
     present = set(df.columns)
-    cols = [(clean_feature(F.col(c)) if c in present else F.lit(0.0)).alias(c) for c in feature_cols]
+    cols = [(clean_feature(c) if c in present else F.lit(0.0)).alias(c) for c in feature_cols]
     return df.select(*keep, *cols)
 
 

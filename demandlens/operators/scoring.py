@@ -30,14 +30,12 @@ def linear_predict(features: Column, intercept: Column, coef: Column) -> Column:
     return F.when(F.size(coef) == F.size(features), intercept + dot)
 
 
-def linear_predict_columns(feature_cols: list[str], intercept: Column, coef: Column) -> Column:
+def linear_predict_columns(feature_cols: list[str], intercept: str, coef: str) -> Column:
     """The same prediction as a flat expression over the feature columns
     (coef[i] * x_i folded left from 0.0, then + intercept): no array is built
     and no higher-order function leaves whole-stage codegen."""
-    dot = F.lit(0.0)
-    for i, c in enumerate(feature_cols):
-        dot = dot + coef.getItem(i) * F.col(c)
-    return F.when(F.size(coef) == len(feature_cols), intercept + dot)
+    dot = "0.0D" + "".join(f" + get(`{coef}`, {i}) * `{c}`" for i, c in enumerate(feature_cols))
+    return F.expr(f"CASE WHEN size(`{coef}`) = {len(feature_cols)} THEN `{intercept}` + ({dot}) END")
 
 
 def finalize_results(scored: DataFrame) -> DataFrame:

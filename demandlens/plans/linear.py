@@ -58,7 +58,7 @@ def judged_rows(feats: DataFrame, models: DataFrame, feature_cols: list[str], sc
     usable = F.coalesce((F.size("coef") == len(feature_cols)) & F.col("intercept").isNotNull(), F.lit(False))
     return joined.select(
         "KEY", "DATE", "Actual_Sales", F.col("DISCOUNT_IN").alias("DISCOUNT"), F.col("EOSS_IN").alias("is_eoss"),
-        linear_predict_columns(feature_cols, F.col("intercept"), F.col("coef")).alias("Raw_Prediction"),
+        linear_predict_columns(feature_cols, "intercept", "coef").alias("Raw_Prediction"),
         "split", "_n_train", "_model", usable.alias("_usable"), (is_test & (F.col("_test_no") == 1)).alias("_first"),
         (F.col("_dup") & known).alias("_repeated"),
         judge([("no_model", is_test & ~known), ("insufficient_history", is_test & (F.col("_n_train") < min_history)),

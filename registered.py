@@ -59,7 +59,7 @@ def digits_of(col: str, name: str) -> int:
 WHOLE = 9e15
 
 
-def stable_round(c, d: int):
+def stable_round(col: str, d: int):
     """Round half up to ``d`` decimals in two explicit IEEE steps that DuckDB
     repeats bit for bit (``oracle.stable_round``): first snap to d+3 decimals,
     which absorbs last-ulp noise from summation order, then round.  Engine
@@ -68,19 +68,16 @@ def stable_round(c, d: int):
     BIGINT floors would overflow further up): it is rounded to three decimals
     fewer, down to whole numbers; larger ones, +-inf, NaN and NULL pass
     through; -0.0 comes out as 0.0."""
-    x = c.cast("double")
-    out = F.when(F.isnan(x), x)
-    for k in range(d, -1, -3):
-        scaled = x * F.lit(10.0 ** (k + 3))
-        snapped = F.floor(scaled + F.lit(0.5)).cast("double")
-        rounded = F.floor(snapped / F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0 ** k)
-        out = out.when(F.abs(scaled) < F.lit(WHOLE), rounded)
-    return out.otherwise(x)
+    x = f"CAST(`{col}` AS DOUBLE)"
+    steps = "".join(
+        f" WHEN abs({x} * 1e{k + 3}D) < {WHOLE!r}D THEN "
+        f"CAST(floor(CAST(floor({x} * 1e{k + 3}D + 0.5D) AS DOUBLE) / 1e3D + 0.5D) AS DOUBLE) / 1e{k}D" for k in range(d, -1, -3))
+    return F.expr(f"CASE WHEN isnan({x}) THEN {x}{steps} ELSE {x} END")
 
 
 def rnd(df: DataFrame, cols, name: str = "") -> DataFrame:
     cols = set(cols)
-    return df.select(*[stable_round(F.col(c), digits_of(c, name)).alias(c) if c in cols else F.col(c)
+    return df.select(*[stable_round(c, digits_of(c, name)).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 

@@ -131,9 +131,9 @@ def test_linear_predict_forms_agree(spark):
             for _ in range(50)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", coef array<double>, b double")
     out = df.select(linear_predict(F.array(*cols), F.col("b"), F.col("coef")).alias("x"),
-                    linear_predict_columns(cols, F.col("b"), F.col("coef")).alias("y")).collect()
+                    linear_predict_columns(cols, "b", "coef").alias("y")).collect()
     assert all(r["x"] == r["y"] for r in out)
-    short = df.select(linear_predict_columns(cols + ["f0"], F.col("b"), F.col("coef")).alias("z")).collect()
+    short = df.select(linear_predict_columns(cols + ["f0"], "b", "coef").alias("z")).collect()
     assert all(r["z"] is None for r in short)
 
 

@@ -16,7 +16,7 @@ XS = [1e10, -1e10, 1e13, -1e13, 1e17, -1e17, 1.23456789, -0.5, 0.0, float("inf")
 @pytest.mark.parametrize("d", [3, 6])
 def test_rounding_has_no_cap(spark, d):
     got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(XS)], "i int, x double")
-           .select("i", registered.stable_round(F.col("x"), d).alias("r")).orderBy("i").collect()]
+           .select("i", registered.stable_round("x", d).alias("r")).orderBy("i").collect()]
     rows = ", ".join(f"({i}, {'null' if x is None else repr(x) if abs(x) < 1e300 else chr(39) + str(x) + chr(39)}::double)"
                      for i, x in enumerate(XS))
     want = [r[0] for r in duckdb.sql(f"select {O.stable_round('x', d)} from (values {rows}) t(i, x) order by i").fetchall()]
