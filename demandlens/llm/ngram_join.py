@@ -32,14 +32,16 @@ Words meet in hash shards, packed as byte blocks.  Groups of equal words:
 * more, of the members that have not left: pairs with the least member
   (linear).  After these are verified, only groups with members in different
   components go on (of groups with the same members, one): their sketches are
-  folded to about their sizes in bits and compared in blocks, first giving a
-  spanning forest of the pairs within the Hamming bound, then, once that is
-  verified and only in groups that had any, all pairs still in different
-  components.  So copies are never expanded into all pairs, and no link
-  between different components is missed.
-
-Pairs within the Hamming bound are verified on the exact shingle sets: first
-one pair a set, then those whose sets are still in different components.
+  folded to about their sizes in bits and compared in blocks, which gives a
+  spanning forest of the pairs within the Hamming bound.  Once that is verified,
+  the groups that had any and are still open are compared in blocks again, with
+  the exact sets of their members: a block gives a spanning forest of its links.
+  So copies are never expanded into all pairs, no call returns more pairs than it
+  has members, and no link between different components is missed.
+
+Other pairs within the Hamming bound are verified on the exact shingle sets of
+their texts: first one pair a set, then those whose sets are still in different
+components.
 Equal sets are one class throughout (64-bit set hash), so exact copies cost one
 entry a batch.
 
@@ -69,6 +71,7 @@ BAND = 1.75                 # ratio of a band's sizes; above DEN / NUM
 SMALL = 6
 SPARE = 2                   # words kept beyond the bound, for words that share a 32-bit key
 BLOCK = 2048
+VOLUME = 4_000_000          # shingles of a block whose exact sets are compared
 SHARD_ENTRIES = 800_000
 FLUSH_ENTRIES = 1_500_000
 DOCS_A_FLUSH = 4000         # below 2^12: a block's entries number its sets in 12 bits
@@ -273,18 +276,10 @@ def _folded(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near_in_group(sid, n, comp, sk, left, right, forest: bool) -> tuple[list, list]:
+def _candidates(n, comp, sk, left, right) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of ``left`` and ``right`` (positions, ordered by n) of different
-    components within the size and Hamming bounds; only a spanning forest of
-    them if ``forest``.  With left = right every pair is seen once."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    a, b = [], []
+    components within the size and Hamming bounds, 64 of ``left`` at a time.  With
+    left = right every pair is seen once.  ``comp`` may change between the times."""
     sk, once = sk.T.copy(), left is right
     for at in range(0, len(left), 64):
         x = left[at:at + 64]
@@ -300,8 +295,20 @@ def _near_in_group(sid, n, comp, sk, left, right, forest: bool) -> tuple[list, l
         if once:
             ok &= x[:, None] < y[None, :]
         r, c = np.nonzero(ok)
-        u, v = x[r], y[c]
-        if forest and len(u):
+        yield x[r], y[c]
+
+
+def _near_forest(n, comp, sk, left, right) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the candidates."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    for u, v in _candidates(n, comp, sk, left, right):
+        if len(u):
             ends = np.sort(np.stack([comp[u], comp[v]], axis=1), axis=1)
             ends, one = np.unique(ends, axis=0, return_index=True)
             new = []
@@ -310,19 +317,36 @@ def _near_in_group(sid, n, comp, sk, left, right, forest: bool) -> tuple[list, l
                 if ru != rv:
                     parent[ru] = rv
                     new.append(k)
-            u, v = u[new], v[new]
-        a.append(np.minimum(sid[u], sid[v]))
-        b.append(np.maximum(sid[u], sid[v]))
-    return a, b
-
-
-def _near_in_blocks(forest: bool):
-    """Members of two blocks (i, j) of a large group, or of several groups of
-    one block, with sketches of n bits or more -> pairs (grp, a, b)."""
+            yield u[new], v[new]
+
+
+def _linked_forest(n, comp, sets, left, right) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the exact ``sets``, a spanning forest of all links in the group:
+    a pair whose ends are joined by earlier links is not compared again."""
+    flat, at, size = sets
+    sketches = [bit_sketch(flat[a:a + k]).view(np.uint64) for a, k in zip(at, size)]
+    length = np.array([len(x) for x in sketches])
+    sk = _folded(np.concatenate(sketches), np.cumsum(length) - length, length)
+    comp = comp.copy()
+    for u, v in _candidates(n, comp, sk, left, right):
+        for p, q in zip(u.tolist(), v.tolist()):
+            if comp[p] == comp[q]:
+                continue
+            x, y = flat[at[p]:at[p] + size[p]], flat[at[q]:at[q] + size[q]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if DEN * both >= NUM * (len(x) + len(y) - both):
+                comp[comp == comp[p]] = comp[q]
+                yield np.array([p]), np.array([q])
+
+
+def _in_blocks(exact: bool):
+    """Members of two blocks (i, j) of a large group, or of several groups of one
+    block -> pairs (grp, a, b), fewer than members a group and call: candidates by
+    sketches (``data``) of n bits or more, or links by exact sets (``data``)."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         grp, blk, sid, n, comp = (table.column(c).to_numpy() for c in ("grp", "blk", "sid", "n", "comp"))
-        lists = pa.concat_arrays(table.column("sk").chunks)
+        lists = pa.concat_arrays(table.column("data").chunks)
         flat, size = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
         at = np.cumsum(size) - size
         order = np.lexsort((sid, n, grp))
@@ -330,15 +354,30 @@ def _near_in_blocks(forest: bool):
         for rows in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
             left = np.flatnonzero(blk[rows] == i)
             right = left if i == j else np.flatnonzero(blk[rows] == j)
-            x, y = _near_in_group(sid[rows], n[rows], comp[rows], _folded(flat, at[rows], size[rows]), left, right, forest)
-            g += [np.full(len(p), grp[rows[0]]) for p in x]
-            a += x
-            b += y
+            if exact:
+                found = _linked_forest(n[rows], comp[rows], (flat, at[rows], size[rows]), left, right)
+            else:
+                found = _near_forest(n[rows], comp[rows], _folded(flat, at[rows], size[rows]), left, right)
+            for u, v in found:
+                x, y = sid[rows][u], sid[rows][v]
+                g.append(np.full(len(x), grp[rows[0]]))
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
         g, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (g, a, b))
         return pa.table({"grp": pa.array(g, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, text) -> (sid, data), the exact shingle set."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                data = [shingle_set(t, K).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.record_batch([part.column("sid"), pa.array(data, pa.list_(pa.int64()))], names=["sid", "data"])
+
+
 def _verify_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, ta, tb) -> (a, b) where the exact shingle sets are linked."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -406,14 +445,17 @@ class ParityJoin:
         apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return p.filter(apart * (DEN + NUM) <= F.lit(DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b")
 
+    def texts_of(self, sids: DataFrame) -> DataFrame:
+        """(sid, text) of distinct set ids."""
+        used = cut(sids.join(self.sets, "sid").select("sid", F.coalesce("doc_id", F.lit(-1)).alias("did"), "tx"), "ng-used")
+        # rows repeated whole give their text once; the join has brought them together already
+        texts = self.keyed.join(used, ["did", "tx"]).dropDuplicates(["did", "tx"]).select("sid", "text")
+        return cut(texts, "ng-texts")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose exact sets are linked."""
         pairs = cut(pairs, "ng-near")
-        used = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(self.sets, "sid")
-        used = cut(used.select("sid", F.coalesce("doc_id", F.lit(-1)).alias("did"), "tx"), "ng-used")
-        # rows repeated whole give their text once; the join has brought them together already
-        texts = self.keyed.join(used, ["did", "tx"]).dropDuplicates(["did", "tx"]).select("sid", "text")
-        texts = cut(texts, "ng-texts")
+        texts = self.texts_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         with_a = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
         with_b = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
         return cut(with_b.select("a", "b", "ta", "tb").mapInArrow(_verify_texts, "a long, b long"), "ng-links")
@@ -439,31 +481,40 @@ class ParityJoin:
                                        .union(members.select(F.col("least").alias("a"), F.col("sid").alias("b")))))
         half = (F.size("sk") / 2).cast("int")
         halved = F.zip_with(F.slice("sk", 1, half), F.slice("sk", half + 1, half), lambda x, y: x.bitwiseXOR(y))
-        short = self.sets.select("sid", "n", F.when(F.size("sk") > 1, halved).otherwise(F.col("sk")).alias("sk"))
+        short = self.sets.select("sid", F.when(F.size("sk") > 1, halved).otherwise(F.col("sk")).alias("data"))
+        near = cut(self.in_groups(members, links, short, exact=False), "ng-open")
+        links = cut(links.union(self.verified(self.near(near.select("a", "b")))), "ng-links")
+        # a group without any pair within the bounds is done; of the others, the links that
+        # the forest of candidates missed are found among the exact sets
+        members = members.join(near.select("grp").distinct(), "grp", "left_semi")
+        return links.union(cut(self.in_groups(members, links, None, exact=True).select("a", "b"), "ng-exact"))
+
+    def in_groups(self, members: DataFrame, links: DataFrame, data: DataFrame | None, exact: bool) -> DataFrame:
+        """(grp, a, b) between components inside the groups of ``members``, compared in
+        blocks by ``data`` (sid, data); None: by the exact sets, read for the groups
+        that are still open."""
+        comp = components(links)
+        inside = members.join(comp, members["sid"] == comp["node"], "left") \
+                        .select("grp", "sid", F.coalesce("root", "sid").alias("comp")).join(self.sets.select("sid", "n"), "sid")
+        open_ = inside.groupBy("grp").agg(
+            F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in range(2)]).filter("lo < hi")
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("volume") / VOLUME) if exact else F.lit(1))
+        open_ = open_.groupBy("m", "volume", "h0", "h1").agg(F.min("grp").alias("grp")).select("grp", blocks.cast("int").alias("blocks"))
+        block = inside.join(open_, "grp")
+        if exact:
+            block = cut(block, "ng-inside")
+            texts = self.texts_of(block.select("sid").distinct())
+            data = cut(texts.mapInArrow(_set_rows, "sid long, data array<long>"), "ng-exact-sets")
+        block = block.join(data, "sid").withColumn("blk", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+        # every block with itself and with every other block of its group
+        spread = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+            .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
+        # groups of one block share calls; a larger group has a call for two blocks
         packs = PACKS * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        for forest in (True, False):
-            comp = components(links)
-            inside = members.join(comp, members["sid"] == comp["node"], "left") \
-                            .select("grp", "sid", F.coalesce("root", "sid").alias("comp"))
-            open_ = inside.groupBy("grp").agg(
-                F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in range(2)]).filter("lo < hi")
-            open_ = open_.groupBy("m", "h0", "h1").agg(F.min("grp").alias("grp")) \
-                         .select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-            block = inside.join(open_, "grp").join(short, "sid") \
-                .withColumn("blk", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-            # every block with itself and with every other block of its group
-            spread = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-                .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-            # groups of one block share calls; a larger group has a call for two blocks
-            shared = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("grp"), F.lit(packs))).otherwise(F.col("grp"))
-            found = cut(spread.select(shared.alias("call"), "i", "j", "grp", "blk", "sid", "n", "comp", "sk").groupBy("call", "i", "j")
-                        .applyInArrow(_near_in_blocks(forest), "grp long, a long, b long"), "ng-open")
-            more = self.verified(self.near(found.select("a", "b")))
-            links = cut(links.union(more), "ng-links")
-            # a group without any pair within the bounds is done
-            members = members.join(found.select("grp").distinct(), "grp", "left_semi")
-        return links
+        shared = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("grp"), F.lit(packs))).otherwise(F.col("grp"))
+        return spread.select(shared.alias("call"), "i", "j", "grp", "blk", "sid", "n", "comp", "data").groupBy("call", "i", "j") \
+            .applyInArrow(_in_blocks(exact), "grp long, a long, b long")
 
     def linked_rows(self) -> DataFrame:
         """doc_id, tx (hash of the text), n, sid, root (a component's key) and the

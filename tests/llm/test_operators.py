@@ -397,7 +397,7 @@ def test_words_left_out_keep_a_common_word():
             assert len(common) > 0
 
 
-def test_near_in_blocks_is_brute_force():
+def test_blocks_are_brute_force():
     rng = np.random.default_rng(13)
     rows = []
     for grp in range(4):
@@ -405,7 +405,7 @@ def test_near_in_blocks_is_brute_force():
         for k in range(30):
             s = np.unique(np.concatenate([base[:int(rng.integers(100, 201))], rng.integers(0, 2 ** 64, int(rng.integers(0, 60)), dtype=np.uint64)]))
             rows.append((grp, k % 2, grp * 100 + k, len(s), grp * 100 + k // 2, ngram_join.bit_sketch(s).tolist(), s))
-    names = ("grp", "blk", "sid", "n", "comp", "sk")
+    names = ("grp", "blk", "sid", "n", "comp", "data")
     for blocks in (1, 2):
         for i, j in ((0, 0), (0, 1), (1, 1)) if blocks == 2 else ((0, 0),):
             for groups in ((0, 1, 2, 3), (2,)):
@@ -420,19 +420,23 @@ def test_near_in_blocks_is_brute_force():
                             apart = int(np.bitwise_count(fx ^ fy).sum())
                             if 175 * apart <= 25 * (x[3] + y[3]) and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]):
                                 want.add((x[0], x[2], y[2]))
+                linked = {(x[0], x[2], y[2]) for x in used for y in used if x[0] == y[0] and x[2] < y[2] and x[4] != y[4]
+                          and {x[1], y[1]} == {i, j}
+                          and 100 * len(np.intersect1d(x[6], y[6])) >= 75 * len(np.union1d(x[6], y[6]))}
+                assert linked and linked <= want
                 key = [pa.scalar(v) for v in (0, i, j)]
-                got = ngram_join._near_in_blocks(False)(key, tab).to_pydict()
-                assert sorted(zip(got["grp"], got["a"], got["b"])) == sorted(want)
-                forest = ngram_join._near_in_blocks(True)(key, tab).to_pydict()
-                forest = set(zip(forest["grp"], forest["a"], forest["b"]))
-                assert forest <= want and {g for g, *_ in forest} == {g for g, *_ in want}
-                parent = {}
-                find = lambda c: c if parent.get(c, c) == c else find(parent[c])
-                for _, a, b in forest:                  # a forest: never joins what is joined
-                    ra, rb = find(a // 100 * 100 + a % 100 // 2), find(b // 100 * 100 + b % 100 // 2)
-                    assert ra != rb
-                    parent[ra] = rb
-                assert all(find(a // 100 * 100 + a % 100 // 2) == find(b // 100 * 100 + b % 100 // 2) for _, a, b in want)
+                exact = tab.set_column(5, "data", pa.array([r[6].view(np.int64) for r in used], pa.list_(pa.int64())))
+                for run, table_, all_ in ((ngram_join._in_blocks(False), tab, want), (ngram_join._in_blocks(True), exact, linked)):
+                    forest = run(key, table_).to_pydict()
+                    forest = set(zip(forest["grp"], forest["a"], forest["b"]))
+                    assert forest <= all_ and {g for g, *_ in forest} == {g for g, *_ in all_}
+                    parent = {}
+                    find = lambda c: c if parent.get(c, c) == c else find(parent[c])
+                    for _, a, b in forest:              # a forest: never joins what is joined
+                        ra, rb = find(a // 100 * 100 + a % 100 // 2), find(b // 100 * 100 + b % 100 // 2)
+                        assert ra != rb
+                        parent[ra] = rb
+                    assert all(find(a // 100 * 100 + a % 100 // 2) == find(b // 100 * 100 + b % 100 // 2) for _, a, b in all_)
 
 
 def test_blocks_hold_only_sets_of_their_shard():
