@@ -34,8 +34,9 @@ Words meet in hash shards, packed as byte blocks.  Groups of equal words:
   components go on (of groups with the same members, one): their sketches are
   folded to about their sizes in bits and compared in blocks, which gives a
   spanning forest of the pairs within the Hamming bound.  Once that is verified,
-  the groups that had any and are still open are compared in blocks again, with
-  the exact sets of their members: a block gives a spanning forest of its links.
+  the sets that these pairs join, each once, are compared in blocks again where
+  they are of different components still, now with their exact sets: a block gives
+  a spanning forest of its links.
   So copies are never expanded into all pairs, no call returns more pairs than it
   has members, and no link between different components is missed.
 
@@ -482,20 +483,22 @@ class ParityJoin:
         half = (F.size("sk") / 2).cast("int")
         halved = F.zip_with(F.slice("sk", 1, half), F.slice("sk", half + 1, half), lambda x, y: x.bitwiseXOR(y))
         short = self.sets.select("sid", F.when(F.size("sk") > 1, halved).otherwise(F.col("sk")).alias("data"))
-        near = cut(self.in_groups(members, links, short, exact=False), "ng-open")
-        links = cut(links.union(self.verified(self.near(near.select("a", "b")))), "ng-links")
-        # a group without any pair within the bounds is done; of the others, the links that
-        # the forest of candidates missed are found among the exact sets
-        members = members.join(near.select("grp").distinct(), "grp", "left_semi")
-        return links.union(cut(self.in_groups(members, links, None, exact=True).select("a", "b"), "ng-exact"))
-
-    def in_groups(self, members: DataFrame, links: DataFrame, data: DataFrame | None, exact: bool) -> DataFrame:
-        """(grp, a, b) between components inside the groups of ``members``, compared in
-        blocks by ``data`` (sid, data); None: by the exact sets, read for the groups
-        that are still open."""
         comp = components(links)
-        inside = members.join(comp, members["sid"] == comp["node"], "left") \
-                        .select("grp", "sid", F.coalesce("root", "sid").alias("comp")).join(self.sets.select("sid", "n"), "sid")
+        inside = members.join(comp, members["sid"] == comp["node"], "left").select("grp", "sid", F.coalesce("root", "sid").alias("comp"))
+        near = cut(self.compared(inside, short, exact=False).select("a", "b"), "ng-open")
+        links = cut(links.union(self.verified(self.near(near))), "ng-links")
+        # the forest of candidates missed the links that close its circles.  Ends of a link are joined
+        # by candidates, so each set is needed once, with the sets that candidates join it to
+        comp, joined = components(links), components(links.union(near))
+        open_sets = members.select("sid").distinct().join(joined.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid")
+        inside = open_sets.join(comp, open_sets["sid"] == comp["node"], "left").select("grp", "sid", F.coalesce("root", "sid").alias("comp"))
+        return links.union(cut(self.compared(inside, None, exact=True).select("a", "b"), "ng-exact"))
+
+    def compared(self, inside: DataFrame, data: DataFrame | None, exact: bool) -> DataFrame:
+        """(grp, a, b) between the components ``comp`` of the sets in each group of
+        ``inside`` (grp, sid, comp), compared in blocks by ``data`` (sid, data); None:
+        by their exact sets."""
+        inside = inside.join(self.sets.select("sid", "n"), "sid")
         open_ = inside.groupBy("grp").agg(
             F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in range(2)]).filter("lo < hi")
