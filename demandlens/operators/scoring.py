@@ -2,7 +2,7 @@
 
 Linear scoring is a higher-order SQL expression over the feature vector and
 the model's coefficient array - no Python worker.  Sequence scoring is the
-only Python boundary of the engine: ``mapInPandas`` hands Arrow batches of
+only Python boundary of the engine: ``mapInArrow`` hands Arrow batches of
 test rows (each with its prior-row sequence) to a caller-supplied predictor,
 built once per task by a factory.
 """
@@ -12,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,28 +68,39 @@ class MeanOfFeature:
         return lambda x: x[:, :, idx].mean(axis=1)
 
 
+def sequence_tensor(seq: pa.ListArray) -> np.ndarray:
+    """(rows, steps, features) of a list<list<double>> column whose rows are of one
+    shape: the flat values of the batch, reshaped without a copy (missing values are
+    NaN, which takes one).  Rows of different shapes are an error."""
+    if len(seq) == 0:
+        return np.zeros((0, 0, 0))
+    steps = seq.flatten()
+    values = steps.flatten()
+    shape = (len(seq), len(steps) // len(seq), len(values) // max(1, len(steps)))
+    of_rows, of_steps = pa.compute.list_value_length(seq), pa.compute.list_value_length(steps)
+    if seq.null_count or steps.null_count or set(of_rows.unique().to_pylist()) != {shape[1]} \
+            or not set(of_steps.unique().to_pylist()) <= {shape[2]}:
+        raise ValueError("sequences of different shapes")
+    return values.to_numpy(zero_copy_only=False).reshape(shape)
+
+
 def score_sequences(df: DataFrame, factory: PredictorFactory, *, seq_col: str = "sequence",
                     out_col: str = "Raw_Prediction", batch_size: int = 256) -> DataFrame:
     """Append ``out_col`` = predictor(sequence batch).  The predictor gets a
     float64 array (batch, steps, features) and returns (batch,) or (batch, 1).
     NaN/inf predictions become NULL.  The sequence column is dropped."""
     ship_package(df.sparkSession)     # workers unpickle ``run`` and the factory from this package
-    out_fields = [f for f in df.schema.fields if f.name != seq_col]
-    out_schema = T.StructType(out_fields + [T.StructField(out_col, T.DoubleType())])
-    names = [f.name for f in out_fields]
+    out_schema = T.StructType([f for f in df.schema.fields if f.name != seq_col] + [T.StructField(out_col, T.DoubleType())])
+    names = out_schema.names[:-1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = factory()
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                if len(part) == 0:
-                    continue
-                x = np.stack([np.stack(seq) for seq in part[seq_col]]).astype(np.float64)
-                y = np.asarray(predict(x), dtype=np.float64).reshape(len(part), -1)[:, 0]
-                y = np.where(np.isfinite(y), y, np.nan)
-                res = part[names].copy()
-                res[out_col] = y
-                yield res
-
-    return df.mapInPandas(run, out_schema)
+        for batch in batches:
+            x = sequence_tensor(batch.column(seq_col))
+            y = [np.asarray(predict(x[at:at + batch_size]), dtype=np.float64).reshape(len(x[at:at + batch_size]), -1)[:, 0]
+                 for at in range(0, len(x), batch_size)]
+            y = np.concatenate(y) if y else np.zeros(0)
+            scores = pa.array(y, pa.float64(), mask=~np.isfinite(y))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [scores], names=names + [out_col])
+
+    return df.mapInArrow(run, out_schema)

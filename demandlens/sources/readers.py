@@ -69,3 +69,9 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A table of ``sinks.write_bucketed``.  Its values were normalized before they
+    were written and its columns are read as they are, so the scan keeps its buckets."""
+    return spark.table(table)

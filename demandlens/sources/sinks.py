@@ -21,6 +21,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, single_file:
     w.format(fmt).save(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> None:
+    """A Parquet table at ``path``, registered as ``table``, in one sorted file for
+    each of ``buckets`` hash buckets of ``keys``.  Tables of one bucketing join on
+    these keys without an exchange (``readers.read_bucketed``); the write is the one
+    shuffle that all later joins save."""
+    (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+
+
 def shortest_text(x: Column) -> Column:
     """A double as Python prints it: the shortest digits that read back as the
     same double, in fixed notation for decimal exponents -4..15 and as

@@ -30,8 +30,8 @@ from demandlens.plans.sequence import evaluate_sequence_history, sequence_rows
 from demandlens.schema import METRIC_LABELS
 from demandlens.session import ensure_checkpoint_dir, prepare_session
 from demandlens.sources import fixtures as fx
-from demandlens.sources.readers import read_sales
-from demandlens.sources.sinks import metrics_text, write_table
+from demandlens.sources.readers import read_bucketed, read_results, read_sales, read_table
+from demandlens.sources.sinks import metrics_text, write_bucketed, write_table
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """The sales panel of ``sf``: a lazy plan over ``lineitem`` and ``part``."""
@@ -51,8 +51,11 @@ PCT_MEANS = {"Percent_Error_mean", "mean_percent_error", "Linear_Pct_Error", "Ne
              "linear_mape", "neural_mape"}
 
 
+ROW_QUERIES = {"compare_details", "compare_common_rows", "compare_colocated", "comparison_file"}
+
+
 def digits_of(col: str, name: str) -> int:
-    pct_mean = col in PCT_MEANS and not (name.endswith("details") and col.endswith("Pct_Error"))
+    pct_mean = col in PCT_MEANS and not (name in ROW_QUERIES and col.endswith("Pct_Error"))
     return 3 if pct_mean else 6
 
 
@@ -564,6 +567,49 @@ def q_restricted_rows(spark, sf):
     return kept.select("KEY_DATE", "KEY", "DATE", "Predicted_Sales", "Absolute_Error").orderBy("KEY_DATE")
 
 
+def q_compare_colocated(spark, sf):
+    """The comparison of two stored results that share their buckets: no exchange."""
+    base, run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables", uuid.uuid4().hex
+    tables = []
+    for side, details in zip("ab", results_ab(spark, sf)):
+        tables.append(f"results_{side}_{run}")
+        write_bucketed(details, tables[-1], f"{base}/{tables[-1]}", C.PAIR, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return C.pair_results(*[read_bucketed(spark, t) for t in tables])
+
+
+def written(spark, df, fmt="csv", **kw):
+    """``df`` written as a report and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    write_table(df, path, fmt, **kw)
+    return read_table(spark, path, fmt, df.schema)
+
+
+def q_product_summary_file(spark, sf):
+    return written(spark, R.product_summary(details_a(spark, sf)))
+
+
+def q_bin_performance_file(spark, sf):
+    return written(spark, R.bin_performance(details_a(spark, sf)), single_file=True)
+
+
+def comparison_of_files(spark, sf):
+    """The comparison job's input: both results written as CSV, read by name and type."""
+    sides = []
+    for details in results_ab(spark, sf):
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+        write_table(details, path, "csv")
+        sides.append(read_results(spark, path, "csv"))
+    return compare_models(*sides)
+
+
+def q_comparison_file(spark, sf):
+    return written(spark, comparison_of_files(spark, sf).details)
+
+
+def q_comparison_bins_file(spark, sf):
+    return written(spark, comparison_of_files(spark, sf).by_bin, single_file=True)
+
+
 def _ab_ctes(whole=True):
     drop_a, drop_b = (None, None) if whole else ("PROMO", "LARGE")
     return O.details_ctes("a", drop_type=drop_a) + "," + O.details_ctes("b", drop_type=drop_b, sfx="_b")
@@ -693,6 +739,11 @@ SPEC = {
     "compare_bin_error_long": (q_compare_bin_error_long, SQL_COMPARE_BIN_ERROR_LONG, ["Error"]),
     "compare_histogram": (q_compare_histogram, SQL_COMPARE_HISTOGRAM, HIST_FLOATS),
     "common_pairs": (q_common_pairs, SQL_COMMON_PAIRS, []),
+    "compare_colocated": (q_compare_colocated, SQL_COMPARE_DETAILS, CMP_FLOATS),
+    "product_summary_file": (q_product_summary_file, SQL_PRODUCT_SUMMARY, PRODUCT_FLOATS),
+    "bin_performance_file": (q_bin_performance_file, SQL_BIN_PERFORMANCE, BINPERF_FLOATS),
+    "comparison_file": (q_comparison_file, SQL_COMPARE_DETAILS, CMP_FLOATS),
+    "comparison_bins_file": (q_comparison_bins_file, SQL_COMPARE_BY_BIN, CMPBIN_FLOATS),
     "compare_common_rows": (q_compare_common_rows, SQL_COMPARE_COMMON_ROWS, CMP_FLOATS),
     "restricted_rows": (q_restricted_rows, SQL_RESTRICTED_ROWS, ["Predicted_Sales", "Absolute_Error"]),
     "dirty_details": (q_dirty_details, SQL_DIRTY_DETAILS, DETAIL_FLOATS),

@@ -27,7 +27,7 @@ def test_query_matches_oracle(spark, con, name):
     # plan guards: no cartesian / nested-loop joins; Python only where a predictor runs
     txt = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt
-    has_python = "MapInPandas" in txt or "ArrowEvalPython" in txt or "BatchEvalPython" in txt
+    has_python = "MapInArrow" in txt or "MapInPandas" in txt or "ArrowEvalPython" in txt or "BatchEvalPython" in txt
     assert has_python == (name in PYTHON_OK)
     rows = [tuple(r) for r in df.collect()]
     res = con.execute(E.oracle_sql()[name])
