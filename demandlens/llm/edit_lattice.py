@@ -228,12 +228,14 @@ def plans(rows: DataFrame) -> DataFrame:
     codes = F.array_join(F.expr("transform(filter(rows, r -> r.own = block), r -> r.code)"), "")
     blocks = listed.select("key", "block", codes.alias("codes"), (F.col("n") <= BLOCK).alias("alone"),
                            F.size(F.filter(pairs, lambda p: ~p.isin("su", "ua", "au"))).cast("long").alias("illegal"))
-    found = cut(blocks.select("key", "block", "illegal", _search_blocks("codes", "alone").alias("walks")), "lattice-0")
+    found = cut(blocks.select("key", "block", "illegal", "alone", _search_blocks("codes", "alone").alias("walks")), "lattice-0")
+    whole, found = found.filter("alone").drop("alone"), found.filter("not alone").drop("alone")
     rounds = 0
     while (found.agg(F.max("block")).first()[0] or 0) > 0:
         rounds += 1
         up = found.groupBy("key", F.floor(F.col("block") / BLOCK).alias("up"))     # at most BLOCK rows a group
         found = cut(up.applyInPandas(_join_blocks, found.schema), f"lattice-{rounds}")
+    found = whole.unionByName(found)
     ends = F.filter("walks", lambda w: (w["entry"] == START) & w["exit"].isin(*ACCEPT))
     best = F.array_min(F.transform(ends, lambda w: F.struct(w["cost"].alias("cost"), w["audit"].alias("audit"))))
     counts = rows.groupBy("key").agg(
