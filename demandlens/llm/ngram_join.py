@@ -3,7 +3,7 @@
 A document is its set of distinct word shingles (64-bit hashes).  XOR-hashing
 the set gives two sketches:
 
-* a bit sketch of 2^j >= 2n bits in which every shingle toggles one bit.  The
+* a bit sketch of 2^j >= n bits in which every shingle toggles one bit.  The
   Hamming distance of two such sketches is at most the size of the sets'
   symmetric difference.  Halves XOR to the sketch of half the length, so
   sketches of neighbouring sizes can be compared;
@@ -26,7 +26,9 @@ last words in one common order.  So every document leaves the largest of its
 groups, as many as this bound allows: a passage that thousands of documents
 share is then no reason to compare them, and no linked pair is lost.
 
-Words meet in hash shards, packed as byte blocks.  Groups of equal words:
+Words meet in hash shards, packed as byte blocks.  A band has its own shards, by
+its share of the words, so that a set's words go to few of them and its id, sent
+once a shard, costs little beside them at any size of the corpus.  Groups of equal words:
 
 * up to ``SMALL`` members: all pairs;
 * more, of the members that have not left: pairs with the least member
@@ -73,7 +75,7 @@ SMALL = 6
 SPARE = 2                   # words kept beyond the bound, for words that share a 32-bit key
 BLOCK = 2048
 VOLUME = 4_000_000          # shingles of a block whose exact sets are compared
-SHARD_ENTRIES = 800_000
+SHARD_ENTRIES = 1_200_000
 FLUSH_ENTRIES = 1_500_000
 DOCS_A_FLUSH = 4000         # below 2^12: a block's entries number its sets in 12 bits
 SLICE = 256
@@ -105,16 +107,16 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = max(64, 1 << (len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def marked_words(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def marked_words(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """The words of a sorted set in all its bands, as 64-bit keys; the kind of
-    each (its band's parity, 2 for single shingles); and how many words of
-    either parity the set may leave out."""
-    out, kinds, spare = [], [], [0, 0]
+    each (its band's parity, 2 for single shingles); the band of each; and how
+    many words of either parity the set may leave out."""
+    out, kinds, bands, spare = [], [], [], [0, 0]
     for band, p in spaces(len(s)):
         part = ((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -125,9 +127,10 @@ def marked_words(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
         if len(first) <= most_apart(len(s)):
             out.append(mix(s ^ mix(np.array([salt], dtype=np.uint64))))
             kinds.append(np.full(len(s), 2, dtype=np.uint16))
+        bands.append(np.full(sum(map(len, out)) - sum(map(len, bands)), band, dtype=np.uint8))
     keys = np.concatenate(out)
     same_key = len(keys) - len(np.unique(keys.astype(np.uint32)))
-    return keys, np.concatenate(kinds), [max(0, k - same_key) for k in spare]
+    return keys, np.concatenate(kinds), np.concatenate(bands), [max(0, k - same_key) for k in spare]
 
 
 def words_of(s: np.ndarray) -> np.ndarray:
@@ -154,23 +157,29 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], schema=schema)
 
 
-def _word_blocks(shards: int):
+def _word_blocks(first: list[int]):
     """Texts -> (shard, block): the words of a few thousand sets, each set once.
+    Band ``k`` has the shards from ``first[k]`` to before ``first[k + 1]``.
     A block has only the sets with a word in its shard: their number, their ids,
-    what each may leave out (even, odd bands), then the low halves of the words
+    what each may leave out in the shard's band, then the low halves of the words
     and (kind, set number in the block) of each."""
+    shards, base = first[-1], np.array(first, dtype=np.uint64)
+    parity = np.repeat(np.arange(len(first) - 1) & 1, np.diff(first))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
         sids: dict[int, int] = {}
         words: list[np.ndarray] = []
         kinds: list[np.ndarray] = []
+        bands: list[np.ndarray] = []
         spare: list[list[int]] = []
         total = 0
 
         def flush():
             w = np.concatenate(words)
             number = np.repeat(np.arange(len(words)), [len(x) for x in words])
-            shard = ((w >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+            band = np.concatenate(bands)
+            shard = (base[band] + (w >> np.uint64(32)) % (base[band + 1] - base[band])).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             ids, may = np.array(list(sids), dtype=np.int64), np.array(spare, dtype=np.int32)
@@ -181,7 +190,7 @@ def _word_blocks(shards: int):
                     new = np.diff(number[a:b], prepend=-1) != 0         # numbers ascend within a shard
                     own = number[a:b][new]
                     idx = (np.cumsum(new) - 1).astype(np.uint16) | kind[a:b]
-                    head = np.int64(len(own)).tobytes() + ids[own].tobytes() + may[own].tobytes()
+                    head = np.int64(len(own)).tobytes() + ids[own].tobytes() + may[own, parity[k]].tobytes()
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array(
                         [head + low[a:b].tobytes() + idx.tobytes()], pa.binary())], schema=schema)
 
@@ -193,14 +202,15 @@ def _word_blocks(shards: int):
                     if sid is None or sid in sids:
                         continue
                     sids[sid] = len(sids)
-                    keys, kind, leave = marked_words(s)
+                    keys, kind, band, leave = marked_words(s)
                     words.append(keys)
                     kinds.append(kind)
+                    bands.append(band)
                     spare.append(leave)
                     total += len(keys)
                     if total >= FLUSH_ENTRIES or len(sids) >= DOCS_A_FLUSH:
                         yield from flush()
-                        sids, words, kinds, spare, total = {}, [], [], [], 0
+                        sids, words, kinds, bands, spare, total = {}, [], [], [], [], 0
             if words:
                 yield from flush()
     return run
@@ -214,14 +224,14 @@ def _groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for raw in table.column("block").to_pylist():
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         ids = np.frombuffer(raw, np.int64, n, 8)
-        may = np.frombuffer(raw, np.int32, 2 * n, 8 + 8 * n).reshape(n, 2)
-        m = (len(raw) - 8 - 16 * n) // 6
-        sig.append(np.frombuffer(raw, np.uint32, m, 8 + 16 * n))
-        mark = np.frombuffer(raw, np.uint16, m, 8 + 16 * n + 4 * m)
+        may = np.frombuffer(raw, np.int32, n, 8 + 8 * n)
+        m = (len(raw) - 8 - 12 * n) // 6
+        sig.append(np.frombuffer(raw, np.uint32, m, 8 + 12 * n))
+        mark = np.frombuffer(raw, np.uint16, m, 8 + 12 * n + 4 * m)
         k, i = mark >> np.uint16(12), mark & np.uint16(0xFFF)
         sid.append(ids[i])
         kind.append(k.astype(np.int8))
-        spare.append(np.where(k < 2, may[i, k & np.uint16(1)], 0).astype(np.int32))
+        spare.append(np.where(k < 2, may[i], 0).astype(np.int32))
     sig, sid, kind, spare = (np.concatenate(x) for x in (sig, sid, kind, spare))
     order = np.argsort(sig, kind="stable")
     shared = sig[order]
@@ -412,11 +422,23 @@ class ParityJoin:
         self.sets = cut(self.rows.filter(F.col("sid").isNotNull()).groupBy("sid").agg(least.alias("r"))
                         .select("sid", "r.doc_id", "r.tx", "r.n", "r.sk"), "ng-sets")
 
+    def shards(self) -> list[int]:
+        """The first shard of every band, by the shingles of its sets (one row a band
+        comes to the driver), and the number of all shards."""
+        edges = F.array(*[F.lit(e).cast("long") for e in _EDGES])
+        band = lambda n: F.size(F.filter(edges, lambda e: e <= n)) - 1
+        least = F.ceil(F.col("n") * NUM / DEN)
+        use = self.sets.select("n", F.explode(F.array_distinct(F.array(band(F.col("n")), band(least)))).alias("band"))
+        total = {r["band"]: r["s"] for r in use.groupBy("band").agg(F.sum("n").alias("s")).collect()}
+        first = [0]
+        for k in range(len(_EDGES)):
+            first.append(first[-1] + (1 + int(total[k]) // 2 // SHARD_ENTRIES if k in total else 0))
+        return first
+
     def words(self) -> DataFrame:
-        total = self.sets.agg(F.sum("n")).first()[0] or 0
-        shards = 1 + int(total) * 6 // 10 // SHARD_ENTRIES
-        blocks = self.docs.filter(F.col("text").isNotNull()).mapInArrow(_word_blocks(shards), "shard int, block binary")
-        return cut(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(
+        first = self.shards()
+        blocks = self.docs.filter(F.col("text").isNotNull()).mapInArrow(_word_blocks(first), "shard int, block binary")
+        return cut(blocks.repartition(max(1, first[-1]), "shard").groupBy("shard").applyInArrow(
             _groups, "a long, b long, grp long, m long, kind byte, spare int"), "ng-groups")
 
     def members(self, groups: DataFrame) -> DataFrame:
@@ -480,9 +502,7 @@ class ParityJoin:
         members = self.members(groups)
         links = self.joining(self.near(groups.filter("grp is null").select("a", "b")
                                        .union(members.select(F.col("least").alias("a"), F.col("sid").alias("b")))))
-        half = (F.size("sk") / 2).cast("int")
-        halved = F.zip_with(F.slice("sk", 1, half), F.slice("sk", half + 1, half), lambda x, y: x.bitwiseXOR(y))
-        short = self.sets.select("sid", F.when(F.size("sk") > 1, halved).otherwise(F.col("sk")).alias("data"))
+        short = self.sets.select("sid", F.col("sk").alias("data"))
         comp = components(links)
         inside = members.join(comp, members["sid"] == comp["node"], "left").select("grp", "sid", F.coalesce("root", "sid").alias("comp"))
         near = cut(self.compared(inside, short, exact=False).select("a", "b"), "ng-open")
@@ -541,10 +561,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             .groupBy("root").agg(F.min(F.struct(key.alias("k"), "times")).alias("m"))
             .select(F.col("m.k.doc_id").alias("k_id"), F.col("m.k.tx").alias("k_tx"), F.col("m.times").alias("k_times")))
     wordless = docs.filter(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) == 0)
-    hit = docs.withColumn("__tx", F.xxhash64("text")).join(
-        keep, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("__tx") == F.col("k_tx")))
-    once = hit.filter("k_times = 1").select(*docs.columns)
-    again = hit.filter("k_times > 1").dropDuplicates(["k_id", "k_tx"]).select(*docs.columns)
+    # a row travels as one column, so that no column of ``docs`` clashes with those of the join
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_tx"), F.struct("*").alias("doc"))
+    hit = rows_.join(keep, F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_tx") == F.col("k_tx")))
+    once = hit.filter("k_times = 1").select("doc.*")
+    again = hit.filter("k_times > 1").dropDuplicates(["k_id", "k_tx"]).select("doc.*")
     return once.unionByName(again).unionByName(wordless)
 
 

@@ -387,7 +387,7 @@ def test_words_left_out_keep_a_common_word():
         a = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
         for gone in (0, n // 4):
             b = a[gone:]
-            (ka, ma, sa), (kb, mb, sb) = ngram_join.marked_words(a), ngram_join.marked_words(b)
+            (ka, ma, _, sa), (kb, mb, _, sb) = ngram_join.marked_words(a), ngram_join.marked_words(b)
             common = np.intersect1d(ka, kb)
             best = 0
             for parity in (0, 1):
@@ -439,24 +439,49 @@ def test_blocks_are_brute_force():
                     assert all(find(a // 100 * 100 + a % 100 // 2) == find(b // 100 * 100 + b % 100 // 2) for _, a, b in all_)
 
 
+def test_shards_follow_the_bands(spark, monkeypatch):
+    docs = table(spark, [(i, words(10 if i < 300 else 500, i)) for i in range(330)] + [(400, None), (401, "")])
+    join = ngram_join.ParityJoin(docs)
+    few = join.shards()
+    monkeypatch.setattr(ngram_join, "SHARD_ENTRIES", 100)
+    many = join.shards()
+    used = {int(b) for r in join.sets.select("n").distinct().collect() for b, _ in ngram_join.spaces(r.n)}
+    for first in (few, many):
+        assert {k for k in range(len(first) - 1) if first[k + 1] > first[k]} == used
+    assert max(np.diff(few)) == 1 and many[-1] > 10 * few[-1]
+    assert ngram_join.ParityJoin(docs.limit(0)).shards()[-1] == 0
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(i, words(30, i % 3), "x", i) for i in range(9)] + [(20, None, "y", 1), (0, words(30, 0), "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k_times string, k_tx long") \
+        .selectExpr("*", "doc_id as k_id", "text as __tx", "doc_id as d_id", "'z' as d_tx", "'z' as doc")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.k_times, r.k_tx) for r in kept.collect()) == [(0, "x", 0), (1, "x", 1), (2, "x", 2), (20, "y", 1)]
+
+
 def test_blocks_hold_only_sets_of_their_shard():
     texts = pa.array([words(40, i) for i in range(60)])
     batch = pa.record_batch([pa.array(range(60), pa.int64()), texts], names=["doc_id", "text"])
     sets = {ngram_join.set_id(s): s for s in (shingle_set(t, ngram_join.K) for t in texts.to_pylist())}
     marks = {sid: ngram_join.marked_words(s) for sid, s in sets.items()}
-    shards, seen = 400, {sid: 0 for sid in sets}
-    for part in ngram_join._word_blocks(shards)(iter([batch])):
+    bands = max(int(m[2].max()) for m in marks.values()) + 1
+    first, seen = [40 * k for k in range(bands + 1)], {sid: 0 for sid in sets}
+    for part in ngram_join._word_blocks(first)(iter([batch])):
         k, raw = part.column(0)[0].as_py(), part.column(1)[0].as_py()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids, may = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, 2 * n, 8 + 8 * n).reshape(n, 2)
-        m = (len(raw) - 8 - 16 * n) // 6
-        low, mark = np.frombuffer(raw, np.uint32, m, 8 + 16 * n), np.frombuffer(raw, np.uint16, m, 8 + 16 * n + 4 * m)
+        ids, may = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n)
+        m = (len(raw) - 8 - 12 * n) // 6
+        low, mark = np.frombuffer(raw, np.uint32, m, 8 + 12 * n), np.frombuffer(raw, np.uint16, m, 8 + 12 * n + 4 * m)
+        band = k // 40
         assert set(mark & 0xFFF) == set(range(n))
         for x, i in zip(low, mark):
             sid = int(ids[i & 0xFFF])
-            keys, kinds, leave = marks[sid]
-            assert any(int(w) & 0xFFFFFFFF == x and (int(w) >> 32) % shards == k and c == i >> 12 for w, c in zip(keys, kinds))
-            assert may[i & 0xFFF].tolist() == list(leave)
+            keys, kinds, bands, leave = marks[sid]
+            assert any(int(w) & 0xFFFFFFFF == x and 40 * band + (int(w) >> 32) % 40 == k and c == i >> 12 and b == band
+                       for w, c, b in zip(keys, kinds, bands))
+            assert may[i & 0xFFF] == leave[band & 1]
             seen[sid] += 1
     assert seen == {sid: len(marks[sid][0]) for sid in sets}
 
