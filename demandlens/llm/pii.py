@@ -10,9 +10,12 @@
    patterns and instances, Spark scores by turns: a pattern's score for a kind
    is the share of its distinct instances that are that kind, smoothed, and an
    instance's score is one minus the product of (1 - score) of its patterns.
-4. After ``ROUNDS`` rounds, unseen candidates whose pattern has a score of at
-   least ``CONFIDENT`` from at least ``SUPPORT`` distinct seeds are added as
-   spans of the pattern's kind.  Base spans always stay.
+   An unseen instance of a confident pattern becomes a seed of the next round,
+   so patterns that no base span supports are learnt from what was discovered.
+4. After ``ROUNDS`` rounds, patterns with a score of at least ``CONFIDENT`` from
+   at least ``SUPPORT`` distinct seeds discover their unseen instances; every
+   place of a discovered instance, in any context, is added as a span of the
+   pattern's kind (of several, the first).  Base spans always stay.
 
 Only DataFrame functions are used.  The two passes over the texts are narrow;
 what is shuffled is the candidates' short contexts, summed map-side to
@@ -52,9 +55,25 @@ SUPPORT = 5
 CONFIDENT = 0.9
 SMOOTH = 1.0
 SALTS = 16
+RUN = 256
 CONTEXT = 64
 
 
+def _running_sums(numbers: Column) -> Column:
+    """Sums of the first, the first two, ... of an array.  They are gathered in runs of
+    ``RUN``, as appending to one long array would copy it for every number."""
+    none = F.array().cast("array<int>")
+    state = F.struct(F.array().cast("array<array<int>>").alias("full"), none.alias("run"), F.lit(0).alias("at"))
+
+    def step(acc, x):
+        at, ends = acc["at"] + x, F.size(acc["run"]) == RUN - 1
+        run = F.concat(acc["run"], F.array(at))
+        return F.struct(F.when(ends, F.concat(acc["full"], F.array(run))).otherwise(acc["full"]).alias("full"),
+                        F.when(ends, none).otherwise(run).alias("run"), at.alias("at"))
+
+    return F.aggregate(numbers, state, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["run"]))))
+
+
 def _pieces(df: DataFrame, name: str, pattern: str, text: str = "_t") -> DataFrame:
     """Adds ``name``: array of (start, end, word, before, after) of the matches."""
     p = F.lit(pattern)
@@ -62,10 +81,7 @@ def _pieces(df: DataFrame, name: str, pattern: str, text: str = "_t") -> DataFra
             .withColumn("_s", F.when(F.size("_m") > 0, F.split(F.col(text), pattern, -1))
                         .otherwise(F.array().cast("array<string>"))))
     lengths = F.transform("_m", lambda m, i: F.length(F.element_at("_s", i + 1)) + F.length(m))
-    # the ends of the matches: running sums of the lengths
-    ends = F.aggregate(lengths, F.array().cast("array<int>"),
-                       lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    df = df.withColumn("_e", ends)
+    df = df.withColumn("_e", _running_sums(lengths))
     spans = F.transform("_m", lambda m, i: F.struct(
         (F.element_at("_e", i + 1) - F.length(m)).alias("start"), F.element_at("_e", i + 1).alias("end"),
         m.alias("word"),
@@ -171,7 +187,9 @@ def learn_patterns(occurrences: DataFrame, *, rounds: int = ROUNDS, support: int
             open_ = pairs.filter(F.col("kind").isNull()).withColumn("salt", salt)
             guess = (open_.join(spread, ["pat", "salt"])
                      .groupBy("inst", F.col("p_kind").alias("kind"))
-                     .agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("s")))
+                     .agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("s"), F.max("score").alias("top")))
+            # what a confident pattern discovered is a seed from here on
+            guess = guess.withColumn("s", F.when(F.col("top") >= confident, 1.0).otherwise(F.col("s")))
             best = guess.groupBy("inst").agg(F.max(F.struct("s", "kind")).alias("b")) \
                         .select("inst", F.col("b.kind").alias("g_kind"), F.col("b.s").alias("g"))
             known = edges.filter(F.col("kind").isNotNull())
@@ -204,11 +222,14 @@ def find_pii(docs: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT,
     rows = cut(rows, "pii-rows")
     occ = _occurrences(rows)
     patterns = learn_patterns(occ, rounds=rounds, support=support, confident=confident)
-    spread = patterns.select("pat", F.col("kind").alias("p_kind"),
-                             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-    more = (occ.filter(F.col("kind").isNull()).withColumn("salt", F.pmod("inst", F.lit(SALTS)))
-            .join(spread, ["pat", "salt"])
-            .groupBy("tx", "start", "end").agg(F.min("p_kind").alias("kind"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt")
+    open_ = occ.filter(F.col("kind").isNull())
+    found = cut(open_.withColumn("salt", F.pmod("inst", F.lit(SALTS)))
+                .join(patterns.select("pat", F.col("kind").alias("p_kind"), salts), ["pat", "salt"])
+                .groupBy("inst").agg(F.min("p_kind").alias("i_kind")), "pii-found")
+    more = (open_.withColumn("salt", F.pmod(F.xxhash64("tx", "start"), F.lit(SALTS)))
+            .join(found.select("inst", "i_kind", salts), ["inst", "salt"])
+            .groupBy("tx", "start", "end").agg(F.min("i_kind").alias("kind"))
             .groupBy("tx").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
     more = more.withColumnRenamed("tx", "m_tx")
     joined = rows.join(more, rows["tx"] == more["m_tx"], "left")
@@ -227,12 +248,13 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with every found span written as ``[kind]`` in the text;
     overlapping spans become one, named by the first; ``n_chars``, where there
     is one, becomes the new length of a changed text.  Other columns stay."""
-    spans = found.filter(F.size("spans") > 0).groupBy("tx").agg(F.first("spans").alias("_spans"))
+    spans = found.filter(F.size("spans") > 0).groupBy(F.col("tx").alias("s_tx")).agg(F.first("spans").alias("spans"))
+    # a row travels as one column, so that no column of ``docs`` clashes with those of the join
+    keyed = docs.select(F.struct("*").alias("doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("d_tx"))
+    joined = keyed.join(spans, F.col("d_tx") == F.col("s_tx"), "left").withColumn("text", F.col("doc.text"))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    keyed = docs.withColumn("_tx", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = keyed.join(spans.withColumnRenamed("tx", "_f"), F.col("_tx") == F.col("_f"), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                                     s["kind"].alias("kind"))))
     step = lambda acc, s: F.struct(
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]),
@@ -240,7 +262,8 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.greatest(acc["at"], s["end"]).alias("at"))
     done = F.aggregate(by_start, state, step,
                        lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    joined = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
-    size = F.when(F.col("_spans").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    new = {"text": F.col("_new"), "n_chars": size}
-    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    joined = joined.withColumn("new", F.when(F.col("spans").isNotNull(), done).otherwise(F.col("text")))
+    new = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("new").cast("long")).otherwise(F.col("doc.n_chars"))
+    return joined.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -139,6 +139,42 @@ def test_pii_contexts_find_unseen(spark):
     assert text[99] == "x call me at [ip] today y"
 
 
+def test_pii_second_hop(spark):
+    seeds = [f"call at 10.1.{10 + i // 100}.{100 + i % 100} today" for i in range(200)]
+    unseen = [f"10.1.{30 + i}.999" for i in range(20)]               # no valid address, so no base span
+    hop1 = [f"call at {w} today" for w in unseen]
+    hop2 = [f"gateway {w} please" for w in [*unseen, "10.1.77.999"]]
+    docs = spark.createDataFrame(list(enumerate([*seeds, *hop1, *hop2, "alone 10.1.33.999 there", "clean 10.1.88.999 text"])),
+                                 "doc_id long, text string")
+    found = {n: {r.doc_id: r.spans for r in pii.report(pii.find_pii(docs, rounds=n)).collect()} for n in (1, 2)}
+    last = 240
+    for n in found:
+        assert all(found[n][i] == "ip:8:19" for i in range(200, 220))
+        assert all(found[n][i] for i in range(220, 240))        # other places of what was discovered
+        assert found[n][last + 1] == "ip:6:17" and found[n][last + 2] == ""
+    assert found[1][last] == "" and found[2][last] == "ip:8:19"  # known through discovered seeds only
+
+
+def test_pii_running_sums_and_many_matches(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        got = spark.range(1).select(pii._running_sums(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("s"))
+        assert got.first().s == np.cumsum(np.arange(1, n + 1)).tolist()
+    text = " ".join(f"n{i}" for i in range(20000)) + " a@b.cd" * 3
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.report(pii.find_pii(docs)).first().spans == ",".join(brute_spans(text))
+
+
+def test_redact_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "to a@b.cd now", 13, "s", "f", "n"), (2, None, None, None, None, None)],
+                                 "doc_id long, text string, n_chars long, _spans string, spans string, tx string") \
+        .selectExpr("*", "'q' as _f", "'q' as _new", "'q' as new", "'q' as doc", "'q' as s_tx", "'q' as d_tx")
+    got = pii.redact(docs, pii.find_pii(docs))
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert (rows[1].text, rows[1].n_chars, rows[1]["_spans"], rows[1].spans, rows[1].tx) == ("to [email] now", 14, "s", "f", "n")
+    assert (rows[2].text, rows[2].n_chars) == (None, None)
+
+
 def test_mix(spark, odd):
     docs = odd.unionByName(table(spark, [(1000 + i, words(20 + i % 60, i), "en", "abcd"[i % 3], 1) for i in range(400)]))
     rows = mixing.pareto_mix(docs).select("doc.doc_id", "doc.source", "doc.text", "size", "source_size", "target", "taken").collect()
