@@ -55,23 +55,24 @@ SUPPORT = 5
 CONFIDENT = 0.9
 SMOOTH = 1.0
 SALTS = 16
-RUN = 256
+RUN = 128
 CONTEXT = 64
 
 
-def _running_sums(numbers: Column) -> Column:
-    """Sums of the first, the first two, ... of an array.  They are gathered in runs of
-    ``RUN``, as appending to one long array would copy it for every number."""
+def _with_running_sums(df: DataFrame, numbers: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sums of the first, the first two, ... of an array, by runs of
+    ``RUN`` numbers and then over the runs: appending to one long array would copy it
+    for every number.  Each step is a column that the next reads more than once, so
+    that Spark does not move it into the lambda that reads it."""
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
     none = F.array().cast("array<int>")
-    state = F.struct(F.array().cast("array<array<int>>").alias("full"), none.alias("run"), F.lit(0).alias("at"))
-
-    def step(acc, x):
-        at, ends = acc["at"] + x, F.size(acc["run"]) == RUN - 1
-        run = F.concat(acc["run"], F.array(at))
-        return F.struct(F.when(ends, F.concat(acc["full"], F.array(run))).otherwise(acc["full"]).alias("full"),
-                        F.when(ends, none).otherwise(run).alias("run"), at.alias("at"))
-
-    return F.aggregate(numbers, state, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["run"]))))
+    df = df.withColumn("_l", numbers)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_l") / RUN).cast("int") - 1, F.lit(0))),
+                       lambda c: F.aggregate(F.slice("_l", c * RUN + 1, F.lit(RUN)), none, add))
+    df = df.withColumn("_r", runs)
+    last = F.transform("_r", lambda r: F.coalesce(F.try_element_at(r, F.lit(-1)), F.lit(0)))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.aggregate(last, none, add)), 1, F.size("_r"))
+    return df.withColumn(name, F.flatten(F.zip_with("_r", before, lambda r, b: F.transform(r, lambda e: e + b)))).drop("_l", "_r")
 
 
 def _pieces(df: DataFrame, name: str, pattern: str, text: str = "_t") -> DataFrame:
@@ -81,7 +82,7 @@ def _pieces(df: DataFrame, name: str, pattern: str, text: str = "_t") -> DataFra
             .withColumn("_s", F.when(F.size("_m") > 0, F.split(F.col(text), pattern, -1))
                         .otherwise(F.array().cast("array<string>"))))
     lengths = F.transform("_m", lambda m, i: F.length(F.element_at("_s", i + 1)) + F.length(m))
-    df = df.withColumn("_e", _running_sums(lengths))
+    df = _with_running_sums(df, lengths, "_e")
     spans = F.transform("_m", lambda m, i: F.struct(
         (F.element_at("_e", i + 1) - F.length(m)).alias("start"), F.element_at("_e", i + 1).alias("end"),
         m.alias("word"),

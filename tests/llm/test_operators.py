@@ -156,8 +156,9 @@ def test_pii_second_hop(spark):
 
 
 def test_pii_running_sums_and_many_matches(spark):
-    for n in (0, 1, 255, 256, 257, 1000):
-        got = spark.range(1).select(pii._running_sums(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("s"))
+    for n in (0, 1, 127, 128, 129, 1000):
+        numbers = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+        got = pii._with_running_sums(spark.range(1), numbers, "s")
         assert got.first().s == np.cumsum(np.arange(1, n + 1)).tolist()
     text = " ".join(f"n{i}" for i in range(20000)) + " a@b.cd" * 3
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
