@@ -21,11 +21,9 @@ def pandas_twin(pdf: pd.DataFrame) -> pd.DataFrame:
         g["trend_diff"] = q.diff().fillna(0.0) if n > 1 else 0.0
         dc = g["DISCOUNT"].fillna(0.0).clip(0, 1)
         chg = dc.diff()
-        counter, days = 0, []
-        for flag in (chg.abs() >= 0.05):
-            counter = 0 if flag else counter + 1
-            days.append(counter)
-        g["days_since_discount_change"] = days
+        # rows since the last change point; the row before the first one stands for it
+        at = np.arange(n)
+        g["days_since_discount_change"] = at - np.maximum.accumulate(np.where(chg.abs() >= 0.05, at, -1))
         g["discount_acceleration"] = chg.diff().fillna(0.0)
         lag1 = g["lag_1"]
         g["DISCOUNT_PREV_SALES"] = dc * lag1 / (lag1.mean() + 1e-5)
