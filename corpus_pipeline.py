@@ -5,7 +5,8 @@ decontamination -> personal data -> mix to source weights.  A stage takes
 (spark, docs, sf_dir) and returns the documents it keeps, changed where that
 is its work; all but the last return the columns of ``documents``.  The last
 adds ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_copies`` and
-``mix_taken``; documents that the mix does not take are gone.
+``mix_taken`` (a column of that name in ``documents`` gives way); documents
+that the mix does not take are gone.
 
 Empty tables, nulls and repeated rows follow the operators' docstrings: no
 stage fails on them.  A classifier cannot be written in SQL, so there is no
@@ -46,7 +47,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their copies."""
     mixed = mixing.pareto_mix(docs).filter("copies > 0")
-    return mixed.select("doc.*", *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "copies", "taken")])
+    new = {f"mix_{c}": F.col(c) for c in ("size", "source_size", "target", "copies", "taken")}
+    return mixed.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 STAGES = [
