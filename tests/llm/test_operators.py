@@ -382,6 +382,15 @@ def test_merkle(spark):
     assert merkle.audit(a.limit(0), a).filter("status = 'extra'").count() == a.count()
 
 
+def test_mix_stage_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, words(20 + i, i), "a" if i % 3 else None, "old", i) for i in range(12)],
+                                 "doc_id long, text string, source string, mix_size string, doc long")
+    out = corpus_pipeline.mix(spark, docs, SF)
+    assert out.columns == ["doc_id", "text", "source", "doc", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+    rows = out.collect()
+    assert rows and all(r.mix_size == 20 + r.doc_id and r.doc == r.doc_id and r.mix_taken == r.mix_size * r.mix_copies for r in rows)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs.count()
