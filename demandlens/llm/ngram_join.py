@@ -80,6 +80,8 @@ FLUSH_ENTRIES = 1_500_000
 DOCS_A_FLUSH = 4000         # below 2^12: a block's entries number its sets in 12 bits
 SLICE = 256
 PACKS = 8                   # calls a shuffle partition that compare groups of one block
+MARKS = 32                  # bits a key of the filter that holds back texts not asked for
+MOST_MARKS = 1 << 26        # most bits of that filter: a broadcast of 8 MB
 
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -407,6 +409,21 @@ def _verify_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                       schema=schema)
 
 
+def asked_for(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """The ``rows`` whose key (did, tx) is in ``used``, and a few others that share a
+    bit with one: their texts need not be shuffled to find that out.  The keys' bits
+    are broadcast as bitmaps of 4 KB, ``MOST_MARKS`` bits in all; beyond
+    ``MOST_MARKS / MARKS`` keys more other rows pass, and none is lost."""
+    bit = F.pmod(F.xxhash64("did", "tx"), F.lit(min(MOST_MARKS, MARKS * max(used.count(), 1024))))
+    marks = used.select(bit.alias("bit")).select("bit", F.bitmap_bucket_number("bit").alias("bucket")).repartition("bucket") \
+        .groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("marks"))
+    place = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring("marks", F.shiftright(place, 3) + 1, 1)), 16, 10).cast("int")
+    return rows.join(F.broadcast(marks), F.bitmap_bucket_number(bit) == F.col("bucket")) \
+        .filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), place.bitwiseAND(F.lit(7)) + 1)) != 0) \
+        .select(*rows.columns)
+
+
 class ParityJoin:
     """One run of the join over ``docs`` (doc_id, text)."""
 
@@ -472,7 +489,7 @@ class ParityJoin:
         """(sid, text) of distinct set ids."""
         used = cut(sids.join(self.sets, "sid").select("sid", F.coalesce("doc_id", F.lit(-1)).alias("did"), "tx"), "ng-used")
         # rows repeated whole give their text once; the join has brought them together already
-        texts = self.keyed.join(used, ["did", "tx"]).dropDuplicates(["did", "tx"]).select("sid", "text")
+        texts = asked_for(self.keyed, used).join(used, ["did", "tx"]).dropDuplicates(["did", "tx"]).select("sid", "text")
         return cut(texts, "ng-texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
