@@ -102,7 +102,19 @@ _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
     """Weights (last: intercept) by accelerated gradient descent; classes weigh the same."""
-    x = np.concatenate((x, np.ones((len(x), 1), dtype=x.dtype)), axis=1)
+    return _fit(_rows(x, np.arange(len(x))), y, ridge, steps)
+
+
+def _rows(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Some rows of ``x`` with a last column of ones, copied once, a few at a time."""
+    out = np.ones((len(rows), x.shape[1] + 1), dtype=x.dtype)
+    for at in range(0, len(rows), SLICE):
+        out[at:at + SLICE, :-1] = x[rows[at:at + SLICE]]
+    return out
+
+
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
+    """``fit_logistic`` of rows that have their column of ones already."""
     c = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)).astype(x.dtype)
     bound = 0.25 * float(c @ np.einsum("ij,ij->i", x, x)) + ridge
     w, z = np.zeros(x.shape[1]), np.zeros(x.shape[1])
@@ -122,6 +134,11 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def _logits(x: np.ndarray, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``_logit`` of some rows, a few at a time: no copy of all of them in double precision."""
+    return np.concatenate([np.zeros(0), *[_logit(x[rows[at:at + SLICE]], w) for at in range(0, len(rows), SLICE)]])
+
+
 def platt(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(a, b): the calibrated log odds are a t + b.  Newton steps on smoothed targets."""
     pos, neg = (y == 1).sum(), (y == 0).sum()
@@ -172,18 +189,18 @@ def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarr
     prior = float((weight * y[train]).sum() / weight.sum())
     free = [np.ones(len(pool), bool), np.ones(len(pool), bool)]
     for _ in range(ROUNDS):
-        weights = [fit_logistic(v[r], m) for v, r, m in zip(views, rows, marks)]
+        weights = [_fit(_rows(v, r), m) for v, r, m in zip(views, rows, marks)]
         for giver, taker in ((0, 1), (1, 0)):
-            p = _sigmoid(_logit(views[giver][pool], weights[giver]))
+            p = _sigmoid(_logits(views[giver], pool, weights[giver]))
             for label, sure, share in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):
                 can = np.flatnonzero(free[taker] & (sure >= SURE))
                 pick = can[np.argsort(-sure[can], kind="stable")[:int(GIVE * share * len(pool))]]
                 rows[taker] = np.concatenate((rows[taker], pool[pick]))
                 marks[taker] = np.concatenate((marks[taker], np.full(len(pick), label)))
                 free[taker][pick] = False
-    weights = [fit_logistic(v[r], m) for v, r, m in zip(views, rows, marks)]
+    weights = [_fit(_rows(v, r), m) for v, r, m in zip(views, rows, marks)]
     shift = float(np.log(rates[0] / rates[1]))     # sampling by class moves the log odds by a constant
-    scale = [(a, b + shift) for a, b in (platt(_logit(v[fold], w), y[fold]) for v, w in zip(views, weights))]
+    scale = [(a, b + shift) for a, b in (platt(_logits(v, np.flatnonzero(fold), w), y[fold]) for v, w in zip(views, weights))]
     return {"weights": weights, "scale": scale, "prior": float(np.log(prior / (1 - prior)))}
 
 
@@ -234,11 +251,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool:
     if not got.num_rows:
         return None
     x = np.zeros((got.num_rows, CONTENT + META), dtype=np.float32)
-    for i, raw in enumerate(got.column("x").to_pylist()):
+    for i, raw in enumerate(got.column("x")):
+        raw = raw.as_buffer()
         m = len(raw) // 6
         x[i, np.frombuffer(raw, np.int16, m)] = np.frombuffer(raw, np.float32, m, 2 * m)
     y = np.array([-1 if q is None else q for q in got.column("quality").to_pylist()])
     ids = np.array([0 if i is None else i for i in got.column("doc_id").to_pylist()], dtype=np.int64)
+    del got, raw            # the driver fits with the sample's matrix alone
+    pa.default_memory_pool().release_unused()
     return cotrain(x[:, :CONTENT], x[:, CONTENT:], y, split(ids, y), rates)
 
 
